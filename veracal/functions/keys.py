@@ -137,7 +137,8 @@ def bounded_size(width: Column, height: Column, limit: int = 2048) -> Column:
 
 
 def data_url(content: Column) -> Column:
-    return F.concat(F.lit("data:image/png;base64,"), F.base64(content))
+    # base64 breaks lines at 76 characters; the URL form has none
+    return F.concat(F.lit("data:image/png;base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
 def png_size(content: Column) -> Column:
