@@ -15,6 +15,9 @@ WS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
+# The same characters, negated.
+NOT_WS = "[^" + WS[1:]
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -23,9 +26,14 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, f"^{WS}+|{WS}+\\z", "")
 
 
+def has_text(col: Column) -> Column:
+    """Whether a text holds anything but white space; stops at the first such character."""
+    return F.coalesce(col.rlike(NOT_WS), F.lit(False))
+
+
 def na(col: Column) -> Column:
     """Null or blank becomes the placeholder; other text is kept unstripped."""
-    return F.when(col.isNull() | (strip(col) == ""), F.lit(MISSING)).otherwise(col)
+    return F.when(has_text(col), col).otherwise(F.lit(MISSING))
 
 
 def content_key(*cols: Column) -> Column:

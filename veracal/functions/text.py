@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .keys import WS, strip
+from .keys import NOT_WS, WS, strip
 
 # Reply patterns and prompt templates.
 NUMBER = r"(\d+(?:\.\d+)?)"
@@ -101,10 +101,7 @@ def paraphrases(reply: Column, n: int) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of words between white space; null counts as no words."""
-    words = F.regexp_replace(strip(F.coalesce(text, F.lit(""))), f"{WS}+", " ")
-    return F.when(words == "", F.lit(0)).otherwise(
-        F.length(words) - F.length(F.translate(words, " ", "")) + 1
-    ).cast("int")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"{NOT_WS}+")).cast("int")
 
 
 def percent(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.binning import linear_bin
-from ..functions.keys import strip
+from ..functions.keys import has_text
 from ..functions.vectors import is_nonfinite
 from .ordered import GROUP, group_key, long_blocks, quantiles, running
 
@@ -14,7 +14,7 @@ def blank_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     """Null or blank values per column."""
     blank = df.agg(
         *[
-            F.sum((F.col(c).isNull() | (strip(F.col(c).cast("string")) == "")).cast("bigint")).alias(c)
+            F.sum((~has_text(F.col(c).cast("string"))).cast("bigint")).alias(c)
             for c in cols
         ]
     )
