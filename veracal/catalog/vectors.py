@@ -264,7 +264,7 @@ def v16_sliced(spark, d):
     return rounded(out.select("vec_id", v.l2(F.col("g")).alias("norm"), place_sum("g").alias("s")))
 
 
-@query("v17_trajectory", cte(f"select vec_id, cast(k as int) as step, {rd(wsum("hk"), 6)} as s from HK", **STEPS))
+@query("v17_trajectory", cte(f"select vec_id, cast(k as int) as step, {rd(wsum('hk'), 6)} as s from HK", **STEPS))
 def v17(spark, d):
     base, _ = _with_gradient(spark, d)
     return rounded(tr.trajectory(base).select("vec_id", "step", place_sum("h_k").alias("s")), 6)

@@ -51,7 +51,8 @@ def _rank_terms() -> dict[str, Column]:
     here = _ratio(tp, tp + fp)
     before = _ratio(tp_before, tp_before + fp_before, 1.0)
     return {
-        "auc_pairs": tp_before * neg + pos * neg * 0.5,
+        # ordered pairs minus reversed ones; ties add nothing
+        "auc_gap": tp_before * neg - fp_before * pos,
         "pr_area": pos * (here + before) * 0.5,
         "ap_sum": pos * here,
     }
@@ -90,7 +91,7 @@ def _assemble(partials: DataFrame, by: list[str]) -> DataFrame:
     )
     totals = partials.withColumn("_gap", gap).groupBy(*by).agg(
         *[F.coalesce(F.sum(k), F.lit(0)).cast("bigint").alias(k) for k in _COUNTS],
-        *[F.sum(k).alias(k) for k in ("_gap", "_sq", "_auc_pairs", "_pr_area", "_ap_sum")],
+        *[F.sum(k).alias(k) for k in ("_gap", "_sq", "_auc_gap", "_pr_area", "_ap_sum")],
     )
     n, pos, neg, tp, fp, tn, fn = (F.col(k) for k in _COUNTS)
     single = (pos == 0) | (neg == 0)
@@ -116,7 +117,7 @@ def _assemble(partials: DataFrame, by: list[str]) -> DataFrame:
         two_class(_ratio(tn, tn + fp)).alias("specificity"),
         guarded(
             F.when(single, F.lit(0.5)).otherwise(
-                F.col("_auc_pairs") / F.when(~single, pos.cast("double") * neg)
+                0.5 + 0.5 * F.col("_auc_gap") / F.when(~single, pos.cast("double") * neg)
             ),
             0.5,
         ).alias("auroc"),
@@ -267,7 +268,7 @@ def _ranking(P: DataFrame, by: list[str]) -> DataFrame:
     both = (pos > 0) & (neg > 0)
     return sums.select(
         *by,
-        F.when(both, F.col("auc_pairs") / (pos.cast("double") * neg)).otherwise(F.lit(0.5)).alias("auroc"),
+        F.when(both, 0.5 + 0.5 * F.col("auc_gap") / (pos.cast("double") * neg)).otherwise(F.lit(0.5)).alias("auroc"),
         F.when(both, F.col("pr_area") / pos).otherwise(_ratio(pos, pos + neg)).alias("aucpr"),
         F.when(both, F.col("ap_sum") / pos).otherwise(F.lit(0.0)).alias("average_precision"),
     )

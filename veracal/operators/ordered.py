@@ -66,19 +66,22 @@ def running(
     descending: bool = False,
     inclusive: bool = True,
     totals: bool = False,
+    text: bool = False,
 ) -> DataFrame:
     """Add running aggregates along an order inside each group.
 
     ``aggs`` maps an output name to (kind, column) with kind ``sum``, ``max`` or
     ``last`` (last non-null value). ``blocks`` run from coarse to fine and must
-    be monotone in ``order``. ``totals`` adds ``<name>_total`` for the sums.
+    be monotone in ``order``; ``text`` says that they are strings. ``totals`` adds
+    ``<name>_total`` for the sums.
     """
     names = [f"_b{i}" for i in range(len(blocks))]
     values = {out: f"_v_{out}" for out in aggs}
     base = df.select(
         "*",
         group_key(by).alias(GROUP),
-        *[b.alias(n) for b, n in zip(blocks, names)],
+        # never null, so that no join adds a null filter below and every branch reads one shuffle
+        *[F.coalesce(b, F.lit("" if text else -1)).alias(n) for b, n in zip(blocks, names)],
         *[col.alias(values[out]) for out, (_, col) in aggs.items()],
     )
 
@@ -148,44 +151,59 @@ def dense_index(
 ) -> DataFrame:
     """Zero-based position along a unique order column, plus the row count ``n_total``."""
     counted = running(
-        df, by or [], BLOCKS[kind](F.col(order)), [order], {"_seen": ("sum", F.lit(1).cast("bigint"))}, totals=True
+        df, by or [], BLOCKS[kind](F.col(order)), [order], {"_seen": ("sum", F.lit(1).cast("bigint"))}, totals=True,
+        text=kind == "hex",
     )
     return counted.select(
         *df.columns, (F.col("_seen") - 1).alias(name), F.col("_seen_total").alias("n_total")
     )
 
 
-def quantiles(
-    df: DataFrame, col: str, by: list[str], probs: dict[str, float], kind: str = "score"
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group.
+def describe(df: DataFrame, col: str, by: list[str], probs: dict[str, float], kind: str = "score") -> DataFrame:
+    """Exact quantiles with linear interpolation, and mean, std (population), min, max and count per group.
 
     Rows are first merged per distinct value, so neither the group size nor a
-    hot value decides how much one task holds.
+    hot value decides how much one task holds, and the input is read once.
     """
     hist = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_n"))
+    v = F.col(col).cast("double")
     ranked = running(
-        hist, by, BLOCKS[kind](F.col(col)), [col], {"_cum": ("sum", F.col("_n"))}, totals=True
+        hist, by, BLOCKS[kind](F.col(col)), [col],
+        {"_cum": ("sum", F.col("_n")), "_sum": ("sum", v * F.col("_n"))}, totals=True,
     )
     n = F.col("_cum_total")
+    mean = F.col("_sum_total") / n
     picks = []
     for name, p in probs.items():
         h = (n - 1) * F.lit(float(p))
         for side, rank in (("lo", F.floor(h)), ("hi", F.ceil(h))):
             inside = (rank < F.col("_cum")) & (rank >= F.col("_cum") - F.col("_n"))
-            picks.append(F.max(F.when(inside, F.col(col).cast("double"))).alias(f"_{name}_{side}"))
-    found = ranked.groupBy(*by).agg(F.max(n).alias("_n"), *picks)
+            picks.append(F.max(F.when(inside, v)).alias(f"_{name}_{side}"))
+    found = ranked.groupBy(*by).agg(
+        F.max(n).alias("count"),
+        F.max(mean).alias("mean"),
+        F.sqrt(F.sum(F.col("_n") * F.pow(v - mean, 2)) / F.max(n)).alias("std"),
+        F.min(col).alias("min"),
+        F.max(col).alias("max"),
+        *picks,
+    )
     outs = []
     for name, p in probs.items():
-        h = (F.col("_n") - 1) * F.lit(float(p))
+        h = (F.col("count") - 1) * F.lit(float(p))
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         outs.append((lo + (hi - lo) * (h - F.floor(h))).alias(name))
-    return found.select(*by, *outs)
+    return found.select(*by, "count", "mean", "std", "min", "max", *outs)
+
+
+def quantiles(df: DataFrame, col: str, by: list[str], probs: dict[str, float], kind: str = "score") -> DataFrame:
+    """Exact quantiles, one row per group."""
+    return describe(df, col, by, probs, kind).select(*by, *probs)
 
 
 def take_per_group(df: DataFrame, by: list[str], order: str, kind: str, quota: str) -> DataFrame:
     """Rows whose position in their group is below the row's quota column."""
     ranked = running(
-        df, by, BLOCKS[kind](F.col(order)), [order], {"_seen": ("sum", F.lit(1).cast("bigint"))}
+        df, by, BLOCKS[kind](F.col(order)), [order], {"_seen": ("sum", F.lit(1).cast("bigint"))},
+        text=kind == "hex",
     )
     return ranked.where(F.col("_seen") <= F.col(quota)).drop("_seen")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.binning import linear_bin
 from ..functions.keys import has_text
 from ..functions.vectors import is_nonfinite
-from .ordered import GROUP, group_key, long_blocks, quantiles, running
+from .ordered import describe, long_blocks, quantiles, running
 
 
 def blank_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -137,27 +137,25 @@ def contract_check(df: DataFrame, contract: DataFrame, key: str = "hash_id",
 
 def summary(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     """Mean, exact median and quartiles, population std, min and max per group."""
-    basic = df.groupBy(*by).agg(
-        F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max")
-    )
-    cuts = quantiles(df, col, by, {"p25": 0.25, "median": 0.5, "p75": 0.75})
-    keyed = basic.withColumn(GROUP, group_key(by))
-    return keyed.join(cuts.withColumn(GROUP, group_key(by)).drop(*by), GROUP).drop(GROUP)
+    cuts = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+    return describe(df, col, by, cuts).drop("count")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """Equal-width bins over the range of the column, with the 95th-percentile display limit."""
-    edges = df.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
-    low, high = edges.select("lo").scalar(), edges.select("hi").scalar()
-    shown = quantiles(df, col, [], {"p95": 0.95}).select(F.col("p95") * 1.1).scalar()
-    ranged = df.select(F.col(col).cast("double").alias("_v")).withColumns({"_lo": low, "_hi": high})
-    binned = ranged.groupBy(linear_bin(F.col("_v"), F.col("_lo"), F.col("_hi"), bins).alias("bin")).agg(
-        F.count("*").alias("n"), F.min("_lo").alias("_lo"), F.min("_hi").alias("_hi")
+    facts = describe(df, col, [], {"p95": 0.95}).select(
+        F.struct(F.col("min").cast("double").alias("lo"), F.col("max").cast("double").alias("hi"), "p95").alias("f")
+    )
+    # one row per distinct value is enough to count bins
+    ranged = df.groupBy(F.col(col).cast("double").alias("_v")).agg(F.count("*").alias("_n")).withColumn("_f", facts.scalar())
+    low, high = F.col("_f.lo"), F.col("_f.hi")
+    binned = ranged.groupBy(linear_bin(F.col("_v"), low, high, bins).alias("bin")).agg(
+        F.sum("_n").alias("n"), F.first("_f").alias("_f")
     )
-    width = (F.col("_hi") - F.col("_lo")) / bins
+    start = low + F.col("bin") * ((high - low) / bins)
     return binned.where(F.col("bin").isNotNull()).select(
-        "bin", (F.col("_lo") + F.col("bin") * width).alias("low_edge"), "n"
-    ).withColumn("shown", F.col("low_edge") <= shown)
+        "bin", start.alias("low_edge"), "n", (start <= F.col("_f.p95") * 1.1).alias("shown")
+    )
 
 
 def clipped_histogram(df: DataFrame, col: str, by: list[str], p: float = 0.99, n: int = 50) -> DataFrame:
