@@ -10,7 +10,7 @@ from ..functions import vectors as v
 from ..operators import confidence as cf
 from ..operators import sequences as sq
 from ..operators import trajectory as tr
-from .registry import cte, query, rd, rounded
+from .registry import ORACLES, cte, query, rd, rounded
 
 KEY = ["sample_id", "token_idx"]
 T = {"T": fx.TOKENS_SQL}
@@ -352,6 +352,12 @@ def v21_all(spark, d):
     return rounded(tr.trajectory_features(hidden(spark, d), fx.prototypes(spark, d), ["vec_id"]), 7)
 
 
+@query("v21_token_features_sliced", ORACLES["v21_token_features"])
+def v21_sliced(spark, d):
+    out = tr.trajectory_features(hidden(spark, d), fx.prototypes(spark, d), ["vec_id"], max_bytes=4 * 64 * 8)
+    return rounded(out, 7)
+
+
 NEXT = {**TP, "Q2": "select a.sample_id, a.token_idx, a.p as p, b.p as q, a.logits as x, b.logits as y from TQ a join TQ b on a.sample_id = b.sample_id and b.token_idx = a.token_idx + 1"}
 
 

@@ -15,8 +15,8 @@ WS = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 
-# The same characters, negated.
-NOT_WS = "[^" + WS[1:]
+# Everything else, in the form that scans fastest.
+NOT_WS = r"(?U)[^\s\x1c-\x1f]"
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

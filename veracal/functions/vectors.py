@@ -11,6 +11,11 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once per row, also where a lambda uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -49,20 +54,18 @@ def argmax(v: Column) -> Column:
 
 
 def log_sum_exp(v: Column) -> Column:
-    peak = F.array_max(v)
-    return peak + F.log(
-        F.aggregate(F.transform(v, lambda x: F.exp(x - peak)), F.lit(0.0), lambda acc, x: acc + x)
+    return let(
+        F.array_max(v),
+        lambda peak: peak + F.log(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - peak))),
     )
 
 
 def softmax(v: Column) -> Column:
-    norm = log_sum_exp(v)
-    return F.transform(v, lambda x: F.exp(x - norm))
+    return let(log_sum_exp(v), lambda norm: F.transform(v, lambda x: F.exp(x - norm)))
 
 
 def log_softmax(v: Column) -> Column:
-    norm = log_sum_exp(v)
-    return F.transform(v, lambda x: x - norm)
+    return let(log_sum_exp(v), lambda norm: F.transform(v, lambda x: x - norm))
 
 
 def entropy(p: Column) -> Column:
@@ -88,11 +91,11 @@ def margin(v: Column) -> Column:
 
 def std_sample(v: Column) -> Column:
     n = F.size(v)
-    mean = total(v) / n
-    return F.sqrt(
-        F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-        / F.when(n > 1, n - 1)
+    squares = let(
+        total(v) / n,
+        lambda mean: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)),
     )
+    return F.sqrt(squares / F.when(n > 1, n - 1))
 
 
 def kl(p: Column, q: Column) -> Column:
@@ -121,16 +124,18 @@ def js(p: Column, q: Column) -> Column:
 
 def logit_stats(v: Column, token: Column) -> Column:
     """Log-probability, probability and logit of a token and of the argmax."""
-    norm = log_sum_exp(v)
     best = F.array_max(v)
     chosen = element(v, token)
-    return F.struct(
-        (chosen - norm).alias("log_prob_actual"),
-        F.exp(chosen - norm).alias("prob_actual"),
-        chosen.alias("logit_actual"),
-        F.exp(best - norm).alias("prob_argmax"),
-        best.alias("logit_argmax"),
-        (argmax(v) == token).cast("int").alias("actual_is_argmax"),
+    return let(
+        log_sum_exp(v),
+        lambda norm: F.struct(
+            (chosen - norm).alias("log_prob_actual"),
+            F.exp(chosen - norm).alias("prob_actual"),
+            chosen.alias("logit_actual"),
+            F.exp(best - norm).alias("prob_argmax"),
+            best.alias("logit_argmax"),
+            (argmax(v) == token).cast("int").alias("actual_is_argmax"),
+        ),
     )
 
 
@@ -275,9 +280,11 @@ def marker_span(ids: Column, rule: str, start: Column, end: Column | None = None
         begin = F.when(first >= 0, first).otherwise(0)
         stop = F.when(first >= 0, last).otherwise(0)
     elif rule == "start_to_end":
-        after = F.filter(
-            F.transform(ids, lambda x, i: F.when((x == end) & (i > first), i)),
-            lambda i: i.isNotNull(),
+        after = let(
+            first,
+            lambda f: F.filter(
+                F.transform(ids, lambda x, i: F.when((x == end) & (i > f), i)), lambda i: i.isNotNull()
+            ),
         )
         begin = F.when(first >= 0, first).otherwise(0)
         stop = F.when(first >= 0, F.array_min(after) + 1).otherwise(0)

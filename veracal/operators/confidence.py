@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.text import first_number, verbal_confidence
+from ..functions.vectors import let, total, view_cosine
 
 # Probe weights travel to every task; larger models are refused rather than shipped.
 MAX_WEIGHT_BYTES = 512 * 1024 * 1024
@@ -109,8 +110,6 @@ def view_diagnostics(base: DataFrame, views: DataFrame, key: str = "sample_id")
 
     ``base``: key, h, p_top1, top1. ``views``: key, view, h, p_of_base, top1, mask.
     """
-    from ..functions.vectors import view_cosine
-
     b = base.select(key, F.col("h").alias("_h"), F.col("p_top1").alias("_p"), F.col("top1").alias("_t"))
     seen = F.col("mask") == 1
     nan = F.lit(float("nan"))
@@ -144,8 +143,8 @@ def aggregate_attention(df: DataFrame, by: list[str], how: str = "mean") -> Data
     # the vector of one sample, as long as its sequence
     packed = pooled.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "a"))).alias("_s"))
     vector = F.transform("_s", lambda s: s["a"])
-    whole = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x)
-    return packed.select(*by, vector.alias("_v"), whole.alias("_w")).select(
-        *by,
-        F.when(F.col("_w") > 0, F.transform("_v", lambda x: x / F.col("_w"))).otherwise(F.col("_v")).alias("attention"),
-    )
+
+    def scaled(v: Column) -> Column:
+        return let(total(v), lambda w: F.when(w > 0, F.transform(v, lambda x: x / w)).otherwise(v))
+
+    return packed.select(*by, let(vector, scaled).alias("attention"))

@@ -38,11 +38,11 @@ def assign_batches(df: DataFrame, key: str, size: int, kind: str = "long") -> Da
 
 
 def _members(batched: DataFrame, key: str, label: str, vec: str) -> DataFrame:
-    unit = F.transform(vec, lambda x: x / F.col("_len"))
-    rows = batched.withColumn("_len", F.greatest(V.l2(F.col(vec)), F.lit(1e-12)))
+    length = F.greatest(V.l2(F.col(vec)), F.lit(1e-12))
+    unit = V.let(length, lambda n: F.transform(F.col(vec), lambda x: x / n))
     member = F.struct(F.col("idx"), F.col(key).alias("key"), F.col(label).alias("y"), unit.alias("e"))
     # at most one batch of rows, by construction of the batch number
-    return rows.groupBy("batch").agg(F.sort_array(F.collect_list(member)).alias("m"))
+    return batched.groupBy("batch").agg(F.sort_array(F.collect_list(member)).alias("m"))
 
 
 def batch_similarity(df: DataFrame, key: str, label: str, vec: str, size: int = 32, kind: str = "long") -> DataFrame:

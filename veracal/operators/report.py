@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from .metrics import METRICS, all_metrics
@@ -104,9 +104,12 @@ def signed_rank(long: DataFrame, by: list[str], variant: str, base: str, pair: s
     """
     spark = long.sparkSession
     keys = by + [variant]
-    reference = long.where(F.col(variant) == base).select(*by, pair, F.col("value").alias("_base"))
-    diffs = long.where(F.col(variant) != base).join(reference, by + [pair]).select(
-        *keys, (F.col("_base") - F.col("value")).alias("d")
+    # the base value beside every variant of the same pair; a pair holds one row per variant
+    beside = F.max(F.when(F.col(variant) == base, F.col("value"))).over(Window.partitionBy(*by, pair))
+    diffs = (
+        long.withColumn("_base", beside)
+        .where((F.col(variant) != base) & F.col("_base").isNotNull())
+        .select(*keys, (F.col("_base") - F.col("value")).alias("d"))
     )
     hist = diffs.groupBy(*keys, F.abs("d").alias("a")).agg(
         F.sum((F.col("d") > 0).cast("bigint")).alias("up"), F.sum((F.col("d") < 0).cast("bigint")).alias("down"),
@@ -144,9 +147,9 @@ def signed_rank(long: DataFrame, by: list[str], variant: str, base: str, pair: s
 def delta(long: DataFrame, by: list[str], variant: str, base: str) -> DataFrame:
     """Mean of each variant minus the base mean; sign turned where less is better."""
     means = long.groupBy(*by, variant, "metric").agg(F.avg("value").alias("value"))
-    reference = means.where(F.col(variant) == base).select(*by, "metric", F.col("value").alias("_base"))
+    beside = F.max(F.when(F.col(variant) == base, F.col("value"))).over(Window.partitionBy(*by, "metric"))
     gap = F.col("value") - F.col("_base")
-    return means.where(F.col(variant) != base).join(reference, by + ["metric"]).select(
+    return means.withColumn("_base", beside).where((F.col(variant) != base) & F.col("_base").isNotNull()).select(
         *by, variant, "metric", F.when(F.col("metric").isin(LOWER_IS_BETTER), -gap).otherwise(gap).alias("delta")
     )
 

@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import vectors as V
 
@@ -69,13 +70,12 @@ def _slice_project(df: DataFrame, block: np.ndarray, vec: str) -> Column:
 def project(df: DataFrame, W: DataFrame, key: list[str], vec: str = "h", out: str = "logits",
             max_bytes: int = MAX_SLICE_BYTES) -> DataFrame:
     """logits = W h. A matrix above the limit is applied slice by slice and the pieces are joined per key."""
-    blocks = list(matrix_slices(W, max_bytes=max_bytes)) if max_bytes >= MAX_SLICE_BYTES else None
-    if blocks is not None and len(blocks) == 1:
-        return df.withColumn(out, _slice_project(df, blocks[0][1], vec))
-    parts = [
-        df.select(*key, F.lit(start).alias("_start"), _slice_project(df, block, vec).alias("_piece"))
-        for start, block in (blocks if blocks is not None else matrix_slices(W, max_bytes=max_bytes))
-    ]
+    parts, last = [], None
+    for start, block in matrix_slices(W, max_bytes=max_bytes):
+        last = _slice_project(df, block, vec)
+        parts.append(df.select(*key, F.lit(start).alias("_start"), last.alias("_piece")))
+    if len(parts) == 1:
+        return df.withColumn(out, last)
     pieces = reduce(lambda a, b: a.unionByName(b), parts).groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("_start", "_piece"))).alias("_pieces")
     )
@@ -106,13 +106,12 @@ def _slice_gradient(df: DataFrame, start: int, block: np.ndarray, logits: str, t
 def gradient(df: DataFrame, W: DataFrame, key: list[str], logits: str = "logits", token: str = "token_id",
              out: str = "g", max_bytes: int = MAX_SLICE_BYTES) -> DataFrame:
     """Cross-entropy gradient in hidden space: sum of p_i * w_i minus the token's own row."""
-    blocks = list(matrix_slices(W, max_bytes=max_bytes)) if max_bytes >= MAX_SLICE_BYTES else None
-    if blocks is not None and len(blocks) == 1:
-        return df.withColumn(out, _slice_gradient(df, *blocks[0], logits, token))
-    parts = [
-        df.select(*key, _slice_gradient(df, start, block, logits, token).alias("_piece"))
-        for start, block in (blocks if blocks is not None else matrix_slices(W, max_bytes=max_bytes))
-    ]
+    parts, last = [], None
+    for start, block in matrix_slices(W, max_bytes=max_bytes):
+        last = _slice_gradient(df, start, block, logits, token)
+        parts.append(df.select(*key, last.alias("_piece")))
+    if len(parts) == 1:
+        return df.withColumn(out, last)
     # one piece per slice and key
     summed = reduce(lambda a, b: a.unionByName(b), parts).groupBy(*key).agg(F.collect_list("_piece").alias("_p")).select(
         *key,
@@ -128,11 +127,15 @@ def gradient(df: DataFrame, W: DataFrame, key: list[str], logits: str = "logits"
 def trajectory(df: DataFrame, radius: float = 20.0, steps: int = 5, vec: str = "h", direction: str = "g",
                out: str = "h_k") -> DataFrame:
     """One row per step k = 1..S with h + k * (R / S) * g / |g|; a vanishing g leaves h unchanged."""
-    norm = V.l2(F.col(direction))
-    spread = df.withColumn("_norm", norm).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    size = F.col("step") * F.lit(radius / steps)
-    moved = F.zip_with(vec, direction, lambda h, g: h + size * (g / F.col("_norm")))
-    return spread.withColumn(out, F.when(F.col("_norm") > 1e-9, moved).otherwise(F.col(vec))).drop("_norm")
+
+    def walk(norm: Column) -> Column:
+        def at(k: Column) -> Column:
+            moved = F.zip_with(vec, direction, lambda h, g: h + k * F.lit(radius / steps) * (g / norm))
+            return F.struct(k.alias("step"), F.when(norm > 1e-9, moved).otherwise(F.col(vec)).alias(out))
+
+        return F.transform(F.sequence(F.lit(1), F.lit(steps)), at)
+
+    return df.select("*", F.inline(V.let(V.l2(F.col(direction)), walk)))
 
 
 def state_features(logits: Column, hidden: Column, token: Column) -> dict[str, Column]:
@@ -147,40 +150,56 @@ def state_features(logits: Column, hidden: Column, token: Column) -> dict[str, C
     return dict(zip(STATE_FEATURES, values))
 
 
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    shifted = z - z.max(axis=1, keepdims=True)
+    return shifted - np.log(np.exp(shifted).sum(axis=1, keepdims=True))
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    norms = np.maximum(np.linalg.norm(a, axis=1), 1e-8) * np.maximum(np.linalg.norm(b, axis=1), 1e-8)
+    return (a * b).sum(axis=1) / norms
+
+
+def _measure(z0: np.ndarray, zk: np.ndarray, h: np.ndarray, hk: np.ndarray, token: np.ndarray) -> list[np.ndarray]:
+    """The step measures of a batch of rows, in their fixed order."""
+    rows = np.arange(len(token))
+    l0, lk = _log_softmax(z0), _log_softmax(zk)
+    p0, pk = np.exp(l0), np.exp(lk)
+    best = zk.argmax(axis=1)
+    top = np.partition(zk, -2, axis=1)[:, -2:] if zk.shape[1] > 1 else np.repeat(zk, 2, axis=1)
+    mid = 0.5 * (p0 + pk)
+    log_mid = np.log(np.where(mid > 0, mid, 1.0))
+    return [
+        lk[rows, token],
+        pk[rows, token],
+        zk[rows, token],
+        l0[rows, token] - lk[rows, token],
+        pk[rows, best],
+        zk[rows, best],
+        (best != z0.argmax(axis=1)).astype(float),
+        -(pk * np.log(pk + V.EPS)).sum(axis=1),
+        top[:, 1] - top[:, 0],
+        np.linalg.norm(zk, axis=1),
+        (p0 * (l0 - lk)).sum(axis=1),
+        0.5 * (mid * (log_mid - l0)).sum(axis=1) + 0.5 * (mid * (log_mid - lk)).sum(axis=1),
+        _cosines(z0, zk),
+        _cosines(h, hk),
+        np.linalg.norm(hk - h, axis=1),
+    ]
+
+
+@F.pandas_udf(StructType([StructField(m, DoubleType()) for m in STEP_MEASURES]))
+def _step_row(z0: pd.Series, zk: pd.Series, h: pd.Series, hk: pd.Series, token: pd.Series) -> pd.DataFrame:
+    if len(token) == 0:
+        return pd.DataFrame(columns=STEP_MEASURES, dtype=float)
+    values = _measure(_stack(z0), _stack(zk), _stack(h), _stack(hk), token.to_numpy())
+    return pd.DataFrame(dict(zip(STEP_MEASURES, values)))
+
+
 def step_measures(steps: DataFrame, keep: list[str], token: str = "token_id") -> DataFrame:
     """The measures of each step. Needs h, logits, h_k, logits_k and the token id per row."""
-    z0, zk, t = F.col("logits"), F.col("logits_k"), F.col(token)
-    # norms first, so that each is evaluated once per row
-    base = steps.withColumns({"_n0": V.log_sum_exp(z0), "_nk": V.log_sum_exp(zk)})
-    base = base.withColumns(
-        {
-            "_p0": F.transform(z0, lambda x: F.exp(x - F.col("_n0"))),
-            "_pk": F.transform(zk, lambda x: F.exp(x - F.col("_nk"))),
-            "_a0": V.argmax(z0),
-            "_ak": V.argmax(zk),
-        }
-    )
-    best = F.array_max(zk)
-    own0 = V.element(z0, t) - F.col("_n0")
-    own = V.element(zk, t) - F.col("_nk")
-    values = [
-        own,
-        F.exp(own),
-        V.element(zk, t),
-        own0 - own,
-        F.exp(best - F.col("_nk")),
-        best,
-        (F.col("_a0") != F.col("_ak")).cast("double"),
-        V.entropy(F.col("_pk")),
-        V.margin(zk),
-        V.l2(zk),
-        V.kl(F.col("_p0"), F.col("_pk")),
-        V.js_reversed(F.col("_p0"), F.col("_pk")),
-        V.cosine(z0, zk),
-        V.cosine(F.col("h"), F.col("h_k")),
-        V.l2_distance(F.col("h_k"), F.col("h")),
-    ]
-    return base.select(*keep, "step", *[v.alias(m) for m, v in zip(STEP_MEASURES, values)])
+    measured = _step_row(F.col("logits"), F.col("logits_k"), F.col("h"), F.col("h_k"), F.col(token))
+    return steps.select(*keep, "step", measured.alias("_m")).select(*keep, "step", "_m.*")
 
 
 def radius_to_flip(measures: DataFrame, by: list[str], radius: float = 20.0, steps: int = 5) -> DataFrame:
@@ -207,15 +226,76 @@ def trajectory_statistics(measures: DataFrame, by: list[str]) -> DataFrame:
     return measures.groupBy(*by).agg(*[ops[s](m).alias(f"{m}_{s}") for m in STEP_MEASURES for s in STATISTICS])
 
 
+def _path_arrays(df: DataFrame, block: np.ndarray, token: str, radius: float, steps: int) -> Column:
+    """struct of logits, g and one array over the steps per measure, for a matrix that fits a task."""
+    shipped = df.sparkSession.sparkContext.broadcast(block)
+    schema = "logits array<double>, g array<double>, " + ", ".join(f"{m} array<double>" for m in STEP_MEASURES)
+
+    @F.pandas_udf(schema)
+    def run(h: pd.Series, ids: pd.Series) -> pd.DataFrame:
+        if len(h) == 0:
+            return pd.DataFrame(columns=["logits", "g"] + STEP_MEASURES)
+        w, x, t = shipped.value, _stack(h), ids.to_numpy()
+        z = x @ w.T
+        g = np.exp(_log_softmax(z)) @ w - w[t]
+        norm = np.linalg.norm(g, axis=1, keepdims=True)
+        direction = np.where(norm > 1e-9, g / np.maximum(norm, 1e-300), 0.0)
+        moved = [x + k * (radius / steps) * direction for k in range(1, steps + 1)]
+        per_step = np.array([_measure(z, hk @ w.T, x, hk, t) for hk in moved])
+        out = {"logits": list(z), "g": list(g)}
+        for i, m in enumerate(STEP_MEASURES):
+            out[m] = list(per_step[:, i, :].T)
+        return pd.DataFrame(out)
+
+    return run(F.col("h"), F.col(token))
+
+
+def _array_stats(name: str) -> list[Column]:
+    v = F.col(f"_m.{name}")
+    n = F.size(v)
+
+    def spread(x: Column) -> Column:
+        return V.let(V.total(x) / n, lambda mean: F.sqrt(V.total(F.transform(x, lambda e: F.pow(e - mean, 2))) / n))
+
+    values = [V.total(v) / n, V.let(v, spread), F.array_min(v), F.array_max(v)]
+    return [x.alias(f"{name}_{s}") for x, s in zip(values, STATISTICS)]
+
+
 def trajectory_features(df: DataFrame, W: DataFrame, key: list[str], radius: float = 20.0, steps: int = 5,
-                        token: str = "token_id") -> DataFrame:
-    """All token features. ``df`` has the key, ``h`` and the token id; one shuffle of scalars per token."""
-    projected = project(df, W, key)
-    with_g = gradient(projected, W, key, token=token)
+                        token: str = "token_id", max_bytes: int = MAX_SLICE_BYTES) -> DataFrame:
+    """All token features. ``df`` has the key, ``h`` and the token id.
+
+    A matrix within the limit needs no shuffle: a row's steps stay in its task.
+    A larger one is applied slice by slice to the steps as rows.
+    """
+    blocks = matrix_slices(W, max_bytes=max_bytes)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is not None:
+        return _features_by_rows(df, W, key, radius, steps, token, max_bytes)
+    walked = df.select(*key, token, "h", _path_arrays(df, first[1], token, radius, steps).alias("_m"))
+    states = state_features(F.col("_m.logits"), F.col("h"), F.col(token))
+    flips = F.array_position("_m.did_argmax_change_from_original", F.lit(1.0))
+    drops = F.transform("_m.delta_log_prob_actual_from_original", lambda x: F.greatest(x, F.lit(0.0)))
+    energy = (V.total(drops) - F.element_at(drops, -1) / 2.0) / F.lit(float(steps))
+    return walked.select(
+        *key,
+        token,
+        *[c.alias(n) for n, c in states.items()],
+        V.l2(F.col("_m.g")).alias("jacobian_norm_token"),
+        F.when(flips > 0, flips * F.lit(radius / steps)).otherwise(F.lit(float("inf"))).alias("epsilon_to_flip_token"),
+        energy.alias("pei_value_token"),
+        *[c for m in STEP_MEASURES for c in _array_stats(m)],
+    ).select(*key, token, *FEATURES)
+
+
+def _features_by_rows(df: DataFrame, W: DataFrame, key: list[str], radius: float, steps: int, token: str,
+                      max_bytes: int) -> DataFrame:
+    with_g = gradient(project(df, W, key, max_bytes=max_bytes), W, key, token=token, max_bytes=max_bytes)
     states = state_features(F.col("logits"), F.col("h"), F.col(token))
     described = with_g.withColumns({**states, "jacobian_norm_token": V.l2(F.col("g"))})
     moved = trajectory(described, radius, steps)
-    logits_k = project(moved, W, key + ["step"], vec="h_k", out="logits_k")
+    logits_k = project(moved, W, key + ["step"], vec="h_k", out="logits_k", max_bytes=max_bytes)
     kept = STATE_FEATURES + ["jacobian_norm_token"]
     measures = step_measures(logits_k, key + [token] + kept, token)
     ops = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
