@@ -15,7 +15,7 @@ HEADLINE = [
     "c02_content_key", "u04_dedup_first", "u06_stratified_exact", "q04_contract_check", "q05_word_summary", "q08_runs",
     "j01_items_with_outputs", "j04_lookup_default", "j11_common_samples", "j12_random_partner",
     "x01_verbal_confidence", "x03_two_stage_confidence", "v04_prompt_ensemble", "v06_probe_score_hidden",
-    "v12_logit_stats", "v21_trajectory_statistics", "v27_attention_mean", "t01_sequences",
+    "v12_logit_stats", "v21_token_features", "v27_attention_mean", "t01_sequences",
     "l04_loss_variants", "l09_early_stop_replay",
 ]
 

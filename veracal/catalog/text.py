@@ -11,7 +11,7 @@ from ..operators.confidence import two_stage_confidence
 from .registry import cte, query, rd, rounded
 
 NUM = r"\d+(?:\.\d+)?"
-UNIT = "least(greatest(case when {x} > 1 then {x} / 100.0 else {x} end, 0.0), 1.0)"
+UNIT = "case when {x} is not null then least(greatest(case when {x} > 1 then {x} / 100.0 else {x} end, 0.0), 1.0) end"
 
 VERBAL = f"""select sample_id, {UNIT.format(x='x')} as c from (select sample_id, coalesce(
   try_cast(nullif(regexp_extract(reply, '[Cc]onfidence:\\s*({NUM})\\s*%?', 1), '') as double),

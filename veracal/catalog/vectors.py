@@ -241,7 +241,7 @@ def hidden(spark, d):
 
 
 def _with_gradient(spark, d):
-    W = fx.prototypes(spark, d)
+    W = list(tr.matrix_slices(fx.prototypes(spark, d)))
     return tr.gradient(tr.project(hidden(spark, d), W, ["vec_id"]), W, ["vec_id"]), W
 
 

@@ -23,7 +23,7 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def strip(col: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(col, f"^{WS}+|{WS}+\\z", "")
+    return F.regexp_replace(col, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
 
 
 def has_text(col: Column) -> Column:

@@ -52,7 +52,8 @@ def _number(text: Column) -> Column:
 def _unit(value: Column) -> Column:
     """Percent values above 1 become fractions; 1 itself stays 1."""
     scaled = F.when(value > 1.0, value / 100.0).otherwise(value)
-    return F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))
+    # least and greatest skip nulls, so a missing number has to be kept apart
+    return F.when(value.isNotNull(), F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)))
 
 
 def verbal_confidence(reply: Column) -> Column:
@@ -74,7 +75,7 @@ def first_number(text: Column) -> Column:
 
 def judge_yes_no(text: Column) -> Column:
     """True only when the reply has "yes" and not "no"; null text stays null."""
-    low = F.lower(strip(text))
+    low = F.lower(text)
     return low.contains("yes") & ~low.contains("no")
 
 

@@ -51,6 +51,14 @@ def matrix_slices(W: DataFrame, row: str = "row", vec: str = "w",
         yield start, block
 
 
+Matrix = DataFrame | list[tuple[int, np.ndarray]]
+
+
+def _slices(W: Matrix, max_bytes: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Slices of a matrix table, or slices that were read before."""
+    return iter(W) if isinstance(W, list) else matrix_slices(W, max_bytes=max_bytes)
+
+
 def _stack(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype(float)
 
@@ -67,11 +75,11 @@ def _slice_project(df: DataFrame, block: np.ndarray, vec: str) -> Column:
     return run(F.col(vec))
 
 
-def project(df: DataFrame, W: DataFrame, key: list[str], vec: str = "h", out: str = "logits",
+def project(df: DataFrame, W: Matrix, key: list[str], vec: str = "h", out: str = "logits",
             max_bytes: int = MAX_SLICE_BYTES) -> DataFrame:
     """logits = W h. A matrix above the limit is applied slice by slice and the pieces are joined per key."""
     parts, last = [], None
-    for start, block in matrix_slices(W, max_bytes=max_bytes):
+    for start, block in _slices(W, max_bytes):
         last = _slice_project(df, block, vec)
         parts.append(df.select(*key, F.lit(start).alias("_start"), last.alias("_piece")))
     if len(parts) == 1:
@@ -103,11 +111,11 @@ def _slice_gradient(df: DataFrame, start: int, block: np.ndarray, logits: str, t
     return run(F.col(logits), F.col(token))
 
 
-def gradient(df: DataFrame, W: DataFrame, key: list[str], logits: str = "logits", token: str = "token_id",
+def gradient(df: DataFrame, W: Matrix, key: list[str], logits: str = "logits", token: str = "token_id",
              out: str = "g", max_bytes: int = MAX_SLICE_BYTES) -> DataFrame:
     """Cross-entropy gradient in hidden space: sum of p_i * w_i minus the token's own row."""
     parts, last = [], None
-    for start, block in matrix_slices(W, max_bytes=max_bytes):
+    for start, block in _slices(W, max_bytes):
         last = _slice_gradient(df, start, block, logits, token)
         parts.append(df.select(*key, last.alias("_piece")))
     if len(parts) == 1:
@@ -261,14 +269,14 @@ def _array_stats(name: str) -> list[Column]:
     return [x.alias(f"{name}_{s}") for x, s in zip(values, STATISTICS)]
 
 
-def trajectory_features(df: DataFrame, W: DataFrame, key: list[str], radius: float = 20.0, steps: int = 5,
+def trajectory_features(df: DataFrame, W: Matrix, key: list[str], radius: float = 20.0, steps: int = 5,
                         token: str = "token_id", max_bytes: int = MAX_SLICE_BYTES) -> DataFrame:
     """All token features. ``df`` has the key, ``h`` and the token id.
 
     A matrix within the limit needs no shuffle: a row's steps stay in its task.
     A larger one is applied slice by slice to the steps as rows.
     """
-    blocks = matrix_slices(W, max_bytes=max_bytes)
+    blocks = _slices(W, max_bytes)
     first = next(blocks)
     second = next(blocks, None)
     if second is not None:
@@ -289,7 +297,7 @@ def trajectory_features(df: DataFrame, W: DataFrame, key: list[str], radius: flo
     ).select(*key, token, *FEATURES)
 
 
-def _features_by_rows(df: DataFrame, W: DataFrame, key: list[str], radius: float, steps: int, token: str,
+def _features_by_rows(df: DataFrame, W: Matrix, key: list[str], radius: float, steps: int, token: str,
                       max_bytes: int) -> DataFrame:
     with_g = gradient(project(df, W, key, max_bytes=max_bytes), W, key, token=token, max_bytes=max_bytes)
     states = state_features(F.col("logits"), F.col("h"), F.col(token))
