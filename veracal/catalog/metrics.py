@@ -219,7 +219,7 @@ def m18(spark, d):
     return rounded(m.validation_score(fx.predictions(spark, d), BY, "composite_with_constraints", min_sens=0.5, min_spec=0.4))
 
 
-_BCE = f"""select {G}, {rd('-avg(y * ln(c + 1e-7) + (1 - y) * ln(1 - c + 1e-7))')} as bce from P group by {G}"""
+_BCE = f"select {G}, -avg(y * ln(c + 1e-7) + (1 - y) * ln(1 - c + 1e-7)) as bce from P group by {G}"
 
 
 @query(
@@ -238,7 +238,7 @@ def m19(spark, d):
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
-@query("m20_bce", cte(_BCE, P=fx.P_SQL))
+@query("m20_bce", cte(f"select {G}, {rd('bce')} as bce from ({_BCE})", P=fx.P_SQL))
 def m20(spark, d):
     return rounded(m.bce(fx.predictions(spark, d), BY))
 

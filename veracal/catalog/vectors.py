@@ -14,8 +14,6 @@ from .registry import ORACLES, cte, query, rd, rounded
 
 KEY = ["sample_id", "token_idx"]
 T = {"T": fx.TOKENS_SQL}
-Z = F.col("logits")
-TOKEN = F.col("token_id")
 
 
 def lse(x):
@@ -45,8 +43,8 @@ BEST = "list_max(list_transform(list_filter({ids}, lambda i: i >= 0 and i < 64),
 
 @query("v01_best_logit", cte(f"select sample_id, token_idx, {rd(BEST.format(ids=IDS_A))} as a, cast('-inf' as double) as none from T", **T))
 def v01(spark, d):
-    ids = F.array(TOKEN, TOKEN + 7, F.lit(70), F.lit(-1))
-    return rounded(fx.tokens(spark, d).select(*KEY, v.best_logit(Z, ids).alias("a"), v.best_logit(Z, F.array(F.lit(99))).alias("none")))
+    ids = F.array(F.col("token_id"), F.col("token_id") + 7, F.lit(70), F.lit(-1))
+    return rounded(fx.tokens(spark, d).select(*KEY, v.best_logit(F.col("logits"), ids).alias("a"), v.best_logit(F.col("logits"), F.array(F.lit(99))).alias("none")))
 
 
 @query(
@@ -55,8 +53,8 @@ def v01(spark, d):
 from (select sample_id, token_idx, {BEST.format(ids=IDS_A)} as a, {BEST.format(ids=IDS_B)} as b from T)""", **T),
 )
 def v02(spark, d):
-    a = v.best_logit(Z, F.array(TOKEN, TOKEN + 7, F.lit(70), F.lit(-1)))
-    b = v.best_logit(Z, F.array(TOKEN + 20, TOKEN + 33))
+    a = v.best_logit(F.col("logits"), F.array(F.col("token_id"), F.col("token_id") + 7, F.lit(70), F.lit(-1)))
+    b = v.best_logit(F.col("logits"), F.array(F.col("token_id") + 20, F.col("token_id") + 33))
     return rounded(fx.tokens(spark, d).select(*KEY, v.p_true(a, b).alias("s")).select(*KEY, "s.*"))
 
 
@@ -65,7 +63,7 @@ LOGP = "case when token_idx = 3 then -100.0 else logits[token_id + 1] - nz end"
 
 @query("v03_sequence_likelihood", cte(f"select sample_id, {rd(f'exp(avg(ln(least(greatest(exp({LOGP}), 1e-12), 1.0))))')} as confidence from TN group by sample_id", **TP))
 def v03(spark, d):
-    lp = F.when(F.col("token_idx") != 3, v.element(v.log_softmax(Z), TOKEN))
+    lp = F.when(F.col("token_idx") != 3, v.element(v.log_softmax(F.col("logits")), F.col("token_id")))
     return rounded(cf.sequence_likelihood(fx.tokens(spark, d).select("sample_id", lp.alias("logprob")), ["sample_id"]))
 
 
@@ -163,8 +161,8 @@ def v08(spark, d):
 from (select sample_id, token_idx, 20 + token_id as pos, list_transform(logits, lambda x, i: case when x > 0.1 and i < 40 then 1 else 0 end) as mask from T)""", **T),
 )
 def v09(spark, d):
-    mask = F.transform(Z, lambda x, i: F.when((x > 0.1) & (i < 39), 1).otherwise(0))
-    shaped = fx.tokens(spark, d).select(*KEY, (TOKEN + 20).alias("pos"), mask.alias("mask"))
+    mask = F.transform(F.col("logits"), lambda x, i: F.when((x > 0.1) & (i < 39), 1).otherwise(0))
+    shaped = fx.tokens(spark, d).select(*KEY, (F.col("token_id") + 20).alias("pos"), mask.alias("mask"))
     return shaped.select(*KEY, v.last_unmasked(F.col("mask"), F.col("pos")).cast("int").alias("position"))
 
 
@@ -196,22 +194,22 @@ def v11(spark, d):
   {rd('exp(list_max(logits) - nz)')} as prob_argmax, {rd('list_max(logits)')} as logit_argmax, cast(list_position(logits, list_max(logits)) - 1 = token_id as int) as actual_is_argmax from TN""", **TP),
 )
 def v12(spark, d):
-    return rounded(fx.tokens(spark, d).select(*KEY, v.logit_stats(Z, TOKEN).alias("s")).select(*KEY, "s.*"))
+    return rounded(fx.tokens(spark, d).select(*KEY, v.logit_stats(F.col("logits"), F.col("token_id")).alias("s")).select(*KEY, "s.*"))
 
 
 @query("v13_entropy", cte(f"select sample_id, token_idx, {rd('-list_sum(list_transform(p, lambda x: x * ln(x + 1e-9)))')} as entropy from TQ", **TP))
 def v13(spark, d):
-    return rounded(fx.tokens(spark, d).select(*KEY, v.entropy(v.softmax(Z)).alias("entropy")))
+    return rounded(fx.tokens(spark, d).select(*KEY, v.entropy(v.softmax(F.col("logits"))).alias("entropy")))
 
 
 @query("v14_margins", cte(f"select sample_id, token_idx, {rd('a[1] - a[2]')} as logit_margin, {rd('b[1] - b[2]')} as prob_margin from (select sample_id, token_idx, list_reverse_sort(logits) as a, list_reverse_sort(p) as b from TQ)", **TP))
 def v14(spark, d):
-    return rounded(fx.tokens(spark, d).select(*KEY, v.margin(Z).alias("logit_margin"), v.margin(v.softmax(Z)).alias("prob_margin")))
+    return rounded(fx.tokens(spark, d).select(*KEY, v.margin(F.col("logits")).alias("logit_margin"), v.margin(v.softmax(F.col("logits"))).alias("prob_margin")))
 
 
 @query("v15_norm_and_spread", cte(f"select sample_id, token_idx, {rd(norm('logits'))} as l2, {rd('list_stddev_samp(logits)')} as std from T", **T))
 def v15(spark, d):
-    return rounded(fx.tokens(spark, d).select(*KEY, v.l2(Z).alias("l2"), v.std_sample(Z).alias("std")))
+    return rounded(fx.tokens(spark, d).select(*KEY, v.l2(F.col("logits")).alias("l2"), v.std_sample(F.col("logits")).alias("std")))
 
 
 # hidden states with logits from the prototype matrix, the token gradient, and five perturbation steps
@@ -362,7 +360,7 @@ NEXT = {**TP, "Q2": "select a.sample_id, a.token_idx, a.p as p, b.p as q, a.logi
 
 
 def neighbours(spark, d):
-    cur = fx.tokens(spark, d).select(*KEY, Z.alias("x"), v.softmax(Z).alias("p"))
+    cur = fx.tokens(spark, d).select(*KEY, F.col("logits").alias("x"), v.softmax(F.col("logits")).alias("p"))
     nxt = cur.select("sample_id", (F.col("token_idx") - 1).alias("token_idx"), F.col("x").alias("y"), F.col("p").alias("q"))
     return cur.join(nxt, KEY)
 
@@ -427,7 +425,7 @@ HEADS = "select sample_id, token_idx // 4 as layer, token_idx % 4 as head, i as
 def heads(spark, d):
     return fx.tokens(spark, d).select(
         "sample_id", F.expr("token_idx div 4").alias("layer"), (F.col("token_idx") % 4).alias("head"),
-        F.transform(Z, lambda x: F.abs(x)).alias("weights"),
+        F.transform(F.col("logits"), lambda x: F.abs(x)).alias("weights"),
     )
 
 
@@ -473,8 +471,8 @@ from (select sample_id, token_idx, list_transform(logits, lambda x: abs(x)) as a
     ),
 )
 def v28(spark, d):
-    a = F.transform(Z, lambda x: F.abs(x))
-    stats = v.region_stats(F.col("a"), TOKEN + 4, TOKEN + 20, TOKEN * 2 + 50)
+    a = F.transform(F.col("logits"), lambda x: F.abs(x))
+    stats = v.region_stats(F.col("a"), F.col("token_id") + 4, F.col("token_id") + 20, F.col("token_id") * 2 + 50)
     return rounded(fx.tokens(spark, d).withColumn("a", a).select(*KEY, stats.alias("s")).select(*KEY, "s.*"))
 
 
@@ -482,7 +480,7 @@ IDS = "select sample_id, token_idx, list_transform(logits, lambda x: cast(floor(
 
 
 def ids(spark, d):
-    return fx.tokens(spark, d).select(*KEY, F.transform(Z, lambda x: F.floor(F.abs(x) * 100).cast("int") % 23).alias("ids"))
+    return fx.tokens(spark, d).select(*KEY, F.transform(F.col("logits"), lambda x: F.floor(F.abs(x) * 100).cast("int") % 23).alias("ids"))
 
 
 def _span_sql(stop):
@@ -546,9 +544,9 @@ def feats(spark, d):
     i = F.col("token_idx")
     return fx.tokens(spark, d).select(
         F.col("sample_id").alias("hash_id"), "token_idx", "token_id", (F.col("sample_id") % 2 == 0).cast("int").alias("is_correct"),
-        F.when(i % 3 == 0, F.lit(float("inf"))).otherwise(TOKEN * 2.0).alias("epsilon_to_flip_token"),
-        F.when(i % 4 == 1, F.lit(float("-inf"))).when(i % 4 == 2, F.lit(float("nan"))).otherwise(Z[0]).alias("ratio"),
-        Z[1].alias("margin"),
+        F.when(i % 3 == 0, F.lit(float("inf"))).otherwise(F.col("token_id") * 2.0).alias("epsilon_to_flip_token"),
+        F.when(i % 4 == 1, F.lit(float("-inf"))).when(i % 4 == 2, F.lit(float("nan"))).otherwise(F.col("logits")[0]).alias("ratio"),
+        F.col("logits")[1].alias("margin"),
     )
 
 
@@ -591,7 +589,7 @@ def t04(spark, d):
 
 
 def _packed(spark, d):
-    token = F.struct("token_idx", "token_id", F.concat(F.lit("t"), "token_id").alias("token_str"), Z[0].alias("margin"))
+    token = F.struct("token_idx", "token_id", F.concat(F.lit("t"), "token_id").alias("token_str"), F.col("logits")[0].alias("margin"))
     return fx.tokens(spark, d).groupBy("sample_id").agg(F.sort_array(F.collect_list(token)).alias("tokens"))
 
 
