@@ -95,3 +95,19 @@ def test_large_inputs_are_ordered_by_blocks(spark):
     df = spark.range(10_000_000).select((F.col("id") % 3).alias("g"), F.rand(1).alias("c"))
     plan = o.running(df, ["g"], o.score_blocks(F.col("c")), ["c"], {"s": ("sum", F.lit(1))})
     assert "_b1" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_are_monotone_over_all_doubles(spark):
+    inf = float("inf")
+    values = [-inf, -1e300, -(2.0**40), -(2.0**31), -(2.0**31) + 1, -5.5, -1e-12, 0.0, 1e-300, 1e-20, 2.0**-32, 1e-5, 0.3, 0.1 + 0.2, 1.0 - 2**-53, 1.0, 7.0, 2.0**31 - 1, 2.0**31, 1e15, 1e300, inf, float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, c double")
+    rows = df.select("i", *[b.alias(f"b{n}") for n, b in enumerate(o.score_blocks(F.col("c")))]).orderBy("i").collect()
+    keys = [(r["b0"], r["b1"]) for r in rows]
+    assert keys == sorted(keys)
+
+
+def test_quantiles_of_large_values(spark):
+    df = spark.createDataFrame([(float(v),) for v in (1e12, 3e12, 2e15, -4e11)], "v double")
+    with o.plain_window_limit(0):
+        assert o.quantiles(df, "v", [], {"m": 0.5}).first()["m"] == 2e12
+        assert o.quantiles(df.select(F.col("v").cast("long").alias("v")), "v", [], {"m": 0.5}).first()["m"] == 2e12

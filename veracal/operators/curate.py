@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ordered import dense_index, long_blocks, running, take_per_group
+from .ordered import GROUP, dense_index, group_key, long_blocks, running, take_per_group
 
 
 def require_columns(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -132,10 +132,10 @@ def value_counts(df: DataFrame, col: str, top: int, by: list[str] | None = None)
         total = df.agg(F.count("*").alias("t")).scalar()
         return counts.orderBy(F.desc("n"), col).limit(top).withColumn("pct", F.lit(100.0) * F.col("n") / total)
     # one row per (group, value); the rank filter is pushed below the shuffle
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("_t"))
+    totals = counts.groupBy(group_key(by).alias(GROUP)).agg(F.sum("n").alias("_t"))
     order = Window.partitionBy(*by).orderBy(F.desc("n"), col)
     best = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return best.join(totals, by).select(*by, col, "n", "rank", (F.lit(100.0) * F.col("n") / F.col("_t")).alias("pct"))
+    return best.withColumn(GROUP, group_key(by)).join(totals, GROUP).select(*by, col, "n", "rank", (F.lit(100.0) * F.col("n") / F.col("_t")).alias("pct"))
 
 
 def top_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -151,6 +151,7 @@ def display_order(df: DataFrame, col: str, order: list[str]) -> DataFrame:
 def best_trial(df: DataFrame, score: str = "score", trial: str = "trial", by: list[str] | None = None) -> DataFrame:
     """Trial with the largest finite score; the first trial name wins a tie."""
     finite = df.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.abs(F.col(score)) != float("inf")))
-    top = finite.groupBy(*(by or [])).agg(F.max(score).alias(score))
-    tied = finite.join(top, (by or []) + [score], "left_semi")
+    per_trial = finite.groupBy(*(by or []), trial).agg(F.max(score).alias(score))
+    top = per_trial.groupBy(group_key(by or []).alias(GROUP)).agg(F.max(score).alias("_top"))
+    tied = per_trial.withColumn(GROUP, group_key(by or [])).join(top, GROUP).where(F.col(score) == F.col("_top"))
     return tied.groupBy(*(by or []), score).agg(F.min(trial).alias(trial))

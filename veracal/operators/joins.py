@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .ordered import GROUP, group_key
+
 
 class ContractError(ValueError):
     """A table does not have the agreed counts."""
@@ -55,7 +57,8 @@ def assert_rows(df: DataFrame, expected: int) -> DataFrame:
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, value: str, default: str) -> DataFrame:
     """Attach a column by key, with a default where the key is unknown."""
-    side = dim.select(key, value)
+    # one row per key, so that repeated rows of the other side never multiply ours
+    side = dim.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value))
     return df.join(side, key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
@@ -117,10 +120,12 @@ def common_samples(P: DataFrame, by: list[str], unit: str, what: str = "method")
     """Rows of the units that every ``what`` of the group has scored."""
     pairs = P.select(*by, unit, what).distinct()
     per_unit = pairs.groupBy(*by, unit).agg(F.count("*").alias("_n"))
-    # number of distinct values per group, from one row per (group, value)
-    per_group = P.select(*by, what).distinct().groupBy(*by).agg(F.count("*").alias("_all"))
-    complete = per_unit.join(per_group, by).where(F.col("_n") == F.col("_all"))
-    return P.join(complete.select(*by, unit), by + [unit], "left_semi")
+    # from one row per (group, value): the number of values every unit has to reach
+    per_group = P.select(*by, what).distinct().groupBy(group_key(by).alias(GROUP)).agg(F.count("*").alias("_all"))
+    complete = per_unit.withColumn(GROUP, group_key(by)).join(per_group, GROUP).where(F.col("_n") == F.col("_all"))
+    full = group_key(by + [unit])
+    kept = P.withColumn(GROUP, full).join(complete.select(full.alias(GROUP)), GROUP, "left_semi")
+    return kept.drop(GROUP)
 
 
 def funnel(df: DataFrame, rules: dict[str, Column], rest: str = "ok") -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 GROUP = "_group"
 
@@ -42,12 +43,23 @@ def fits_one_task(df: DataFrame) -> bool:
 
 
 def score_blocks(c: Column) -> list[Column]:
-    """Two block ids, monotone in a double of magnitude below 2**31."""
+    """Two block ids, monotone in a double.
+
+    Fixed-width cells up to a magnitude of 2**31; above that, and for scores so
+    close to zero that they share one cell, cells follow the logarithm.
+    """
+    limit = float(1 << 31)
     top = F.floor(c * 4096.0).cast("bigint")
     fine = F.floor(c * 4294967296.0).cast("bigint") - top * 1048576
     tiny = (c >= 0.0) & (c < 1.0 / 4294967296.0)
     octave = F.when(c > 0.0, F.floor(F.log2(c)).cast("bigint")).otherwise(F.lit(-2000))
-    return [top, F.when(tiny, octave).otherwise(fine)]
+    far = F.lit(1 << 43) + F.floor(F.least(F.log2(F.abs(c)), F.lit(2000.0)) * 4096.0).cast("bigint")
+    outer = F.when(F.isnan(c), F.lit(1 << 62)).when(c > 0.0, far).otherwise(-far)
+    inside = F.abs(c) < limit
+    return [
+        F.when(inside, top).otherwise(outer),
+        F.when(inside, F.when(tiny, octave).otherwise(fine)).otherwise(F.lit(0)),
+    ]
 
 
 def long_blocks(i: Column) -> list[Column]:
@@ -205,12 +217,13 @@ def dense_index(
     )
 
 
-def describe(df: DataFrame, col: str, by: list[str], probs: dict[str, float], kind: str = "score") -> DataFrame:
+def describe(df: DataFrame, col: str, by: list[str], probs: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation, and mean, std (population), min, max and count per group.
 
     Rows are first merged per distinct value, so neither the group size nor a
     hot value decides how much one task holds, and the input is read once.
     """
+    kind = "long" if isinstance(df.schema[col].dataType, IntegralType) else "score"
     hist = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_n"))
     v = F.col(col).cast("double")
     ranked = running(
@@ -241,9 +254,9 @@ def describe(df: DataFrame, col: str, by: list[str], probs: dict[str, float], ki
     return found.select(*by, "count", "mean", "std", "min", "max", *outs)
 
 
-def quantiles(df: DataFrame, col: str, by: list[str], probs: dict[str, float], kind: str = "score") -> DataFrame:
+def quantiles(df: DataFrame, col: str, by: list[str], probs: dict[str, float]) -> DataFrame:
     """Exact quantiles, one row per group."""
-    return describe(df, col, by, probs, kind).select(*by, *probs)
+    return describe(df, col, by, probs).select(*by, *probs)
 
 
 def take_per_group(df: DataFrame, by: list[str], order: str, kind: str, quota: str) -> DataFrame:
