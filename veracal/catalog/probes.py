@@ -47,8 +47,7 @@ def l03(spark, d):
 union all select 'no_brier', {rd('bce + 0.3 * rank')} from LT union all select 'bce_only', {rd('bce')} from LT""", **LOSS),
 )
 def l04(spark, d):
-    parts = [_loss(spark, d, v).select(F.lit(v).alias("variant"), "loss") for v in ("full", "no_rank", "no_brier", "bce_only")]
-    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+    return rounded(p.loss_variants(fx.views(spark, d), WEIGHTS, 0.1, beta=0.7, lam=0.3))
 
 
 @query("l05_linear_probe_fit")

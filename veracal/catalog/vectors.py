@@ -166,11 +166,14 @@ def v09(spark, d):
     return shaped.select(*KEY, v.last_unmasked(F.col("mask"), F.col("pos")).cast("int").alias("position"))
 
 
-@query("v10_layer_concat", cte(f"select sample_id, cast(len(x) as int) as n, {rd(wsum('x'))} as s from (select sample_id, list_concat(states[8], states[6]) as x from S where len(states) = 8)", **T, S=SAMPLES))
+@query(
+    "v10_layer_concat",
+    cte(f"""select sample_id, cast(len(x) as int) as n, {rd(wsum('x'))} as s from (
+  select sample_id, case when len(states) - 1 >= 5 then list_concat(states[-1], states[-6]) when len(states) - 1 >= 2 then list_concat(states[-1], states[-2]) else states[-1] end as x from S)""", **T, S=SAMPLES),
+)
 def v10(spark, d):
-    full = samples(spark, d).where(F.size("states") == 8)
-    x = v.concat_layers(F.col("states"), v.layer_indices(7, [0, 2]))
-    return rounded(full.select("sample_id", x.alias("x")).select("sample_id", F.size("x").alias("n"), place_sum("x").alias("s")))
+    x = v.concat_layers(F.col("states"), [0, 5])
+    return rounded(samples(spark, d).select("sample_id", x.alias("x")).select("sample_id", F.size("x").alias("n"), place_sum("x").alias("s")))
 
 
 @query(
@@ -573,11 +576,12 @@ def t02(spark, d):
 
 @query(
     "t03_pad",
-    cte(f"""select hash_id, cast(10 * 3 as int) as n, {rd('list_sum(list_transform(flatten(list([epsilon_to_flip_token, ratio, margin] order by token_idx)), lambda e, i: e * i))')} as s from C group by hash_id""", **T, F=FEAT_SQL, C=CLEAN),
+    cte(f"""select hash_id, cast(any_value(total) as int) as seq_length, cast(5 * 3 as int) as n, {rd('list_sum(list_transform(flatten(list([epsilon_to_flip_token, ratio, margin] order by token_idx)), lambda e, i: e * i))')} as s
+from (select *, row_number() over (partition by hash_id order by token_idx) as k, count(*) over (partition by hash_id) as total from C) where k <= 5 group by hash_id""", **T, F=FEAT_SQL, C=CLEAN),
 )
 def t03(spark, d):
-    padded = sq.sequences(feats(spark, d), FEATS).select("hash_id", F.flatten(v.pad(F.col("features"), 10, 3)).alias("x"))
-    return rounded(padded.select("hash_id", F.size("x").alias("n"), place_sum("x").alias("s")))
+    padded = sq.padded_sequences(feats(spark, d), FEATS, 5).select("hash_id", "seq_length", F.flatten("features").alias("x"))
+    return rounded(padded.select("hash_id", "seq_length", F.size("x").alias("n"), place_sum("x").alias("s")))
 
 
 @query(

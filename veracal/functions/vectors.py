@@ -174,15 +174,21 @@ def last_unmasked(mask: Column, position: Column) -> Column:
     return F.when(masked, F.coalesce(F.array_max(open_positions), position)).otherwise(position)
 
 
-def layer_indices(n_layers: int, offsets: list[int]) -> list[int]:
-    """Positions of the chosen layers; offset 0 is the final layer."""
-    if n_layers >= max(offsets):
-        return [n_layers - o for o in offsets]
-    return [n_layers, n_layers - 1] if n_layers >= 2 else [n_layers]
+def concat_layers(states: Column, offsets: list[int]) -> Column:
+    """Vectors of the layers counted from the last one (offset 0), joined in the given order.
 
+    A row with too few layers gives its last two, or the only one.
+    """
+    n = F.size(states) - 1
+
+    def back(offset: int) -> Column:
+        return F.try_element_at(states, F.lit(-1 - offset))
 
-def concat_layers(states: Column, indices: list[int]) -> Column:
-    return F.concat(*[F.element_at(states, i + 1) for i in indices])
+    return (
+        F.when(n >= max(offsets), F.concat(*[back(o) for o in offsets]))
+        .when(n >= 2, F.concat(back(0), back(1)))
+        .otherwise(back(0))
+    )
 
 
 # Names of the state combinations and their channel order.

@@ -44,96 +44,77 @@ def _ratio(num: Column, den: Column, fallback: float = 0.0) -> Column:
     return F.when(den > 0, num / den).otherwise(F.lit(fallback))
 
 
-def _rank_terms() -> dict[str, Column]:
-    """Per-score contributions to the ranking metrics, from running counts."""
-    pos, neg, tp, fp = (F.col(c).cast("double") for c in ("pos", "neg", "tp", "fp"))
-    tp_before, fp_before = tp - pos, fp - neg
-    here = _ratio(tp, tp + fp)
-    before = _ratio(tp_before, tp_before + fp_before, 1.0)
-    return {
-        # ordered pairs minus reversed ones; ties add nothing
-        "auc_gap": tp_before * neg - fp_before * pos,
-        "pr_area": pos * (here + before) * 0.5,
-        "ap_sum": pos * here,
-    }
-
+# Per-score contributions to the ranking metrics, from running counts. An
+# ordered pair counts +1 and a reversed one -1, so ties add nothing; precision
+# before the first score is 1.
+_HERE = "tp / (tp + fp)"
+_BEFORE = "CASE WHEN tp + fp > pos + neg THEN (tp - pos) / (tp + fp - pos - neg) ELSE 1.0D END"
+RANK_TERMS = {
+    "auc_gap": "double(tp - pos) * neg - double(fp - neg) * pos",
+    "pr_area": f"pos * ({_HERE} + {_BEFORE}) * 0.5D",
+    "ap_sum": f"pos * ({_HERE})",
+}
 
 _COUNTS = ["n", "pos", "neg", "tp", "fp", "tn", "fn"]
 
 
 def _bin_partials(ranked: DataFrame, by: list[str], threshold: float, bins: int) -> DataFrame:
-    accept = F.col("c") >= F.lit(float(threshold))
-    pos, neg = F.col("pos"), F.col("neg")
-    n = pos + neg
-    terms = _rank_terms()
-    return (
-        ranked.withColumn("_bin", upper_closed_bin(F.col("c"), bins))
-        .withColumns({f"_{k}": v for k, v in terms.items()})
-        .groupBy(*by, "_bin")
-        .agg(
-            F.sum(n).alias("n"),
-            F.sum(pos).alias("pos"),
-            F.sum(neg).alias("neg"),
-            F.sum(F.when(accept, pos).otherwise(0)).alias("tp"),
-            F.sum(F.when(accept, neg).otherwise(0)).alias("fp"),
-            F.sum(F.when(accept, 0).otherwise(neg)).alias("tn"),
-            F.sum(F.when(accept, 0).otherwise(pos)).alias("fn"),
-            F.sum(F.col("c") * n).alias("_conf"),
-            F.sum(pos * F.pow(F.col("c") - 1.0, 2) + neg * F.pow(F.col("c"), 2)).alias("_sq"),
-            *[F.sum(f"_{k}").alias(f"_{k}") for k in terms],
-        )
-    )
+    accept = f"c >= {float(threshold)!r}D"
+    sums = {
+        "n": "pos + neg",
+        "pos": "pos",
+        "neg": "neg",
+        "tp": f"IF({accept}, pos, 0L)",
+        "fp": f"IF({accept}, neg, 0L)",
+        "tn": f"IF({accept}, 0L, neg)",
+        "fn": f"IF({accept}, 0L, pos)",
+        "_conf": "c * (pos + neg)",
+        "_sq": "pos * pow(c - 1, 2) + neg * pow(c, 2)",
+        **{f"_{k}": v for k, v in RANK_TERMS.items()},
+    }
+    binned = ranked.withColumn("_bin", upper_closed_bin(F.col("c"), bins))
+    return binned.groupBy(*by, "_bin").agg(*[F.expr(f"sum({v})").alias(k) for k, v in sums.items()])
 
 
 def _assemble(partials: DataFrame, by: list[str]) -> DataFrame:
-    gap = F.when(
-        F.col("_bin").isNotNull(), F.abs(F.col("_conf") / F.col("n") - F.col("pos") / F.col("n")) * F.col("n")
-    )
+    gap = F.expr("CASE WHEN _bin IS NOT NULL THEN abs(_conf / n - pos / n) * n END")
     totals = partials.withColumn("_gap", gap).groupBy(*by).agg(
-        *[F.coalesce(F.sum(k), F.lit(0)).cast("bigint").alias(k) for k in _COUNTS],
-        *[F.sum(k).alias(k) for k in ("_gap", "_sq", "_auc_gap", "_pr_area", "_ap_sum")],
+        *[F.expr(f"coalesce(sum({k}), 0L)").alias(k) for k in _COUNTS],
+        *[F.expr(f"sum({k})").alias(k) for k in ("_gap", "_sq", "_auc_gap", "_pr_area", "_ap_sum")],
     )
-    n, pos, neg, tp, fp, tn, fn = (F.col(k) for k in _COUNTS)
-    single = (pos == 0) | (neg == 0)
-    flawless = F.when((fp + fn) == 0, F.lit(1.0)).otherwise(F.lit(0.0))
-
-    def guarded(value: Column, empty: float) -> Column:
-        return F.when(n == 0, F.lit(empty)).otherwise(value)
-
-    def two_class(value: Column) -> Column:
-        return guarded(F.when(single, flawless).otherwise(value), 0.0)
 
-    recall = _ratio(tp, tp + fn)
-    return totals.select(
-        *by,
-        n.alias("n_samples"),
-        guarded((tp + tn) / F.when(n > 0, n), 0.0).alias("accuracy"),
-        guarded(F.coalesce(F.col("_gap"), F.lit(0.0)) / F.when(n > 0, n), 1.0).alias("ece"),
-        guarded(F.col("_sq") / F.when(n > 0, n), 1.0).alias("brier"),
-        two_class(_ratio(tp, tp + fp)).alias("precision"),
-        two_class(recall).alias("recall"),
-        two_class(_ratio(2 * tp, 2 * tp + fp + fn)).alias("f1"),
-        two_class(recall).alias("sensitivity"),
-        two_class(_ratio(tn, tn + fp)).alias("specificity"),
-        guarded(
-            F.when(single, F.lit(0.5)).otherwise(
-                0.5 + 0.5 * F.col("_auc_gap") / F.when(~single, pos.cast("double") * neg)
-            ),
-            0.5,
-        ).alias("auroc"),
-        guarded(
-            F.when(single, pos / F.when(n > 0, n)).otherwise(F.col("_pr_area") / F.when(pos > 0, pos)), 0.0
-        ).alias("aucpr"),
-        guarded(F.when(single, F.lit(0.0)).otherwise(F.col("_ap_sum") / F.when(pos > 0, pos)), 0.0).alias(
-            "average_precision"
-        ),
-        tp.alias("tp"),
-        fp.alias("fp"),
-        tn.alias("tn"),
-        fn.alias("fn"),
-        pos.alias("n_pos"),
-        neg.alias("n_neg"),
-    )
+    def guarded(value: str, empty: float) -> str:
+        return f"CASE WHEN n = 0 THEN {empty}D ELSE {value} END"
+
+    def two_class(num: str, den: str) -> str:
+        """A ratio, 0 for an empty denominator; one class alone scores 1 when nothing is wrong, else 0."""
+        ratio = f"CASE WHEN {den} > 0 THEN double({num}) / ({den}) ELSE 0.0D END"
+        return guarded(f"CASE WHEN pos = 0 OR neg = 0 THEN IF(fp + fn = 0, 1.0D, 0.0D) ELSE {ratio} END", 0.0)
+
+    def ranking(value: str, single: str) -> str:
+        return f"CASE WHEN pos = 0 OR neg = 0 THEN {single} ELSE {value} END"
+
+    values = {
+        "n_samples": "n",
+        "accuracy": guarded("(tp + tn) / n", 0.0),
+        "ece": guarded("coalesce(_gap, 0.0D) / n", 1.0),
+        "brier": guarded("_sq / n", 1.0),
+        "precision": two_class("tp", "tp + fp"),
+        "recall": two_class("tp", "tp + fn"),
+        "f1": two_class("2 * tp", "2 * tp + fp + fn"),
+        "sensitivity": two_class("tp", "tp + fn"),
+        "specificity": two_class("tn", "tn + fp"),
+        "auroc": guarded(ranking("0.5D + 0.5D * _auc_gap / (double(pos) * neg)", "0.5D"), 0.5),
+        "aucpr": guarded(ranking("_pr_area / pos", "pos / n"), 0.0),
+        "average_precision": guarded(ranking("_ap_sum / pos", "0.0D"), 0.0),
+        "tp": "tp",
+        "fp": "fp",
+        "tn": "tn",
+        "fn": "fn",
+        "n_pos": "pos",
+        "n_neg": "neg",
+    }
+    return totals.select(*by, *[F.expr(v).alias(k) for k, v in values.items()])
 
 
 def metrics_from_histogram(hist: DataFrame, by: list[str], threshold: float = 0.5, bins: int = 10) -> DataFrame:
@@ -257,20 +238,17 @@ def average_precision(P: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _ranking(P: DataFrame, by: list[str]) -> DataFrame:
-    terms = _rank_terms()
     sums = (
         ranked_histogram(score_histogram(P, by), by)
-        .select(*by, "pos", "neg", *[v.alias(k) for k, v in terms.items()])
         .groupBy(*by)
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), *[F.sum(k).alias(k) for k in terms])
+        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), *[F.expr(f"sum({v})").alias(k) for k, v in RANK_TERMS.items()])
     )
-    pos, neg = F.col("pos"), F.col("neg")
-    both = (pos > 0) & (neg > 0)
+    both = "pos > 0 AND neg > 0"
     return sums.select(
         *by,
-        F.when(both, 0.5 + 0.5 * F.col("auc_gap") / (pos.cast("double") * neg)).otherwise(F.lit(0.5)).alias("auroc"),
-        F.when(both, F.col("pr_area") / pos).otherwise(_ratio(pos, pos + neg)).alias("aucpr"),
-        F.when(both, F.col("ap_sum") / pos).otherwise(F.lit(0.0)).alias("average_precision"),
+        F.expr(f"CASE WHEN {both} THEN 0.5D + 0.5D * auc_gap / (double(pos) * neg) ELSE 0.5D END").alias("auroc"),
+        F.expr(f"CASE WHEN {both} THEN pr_area / pos WHEN pos + neg > 0 THEN pos / (pos + neg) ELSE 0.0D END").alias("aucpr"),
+        F.expr(f"CASE WHEN {both} THEN ap_sum / pos ELSE 0.0D END").alias("average_precision"),
     )
 
 

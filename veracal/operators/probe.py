@@ -25,10 +25,8 @@ def _softplus(z: Column) -> Column:
     return F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
 
 
-def probe_loss(df: DataFrame, weights: list[float], bias: float = 0.0, variant: str = "full",
-               beta: float = 1.0, lam: float = 1.0, margin: float = 0.1) -> DataFrame:
-    """Loss terms of a linear probe over (h_base, h_blank, y, mask), in one pass."""
-    use_rank, use_brier = VARIANTS[variant]
+def loss_terms(df: DataFrame, weights: list[float], bias: float = 0.0, margin: float = 0.1) -> DataFrame:
+    """One row (bce, brier, rank) of a linear probe over (h_base, h_blank, y, mask), in one pass."""
     pw = pos_weight(df, []).scalar()
     z = df.select(
         linear_score(F.col("h_base"), weights, bias).alias("z"),
@@ -41,13 +39,30 @@ def probe_loss(df: DataFrame, weights: list[float], bias: float = 0.0, variant:
     brier = F.avg(F.pow(p - y, 2))
     active = y * F.col("m")
     rank = F.sum(F.greatest(F.lit(0.0), F.lit(margin) - (p - pk)) * active) / (F.sum(active) + F.lit(1e-8))
-    terms = z.agg(bce.alias("bce"), brier.alias("brier"), rank.alias("rank"))
+    return z.agg(bce.alias("bce"), brier.alias("brier"), rank.alias("rank"))
+
+
+def _combined(variant: str, beta: float, lam: float) -> Column:
+    use_rank, use_brier = VARIANTS[variant]
     whole = F.col("bce")
     if use_brier:
         whole = whole + F.lit(beta) * F.col("brier")
     if use_rank:
         whole = whole + F.lit(lam) * F.col("rank")
-    return terms.withColumn("loss", whole)
+    return whole
+
+
+def probe_loss(df: DataFrame, weights: list[float], bias: float = 0.0, variant: str = "full",
+               beta: float = 1.0, lam: float = 1.0, margin: float = 0.1) -> DataFrame:
+    """Loss terms and their sum for one variant."""
+    return loss_terms(df, weights, bias, margin).withColumn("loss", _combined(variant, beta, lam))
+
+
+def loss_variants(df: DataFrame, weights: list[float], bias: float = 0.0, beta: float = 1.0, lam: float = 1.0,
+                  margin: float = 0.1) -> DataFrame:
+    """The loss of every variant; the terms are computed once."""
+    rows = [F.struct(F.lit(v).alias("variant"), _combined(v, beta, lam).alias("loss")) for v in VARIANTS]
+    return loss_terms(df, weights, bias, margin).select(F.inline(F.array(*rows)))
 
 
 def fit_linear(df: DataFrame, variant: str = "full", steps: int = 50, lr: float = 0.5,

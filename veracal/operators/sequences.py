@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions.vectors import pad
 
 
 def token_rows(samples: DataFrame, features: list[str], tokens: str = "tokens") -> DataFrame:
@@ -56,6 +58,26 @@ def sequences(df: DataFrame, features: list[str], key: str = "hash_id", label: s
     )
 
 
+def padded_sequences(df: DataFrame, features: list[str], length: int = 64, key: str = "hash_id",
+                     label: str = "is_correct", eps_high: float = 20.0) -> DataFrame:
+    """The first ``length`` steps of every sample, zero padded, with the full length and the label.
+
+    Later tokens are dropped before anything is collected, so a list never holds
+    more than ``length`` steps.
+    """
+    rows = clean_features(df, features, eps_high)
+    order = Window.partitionBy(key).orderBy("token_idx")
+    head = rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= length)
+    step = F.struct(F.col("_k"), F.array(*[F.col(f) for f in features]).alias("x"))
+    packed = head.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(step)), lambda s: s["x"]).alias("_f"))
+    facts = df.groupBy(key).agg(
+        F.count("*").cast("int").alias("seq_length"), F.min_by(label, "token_idx").cast("int").alias("label")
+    )
+    return facts.join(packed, key).select(
+        key, pad(F.col("_f"), length, len(features)).alias("features"), "seq_length", "label"
+    )
+
+
 def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row with mean_<col> and scale_<col>; population std, 1 where it is zero."""
     aggs = []
