@@ -87,9 +87,9 @@ def l07(spark, d):
 
 @query(
     "l08_configuration_scores",
-    cte("""select layers, margin, beta, n_params, count(*) as n from (select * from (select unnest(['0', '256', '512,256']) as layers) cross join (select unnest([0.05, 0.1]::double[]) as margin)
+    cte("""select layers, margin, beta, cast(k as bigint) as n_params, count(*) as n from (select * from (select unnest(['0', '256', '512,256']) as layers) cross join (select unnest([0.05, 0.1]::double[]) as margin)
   cross join (select unnest([0.5, 1.0]::double[]) as beta)) join (select case label % 3 when 0 then '0' when 1 then '256' else '512,256' end as layers from E) using (layers)
-join (values ('0', 65), ('256', 64 * 256 + 256 + 257), ('512,256', 64 * 512 + 512 + 512 * 256 + 256 + 257)) n(layers, n_params) using (layers) group by all"""
+join (values ('0', 65), ('256', 64 * 256 + 256 + 257), ('512,256', 64 * 512 + 512 + 512 * 256 + 256 + 257)) n(layers, k) using (layers) group by all"""
         , E="select label from embeddings"),
 )
 def l08(spark, d):

@@ -100,9 +100,9 @@ def stratified_exact(df: DataFrame, col: str, key: str, size: int, seed: int = 4
     Rows are picked by a seeded digest of their key, so the choice is repeatable
     and no class is sorted in one task.
     """
-    quotas = class_quotas(df, col, size).select(col, "quota")
+    quotas = class_quotas(df, col, size).select(col, F.col("n").alias("_n"), F.col("quota").alias("_quota"))
     joined = df.join(quotas, col).withColumn("_digest", F.md5(F.concat(F.lit(f"{seed}_"), F.col(key).cast("string"))))
-    return take_per_group(joined, [col], "_digest", "hex", "quota").select(*df.columns)
+    return take_per_group(joined, [col], "_digest", "_n", "_quota").select(*df.columns)
 
 
 def slice_rows(df: DataFrame, start: int, end: int | None, order: str, kind: str = "long",

@@ -259,10 +259,15 @@ def quantiles(df: DataFrame, col: str, by: list[str], probs: dict[str, float]) -
     return describe(df, col, by, probs).select(*by, *probs)
 
 
-def take_per_group(df: DataFrame, by: list[str], order: str, kind: str, quota: str) -> DataFrame:
-    """Rows whose position in their group is below the row's quota column."""
+def take_per_group(df: DataFrame, by: list[str], digest: str, size: str, quota: str, rows: int = 20_000) -> DataFrame:
+    """Rows whose position in their group, along an evenly spread hex digest, is within the row's quota.
+
+    ``size`` names a column with the group's row count: a group is cut into as
+    many blocks as it needs to hold about ``rows`` rows each, a small one into none.
+    """
+    share = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
+    block = F.floor(share * F.ceil(F.col(size) / float(rows))).cast("bigint")
     ranked = running(
-        df, by, BLOCKS[kind](F.col(order)), [order], {"_seen": ("sum", F.lit(1).cast("bigint"))},
-        text=kind == "hex",
+        df, by, [F.shiftright(block, 12), block], [digest], {"_seen": ("sum", F.lit(1).cast("bigint"))}
     )
     return ranked.where(F.col("_seen") <= F.col(quota)).drop("_seen")
