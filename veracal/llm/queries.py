@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, sharding
+from . import chat, mixing, neardup, sharding, simhash, topk
 from .common import source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,45 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
         F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+OP4_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5"""
+
+
+@query("op4_exact_topk", OP4_SQL)
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    return topk.exact_topk(source(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op5_simhash_groups")
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.simhash_groups(source(spark, d, "documents"))
+
+
+OP10_SQL = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.93),
+reach as (
+  select vec_id as a, vec_id as b from embeddings
+  union select r.a, l.b from reach r join links l on r.b = l.a)
+select vec_id, cast(coalesce(n, 0) as bigint) as n_links, c as component_id, vec_id = c as kept
+from embeddings join (select a, min(b) as c from reach group by a) on a = vec_id
+left join (select a as la, count(*) as n from links group by a) on la = vec_id"""
+
+
+@query("op10_near_vectors", OP10_SQL)
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_vectors(source(spark, d, "embeddings"))
