@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, neardup, sharding, simhash, topk
+from . import chat, langid, mixing, neardup, pieces, pii, sharding, simhash, topk
 from .common import source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,19 @@ left join (select a as la, count(*) as n from links group by a) on la = vec_id""
 @query("op10_near_vectors", OP10_SQL)
 def op10(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_vectors(source(spark, d, "embeddings"))
+
+
+@query("op1_surrogates")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    return pii.replace_entities(source(spark, d, "documents"), length="n_chars")
+
+
+@query("op2_language_fusion")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    return langid.identify(source(spark, d, "documents"), source(spark, d, "pages"))
+
+
+@query("op6_streaming_viterbi")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    docs = source(spark, d, "documents").select("doc_id", pieces.encode(F.col("text")).alias("ids"), F.xxhash64("text").alias("_of"))
+    return docs.select("doc_id", "ids", F.size("ids").alias("n_tokens"), (F.xxhash64(pieces.decode(F.col("ids"))) == F.col("_of")).alias("round_trip"))
