@@ -130,26 +130,29 @@ class Model:
 
     def _extend(self, text: str, base: int, last: list[str], best: list[float], to: int) -> None:
         """Add the backpointers of the positions up to ``to``; ``last[0]`` is position ``base``."""
-        ids, pairs, tails, scores = self.ids, self._pairs, self.tails, self.scores
-        for end in range(base + len(last), to + 1):
-            piece = text[end - 1]
-            if self.kind == BPE:
-                for n in tails.get(text[max(0, end - 2):end], ()):
-                    if n <= end - base:
+        if self.kind == BPE:
+            ids, fits, tails = self.ids, self._pairs.get, self.tails.get
+            for end in range(base + len(last), to + 1):
+                piece, room = text[end - 1], end - base
+                for n in tails(text[end - 2:end], ()):
+                    if n <= room:
                         longer = text[end - n:end]
                         if longer in ids:
-                            before = last[end - base - n]
-                            fits = pairs.get((before, longer))
-                            if fits or (fits is None and self._stays(before, longer)):
+                            before = last[room - n]
+                            fit = fits((before, longer))
+                            if fit or (fit is None and self._stays(before, longer)):
                                 piece = longer
                                 break
-            else:
-                top = best[-1] + self.worst
-                for start in range(max(base, end - self.longest), end):
-                    i = ids.get(text[start:end])
-                    if i is not None and best[start - base] + scores[i] > top:
-                        top, piece = best[start - base] + scores[i], text[start:end]
-                best.append(top)
+                last.append(piece)
+            return
+        ids, scores = self.ids, self.scores
+        for end in range(base + len(last), to + 1):
+            piece, top = text[end - 1], best[-1] + self.worst
+            for start in range(max(base, end - self.longest), end):
+                i = ids.get(text[start:end])
+                if i is not None and best[start - base] + scores[i] > top:
+                    top, piece = best[start - base] + scores[i], text[start:end]
+            best.append(top)
             last.append(piece)
 
     def _viterbi(self, text: str):
@@ -200,6 +203,7 @@ class Model:
     def _learn(self, words: set[str]) -> None:
         """Encode words in sorted order, so that each starts from the positions it shares with the one before."""
         before, last, best = "", [""], [0.0]
+        known, ids, extend = self._words, self.ids, self._extend
         for word in sorted(words):
             same = 0
             for x, y in zip(before, word):
@@ -207,9 +211,16 @@ class Model:
                     break
                 same += 1
             del last[same + 1:], best[same + 1:]
-            self._extend(word, 0, last, best, len(word))
-            before = word
-            self._words[word] = array("i", self._to_ids(self._walk(last, len(word)))).tobytes()
+            at = len(word)
+            extend(word, 0, last, best, at)
+            before, path = word, []
+            while at:
+                piece = last[at]
+                path.append(ids.get(piece, -1))
+                at -= len(piece)
+            if -1 in path:
+                path = self._to_ids(self._walk(last, len(word)))[::-1]
+            known[word] = array("i", path[::-1]).tobytes()
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """The ids of each text. Words are encoded once for each group of about a million characters and kept for later ones."""
