@@ -22,15 +22,18 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNKNOWN_PENALTY = 10.0  # fixed value of the format: an unknown character scores this much below the worst piece
 WORDS_KEPT = 400_000
+SLICE_ROWS = 1024
+GROUP_CHARS = 1 << 22
 WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -223,12 +226,12 @@ class Model:
             known[word] = array("i", path[::-1]).tobytes()
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        """The ids of each text. Words are encoded once for each group of about a million characters and kept for later ones."""
+        """The ids of each text. Words are encoded once for each group of GROUP_CHARS characters and kept for later ones."""
         out: list = []
         at = 0
         while at < len(texts):
             group, size = [], 0
-            while at < len(texts) and size < 1 << 20:
+            while at < len(texts) and size < GROUP_CHARS:
                 text = texts[at]
                 at += 1
                 if text is not None:
@@ -236,16 +239,20 @@ class Model:
                     size += len(text)
                 group.append(text)
             # no piece joins words, so all paths meet at their ends
-            split = [None if t is None else WORD.findall(t) if self.splits else [t] * bool(t) for t in group]
-            short = 8 * self.longest
-            if len(self._words) > WORDS_KEPT:
-                self._words.clear()
-            self._learn({w for words in split if words for w in words if len(w) <= short}.difference(self._words))
-            known = self._words
-            for words in split:
-                if words is None:
+            split = WORD.findall if self.splits else lambda t: [t] * bool(t)
+            short, known = 8 * self.longest, self._words
+            if len(known) > WORDS_KEPT:
+                known.clear()
+            missing: set[str] = set()
+            for text in group:
+                if text:
+                    missing.update(split(text))
+            self._learn({w for w in missing.difference(known) if len(w) <= short})
+            for text in group:
+                if text is None:
                     out.append(None)
                     continue
+                words = split(text)
                 found = [known.get(w) for w in words]
                 if None in found:
                     for k in [k for k, ids in enumerate(found) if ids is None]:
@@ -305,3 +312,28 @@ def decode(ids: Column, path: str | None = None) -> Column:
         return pd.Series([None if x is None else m.decode(x.tolist()) for x in ids], dtype=object)
 
     return of(ids)
+
+
+def tokenized(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+    """The rows with ``ids``, ``n_tokens`` and ``round_trip`` (whether the ids decode to the text) in place of ``text``.
+
+    Arrow batches are worked off in slices, so that neither ids nor decoded texts of a whole batch are held at once.
+    """
+    path = path or model_path()
+    keep = [f for f in df.schema.fields if f.name not in (text, "ids", "n_tokens", "round_trip")]
+    schema = StructType([*keep, StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", IntegerType()), StructField("round_trip", BooleanType())])
+
+    def work(batches):
+        m = model(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                texts = part.column(text).to_pylist()
+                ids = m.encode_all(texts)
+                same = [None if x is None else m.decode(x.tolist()) == t for x, t in zip(ids, texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(f.name) for f in keep], pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int32()), pa.array(same, pa.bool_())],
+                    names=schema.names,
+                )
+
+    return df.select(*[f.name for f in keep], text).mapInArrow(work, schema)

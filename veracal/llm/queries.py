@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, langid, mixing, neardup, pieces, pii, sharding, simhash, topk
+from . import chat, langid, mixing, neardup, pieces, pii, repeats, sharding, simhash, topk
 from .common import source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,5 +119,9 @@ def op2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("op6_streaming_viterbi")
 def op6(spark: SparkSession, d: str) -> DataFrame:
-    docs = source(spark, d, "documents").select("doc_id", pieces.encode(F.col("text")).alias("ids"), F.xxhash64("text").alias("_of"))
-    return docs.select("doc_id", "ids", F.size("ids").alias("n_tokens"), (F.xxhash64(pieces.decode(F.col("ids"))) == F.col("_of")).alias("round_trip"))
+    return pieces.tokenized(source(spark, d, "documents").select("doc_id", "text"))
+
+
+@query("op8_repeated_passages")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.remove_repeats(source(spark, d, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
