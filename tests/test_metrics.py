@@ -6,7 +6,6 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from veracal.operators import metrics as m
-from veracal.operators.ordered import plain_window_limit
 
 from . import brute
 
@@ -34,10 +33,8 @@ def pairs(spark):
     return spark.createDataFrame(pd.concat(frames)).repartition(5).cache()
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 40])
-def test_metrics_match_definitions(pairs, limit):
-    with plain_window_limit(limit):
-        got = {r["g"]: r for r in m.all_metrics(pairs, ["g"]).collect()}
+def test_metrics_match_definitions(pairs):
+    got = {r["g"]: r for r in m.all_metrics(pairs, ["g"]).collect()}
     for k, (y, c) in cases().items():
         r = got[k]
         assert r["n_samples"] == len(y)
@@ -58,8 +55,7 @@ def test_youden_matches_scan(pairs):
 
 def test_null_groups_are_kept(spark):
     df = spark.createDataFrame([(None, 1, 0.9), (None, 0, 0.2), ("a", 1, 0.4), ("a", 0, 0.6)], "g string, y int, c double")
-    with plain_window_limit(0):
-        got = {r["g"]: r["auroc"] for r in m.all_metrics(df, ["g"]).collect()}
+    got = {r["g"]: r["auroc"] for r in m.all_metrics(df, ["g"]).collect()}
     assert got == {None: 1.0, "a": 0.0}
 
 
@@ -97,11 +93,10 @@ def test_levels_equal_separate_groupings(pairs):
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.tuples(st.integers(0, 1), st.sampled_from(EDGES + [0.25, 0.5, 0.75])), min_size=1, max_size=30), st.sampled_from([0, 1 << 40]))
-def test_any_small_table(spark, rows, limit):
+@given(st.lists(st.tuples(st.integers(0, 1), st.sampled_from(EDGES + [0.25, 0.5, 0.75])), min_size=1, max_size=30))
+def test_any_small_table(spark, rows):
     y, c = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    with plain_window_limit(limit):
-        got = m.all_metrics(spark.createDataFrame([(int(a), float(b)) for a, b in rows], "y int, c double"), []).first()
+    got = m.all_metrics(spark.createDataFrame([(int(a), float(b)) for a, b in rows], "y int, c double"), []).first()
     assert got["ece"] == pytest.approx(brute.ece(y, c), abs=1e-12)
     assert got["auroc"] == pytest.approx(brute.auroc(y, c), abs=1e-12)
     assert got["aucpr"] == pytest.approx(brute.aucpr(y, c), abs=1e-12)

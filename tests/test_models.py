@@ -120,3 +120,11 @@ def test_evaluation_plan(spark, tmp_path):
     assert overall["n_samples"] == 58
     assert {r["dataset"] for r in out if r["level"] == 2} == {"d1", "unknown"}
     assert spark.read.json(str(tmp_path / "summary")).first()["overall"]["n_samples"] == 58
+
+
+def test_early_stop_counts_evaluations_and_skips_nan(spark):
+    nan = float("nan")
+    rows = [("a", 0, 0.5, 1.0), ("a", 5, nan, 2.0), ("a", 10, 0.9, 3.0), ("b", 0, None, 1.0), ("b", 1, 0.2, 2.0), ("b", 2, nan, 3.0), ("b", 3, 0.1, 4.0), ("b", 4, 0.8, 5.0), ("c", 0, None, 1.0)]
+    df = spark.createDataFrame(rows, "trial string, epoch long, score double, tau double")
+    got = {r["trial"]: tuple(r)[1:] for r in p.replay_early_stop(df, patience=2, point=["tau"]).collect()}
+    assert got == {"a": (10, 0.9, 10, False, 3.0), "b": (1, 0.2, 3, True, 2.0), "c": (None, None, 0, False, None)}

@@ -6,18 +6,8 @@ from . import registry
 
 MODULES = ["metrics", "reports", "curation", "quality", "joins", "text", "vectors", "probes", "sources"]
 
-# Order-dependent queries that are also checked in the form large inputs take.
-BLOCKED = [
-    "m00_all_metrics", "m07_auroc_one_group", "m08_aucpr_ties", "m12_metrics_by_groups", "a09_signed_rank",
-    "c13_slice_rows", "c14_balanced_shards", "u06_stratified_exact", "q05_word_summary", "q06_histogram",
-    "q07_clipped_histogram", "q08_runs", "j12_random_partner", "l09_early_stop_replay",
-]
-
 
 def load():
     for name in MODULES:
         importlib.import_module(f"{__name__}.{name}")
-    for name in BLOCKED:
-        if f"{name}_blocked" not in registry.QUERIES:
-            registry.query_blocked(f"{name}_blocked", name)
     return registry

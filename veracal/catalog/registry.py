@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType
 
-from ..operators.ordered import plain_window_limit
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,16 +23,6 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def query_blocked(name: str, of: str):
-    """Register a query once more with every order cut into blocks, as large inputs are."""
-
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        with plain_window_limit(0):
-            return QUERIES[of](spark, d)
-
-    query(name, ORACLES[of])(run)
-
-
 # Moves exact decimal halves off the rounding edge, where the last bit of a sum would decide.
 NUDGE = 1.2345e-11
 

@@ -115,8 +115,12 @@ def first_present(names: list[str]) -> Column:
 
 
 def answer_letter(text: Column, options: list[Column]) -> Column:
-    """Letter whose option equals the text, else the first one that contains it or is contained."""
-    wanted = F.lower(strip(F.coalesce(text, F.lit(""))))
+    """Letter whose option equals the text, else the first one that contains it or is contained.
+
+    A missing answer is read as ``nan``, as a table reader prints it, so it has no
+    letter unless an option happens to hold that word.
+    """
+    wanted = F.lower(strip(F.coalesce(text, F.lit("nan"))))
     cleaned = []
     for i, opt in enumerate(options):
         t = F.lower(strip(F.coalesce(opt, F.lit(""))))

@@ -15,9 +15,17 @@ class ContractError(ValueError):
     """A table does not have the agreed counts."""
 
 
-def join_outputs(items: DataFrame, outputs: DataFrame, key: str = "hash_id") -> DataFrame:
-    """Every output row with its item columns; outputs without an item are dropped."""
-    return outputs.join(items, key, "inner").withColumn("is_correct", F.col("is_correct").cast("int"))
+def last_per_key(df: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """One row per key, the last along ``order`` (without one: along the other columns); null keys match nothing and go."""
+    others = [c for c in df.columns if c != key]
+    row = F.struct(*others)
+    last = F.max_by(row, F.struct(*order)) if order else F.max(row)
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(last.alias("_row")).select(key, "_row.*")
+
+
+def join_outputs(items: DataFrame, outputs: DataFrame, key: str = "hash_id", order: list[str] | None = None) -> DataFrame:
+    """Every output row once with its item columns; outputs without an item are dropped."""
+    return outputs.join(last_per_key(items, key, order), key, "inner").withColumn("is_correct", F.col("is_correct").cast("int"))
 
 
 def join_diagnostics(left: DataFrame, right: DataFrame, key: str = "hash_id") -> DataFrame:
@@ -42,9 +50,12 @@ def only_in(left: DataFrame, right: DataFrame, key: str, n: int = 5) -> DataFram
 
 def assert_contract(check: DataFrame) -> DataFrame:
     """Fail when any row of a contract check is not ok; returns the check."""
-    bad = check.where(~F.col("ok")).limit(20).collect()
+    wrong = check.where(~F.coalesce("ok", F.lit(False)))
+    bad = wrong.limit(20).collect()
     if bad:
-        raise ContractError("counts differ from the contract: " + "; ".join(str(r.asDict()) for r in bad))
+        more = wrong.count() - len(bad)
+        listed = "; ".join(str(r.asDict()) for r in bad) + (f"; and {more} more" if more else "")
+        raise ContractError("counts differ from the contract: " + listed)
     return check
 
 
@@ -93,7 +104,7 @@ def pending(df: DataFrame, done: DataFrame, available: DataFrame | None = None,
 
 def override(df: DataFrame, other: DataFrame, key: str, col: str) -> DataFrame:
     """The other table's value wins wherever it has the key, even when null; ``origin`` tells which."""
-    side = other.select(key, F.col(col).alias("_other"), F.lit(True).alias("_has"))
+    side = last_per_key(other.select(key, F.col(col).alias("_other")), key).withColumn("_has", F.lit(True))
     has = F.coalesce("_has", F.lit(False))
     return (
         df.join(side, key, "left")
@@ -108,7 +119,7 @@ def override(df: DataFrame, other: DataFrame, key: str, col: str) -> DataFrame:
 
 def fallback(df: DataFrame, other: DataFrame, key: str, col: str) -> DataFrame:
     """Own value, else the other table's."""
-    side = other.select(key, F.col(col).alias("_other"))
+    side = last_per_key(other.select(key, F.col(col).alias("_other")), key)
     return df.join(side, key, "left").withColumn(col, F.coalesce(col, "_other")).drop("_other")
 
 

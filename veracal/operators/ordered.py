@@ -1,8 +1,7 @@
 """Running aggregates, dense indexes and exact quantiles over any number of rows.
 
-A window over one big group would sort that group in one task. Unless the whole
-input is small, the order is cut into blocks whose ids are computed from the
-value itself: block totals are rolled up, carried forward over the (few) blocks,
+A window over one big group would sort that group in one task. The order is cut
+into blocks whose ids are computed from the value itself: block totals are rolled up, carried forward over the (few) blocks,
 and joined back, so a window only ever covers one block. Block ids come from the
 row alone, hence the result does not depend on partitioning and survives
 recomputation.
@@ -10,37 +9,11 @@ recomputation.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegralType
 
 GROUP = "_group"
 
-# Inputs whose planned size is below this are ordered with one plain window per
-# group; a task can sort that much even if a single group holds all of it.
-PLAIN_WINDOW_BYTES = 32 * 1024 * 1024
-
-
-@contextmanager
-def plain_window_limit(size: int):
-    """Plans built inside use another limit; 0 orders everything by blocks."""
-    global PLAIN_WINDOW_BYTES
-    before, PLAIN_WINDOW_BYTES = PLAIN_WINDOW_BYTES, size
-    try:
-        yield
-    finally:
-        PLAIN_WINDOW_BYTES = before
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether the planner's size estimate is known and small. An unknown size counts as large."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(str(size)) <= PLAIN_WINDOW_BYTES
-    except Exception:
-        return False
-
 
 def score_blocks(c: Column) -> list[Column]:
     """Two block ids, monotone in a double.
@@ -63,8 +36,8 @@ def score_blocks(c: Column) -> list[Column]:
 
 
 def long_blocks(i: Column) -> list[Column]:
-    """Two block ids, monotone in a 64-bit integer."""
-    return [F.shiftright(i.cast("bigint"), 36), F.shiftright(i.cast("bigint"), 18)]
+    """Three block ids, monotone in a 64-bit integer; keys spread over all bits fill no level with more than 2**18."""
+    return [F.shiftright(i.cast("bigint"), bits) for bits in (52, 36, 18)]
 
 
 def hex_blocks(digest: Column) -> list[Column]:
@@ -106,20 +79,14 @@ def running(
     inclusive: bool = True,
     totals: bool = False,
     text: bool = False,
-    blocked: bool | None = None,
 ) -> DataFrame:
     """Add running aggregates along an order inside each group.
 
     ``aggs`` maps an output name to (kind, column) with kind ``sum``, ``max`` or
     ``last`` (last non-null value). ``blocks`` run from coarse to fine and must
     be monotone in ``order``; ``text`` says that they are strings. ``totals`` adds
-    ``<name>_total`` for the sums. ``blocked`` forces one of the two plans, which
-    is otherwise chosen by the input's size.
+    ``<name>_total`` for the sums.
     """
-    if blocked is None:
-        blocked = not fits_one_task(df)
-    if not blocked:
-        return _plain(df, by, order, aggs, descending, inclusive, totals)
     names = [f"_b{i}" for i in range(len(blocks))]
     values = {out: f"_v_{out}" for out in aggs}
     base = df.select(
@@ -191,19 +158,6 @@ def running(
     return joined.select(*df.columns, *outs, *total_names)
 
 
-def _plain(df, by, order, aggs, descending, inclusive, totals) -> DataFrame:
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    window = group.orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    outs = []
-    for out, (kind, value) in aggs.items():
-        local = _over(kind, value, window)
-        outs.append((F.coalesce(local, F.lit(0)) if kind == "sum" else local).alias(out))
-    if totals:
-        outs += [F.sum(value).over(group).alias(f"{out}_total") for out, (kind, value) in aggs.items() if kind == "sum"]
-    return df.select("*", *outs)
-
-
 def dense_index(
     df: DataFrame, order: str, kind: str, by: list[str] | None = None, name: str = "idx"
 ) -> DataFrame:

@@ -179,35 +179,32 @@ def config_grid(spark: SparkSession, space: dict[str, list]) -> DataFrame:
 
 
 def replay_early_stop(hist: DataFrame, patience: int = 20, trial: str = "trial", epoch: str = "epoch",
-                      score: str = "score") -> DataFrame:
-    """Best epoch and score of every trial as training would have stopped.
+                      score: str = "score", point: list[str] | None = None) -> DataFrame:
+    """Best epoch and score of every trial as training would have stopped, and the ``point`` columns of that epoch.
 
-    Only a strictly larger score resets the patience; training ends at the first
-    epoch with ``patience`` misses in a row.
+    Rows are evaluations; epochs between them may be missing. Only a strictly
+    larger score resets the patience, and a null or NaN score is never larger;
+    training ends at the first evaluation with ``patience`` misses in a row. A
+    trial without any usable score has null results.
     """
-    by = [trial]
+    by, point = [trial], point or []
     block = [F.shiftright(F.col(epoch).cast("bigint"), 16)]
-    seen = running(
-        hist.select(trial, epoch, score), by, block, [epoch], {"_best": ("max", F.col(score))}, inclusive=False
-    )
-    better = F.col("_best").isNull() | (F.col(score) > F.col("_best"))
-    marked = seen.withColumn("_up", F.when(better, F.col(epoch)))
-    aged = running(
-        marked, by, block, [epoch],
-        {"_last_up": ("max", F.col("_up"))},
-    )
-    # epochs are consecutive, so the distance to the last improvement counts the misses
+    given = hist.select(trial, epoch, F.when(~F.isnan(score), F.col(score)).alias(score), *point)
+    seen = running(given, by, block, [epoch], {"_best": ("max", F.col(score))}, inclusive=False)
+    better = F.col(score).isNotNull() & (F.col("_best").isNull() | (F.col(score) > F.col("_best")))
+    marked = running(seen.withColumn("_up", better), by, block, [epoch], {"_n": ("sum", F.lit(1).cast("bigint"))})
+    aged = running(marked, by, block, [epoch], {"_last_up": ("max", F.when(F.col("_up"), F.col("_n")))})
+    misses = F.col("_n") - F.coalesce("_last_up", F.lit(0))
     stop = aged.groupBy(trial).agg(
-        F.min(F.when(F.col(epoch) - F.col("_last_up") >= patience, F.col(epoch))).alias("stop_epoch"),
-        F.max(epoch).alias("_final"),
+        F.min(F.when(misses >= patience, F.col(epoch))).alias("stop_epoch"), F.max(epoch).alias("_final")
     )
     kept = aged.join(stop, trial).where(F.col(epoch) <= F.coalesce("stop_epoch", "_final"))
     return kept.groupBy(trial).agg(
-        F.max(F.struct(score, (-F.col(epoch)).alias("e"))).alias("_b"),
+        F.max_by(F.struct(epoch, score, *point), F.when(F.col("_up"), F.col("_n"))).alias("_b"),
         F.max(F.coalesce("stop_epoch", "_final")).alias("last_epoch"),
         F.max(F.col("stop_epoch").isNotNull()).alias("stopped_early"),
-    ).select(trial, (-F.col("_b.e")).alias("best_epoch"), F.col(f"_b.{score}").alias("best_score"),
-             "last_epoch", "stopped_early")
+    ).select(trial, F.col(f"_b.{epoch}").alias("best_epoch"), F.col(f"_b.{score}").alias("best_score"),
+             "last_epoch", "stopped_early", *[f"_b.{c}" for c in point])
 
 
 def drop_infeasible(hist: DataFrame, min_sens: float = 0.6, min_spec: float = 0.6, trial: str = "trial",
