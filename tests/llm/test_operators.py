@@ -281,3 +281,24 @@ def test_pipeline(spark):
             assert out.columns == table.columns
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, corpus_pipeline.language(spark, table, ""), "").collect()}
     assert kept == {1, 7, 8, 9, *range(10, 40)}
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_least_owner_compares_bytes(monkeypatch, collide):
+    rng = np.random.default_rng(4)
+    data = rng.integers(0, 2, 400).astype(np.uint8)
+    at, group = np.arange(390), rng.integers(0, 3, 390)
+    first = rng.integers(0, 50, 390)
+    if collide:
+        monkeypatch.setattr(repeats, "hashes", lambda d, width: np.zeros(len(d) - width + 1, np.uint64))
+    got = repeats.least_owner(data, at, group, first, 8)
+    best = {}
+    for g, x, f in zip(group, at, first):
+        w = (g, data[x:x + 8].tobytes())
+        best[w] = min(f, best.get(w, f))
+    assert got.tolist() == [best[g, data[x:x + 8].tobytes()] for g, x in zip(group, at)]
+
+
+def test_anchors_by_parts():
+    data = np.random.default_rng(5).integers(97, 101, 3000).astype(np.uint8).tobytes()
+    assert (repeats.anchors(data, 50) == repeats.anchors(data, 50, part=700)).all()
