@@ -132,6 +132,36 @@ def test_keep_one(spark):
     assert simhash.keep_one(empty(df)).collect() == []
 
 
+def test_short_texts_are_not_folded_together(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("only "), F.col("id").cast("string")).alias("text"))
+    assert simhash.keep_one(df).count() == 6000
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_keep_one_equals_exact_jaccard(spark, block, monkeypatch):
+    monkeypatch.setattr(simhash, "SET_ROWS", block)
+    rng, rows = np.random.default_rng(3), []
+    for k in range(150):  # pairs of one changed stretch each, from about 0.7 to 0.95, and chains of them
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        for step in range(1 + k % 4):
+            rows.append((len(rows) * 7 % 1009, " ".join(words)))
+            at, n = int(rng.integers(10, 150)), int(rng.integers(1, 35))
+            words = words[:at] + [f"x{x}" for x in rng.integers(0, 5000, n)] + words[at + n:]
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    group = list(range(len(rows)))
+    near = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            j = both / (len(sets[a]) + len(sets[b]) - both)
+            near += 0.7 <= j < 0.9
+            if j >= 0.8:
+                group = [group[a] if g == group[b] else g for g in group]
+    assert near > 50
+    want = sorted(min(rows[k][0] for k in range(len(rows)) if group[k] == g) for g in set(group))
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == want
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(12, 8))

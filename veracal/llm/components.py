@@ -41,16 +41,19 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def tiles(rows: DataFrame, group: list[str], node: str, block_rows: int, least: int = 1) -> DataFrame:
+def tiles(rows: DataFrame, group: list[str], node: str, block_rows: int, least: int = 1, block_load: int | None = None) -> DataFrame:
     """Lay out every group so that each pair of its rows meets in one tile of bounded size.
 
     Rows of a group fall into blocks of about ``block_rows`` by a hash of ``node``;
     each row goes to the tiles of its block with every block, as side 0 or 1
     (``_i`` = ``_j``: the block with itself). A hot group becomes more tiles, not a larger one.
-    Groups of fewer than ``least`` rows are left out.
+    Groups of fewer than ``least`` rows are left out. With ``block_load`` a block holds about that much of ``_load`` at most.
     """
-    counted = rows.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(
-        *[F.col(g).alias(f"_g_{g}") for g in group], F.ceil(F.col("_n") / float(block_rows)).alias("_n")
+    blocks = F.count("*") / float(block_rows)
+    if block_load is not None:
+        blocks = F.greatest(blocks, F.sum("_load") / float(block_load))
+    counted = rows.groupBy(*group).agg(F.count("*").alias("_n"), F.ceil(blocks).alias("_blocks")).where(F.col("_n") >= least).select(
+        *[F.col(g).alias(f"_g_{g}") for g in group], F.col("_blocks").alias("_n")
     )
     same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
     on = same[0]

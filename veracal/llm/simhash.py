@@ -127,52 +127,94 @@ def simhash_groups(
     )
 
 
-# --- Long fingerprints, for similarities that 64 bits cannot tell apart ---
+# --- Groups by exact Jaccard similarity, which 64 bits cannot tell ---
 
-LONG_SEGMENTS, LONG_WIDTH, FEATURES = 96, 24, 1024
-LONG_BITS = LONG_SEGMENTS * LONG_WIDTH
+BANDS, BAND_ROWS = 40, 6
+HASHES = BANDS * BAND_ROWS
+LOOSE = 0.15  # so far below the similarity a pair's estimate still makes it a candidate; over five standard errors
 BLOCK_ROWS = 512
+SET_ROWS, SET_SHINGLES = 256, 1 << 21  # a block of shingle sets
+TILE = ["bucket", "_i", "_j"]
 
 
-def long_fingerprint(words: int = 5):
-    """Column function: signs of LONG_BITS random projections of a text's shingle set, packed. No words: zeros.
-
-    Shingles are folded into FEATURES signed counts first, so the cost of a shingle does not depend on the length.
-    """
+def shingle_set(words: int = 5):
+    """Column function: the sorted distinct shingle hashes of a text, packed."""
 
     @pandas_udf(BinaryType())
     def of(text: pd.Series) -> pd.Series:
-        plane = np.random.default_rng(SEED).standard_normal((FEATURES, LONG_BITS), dtype=np.float32)
-        out: list = []
-        for at in range(0, len(text), 256):
-            part = text.iloc[at:at + 256]
-            folded = np.zeros((len(part), FEATURES), np.float32)
-            for k, t in enumerate(part):
-                h = np.unique(shingle_hashes(t, words))
-                sign = np.where(h >> np.uint64(63), 1.0, -1.0)
-                folded[k] = np.bincount((h % np.uint64(FEATURES)).astype(np.int64), sign, FEATURES)
-            out += [row.tobytes() for row in np.packbits(folded @ plane > 0, axis=1, bitorder="little")]
-        return pd.Series(out, dtype=object)
+        return pd.Series([np.unique(shingle_hashes(t, words)).tobytes() for t in text], dtype=object)
 
     return of
 
 
-@pandas_udf(ArrayType(LongType()))
-def _buckets(fp: pd.Series) -> pd.Series:
-    """The segments of a long fingerprint, each with its number in the high half."""
-    bits = np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
-    values = bits.reshape(len(fp), LONG_SEGMENTS, LONG_WIDTH).astype(np.int32) @ (1 << np.arange(LONG_WIDTH, dtype=np.int32))
-    return pd.Series(list(values + (np.arange(LONG_SEGMENTS, dtype=np.int64) << 32)))
+SKETCH = StructType([
+    StructField("c1", LongType()), StructField("c2", LongType()), StructField("buckets", ArrayType(LongType())), StructField("signs", BinaryType()),
+])
+
+
+def sketch(words: int = 5):
+    """Column function: of a text's shingle set, a 128-bit hash, BANDS hashes of BAND_ROWS minima each, and a byte of every minimum.
+
+    Each minimum is over the shingle hashes themselves, however few or many. No words: no buckets.
+    """
+    rng = np.random.default_rng(SEED)
+    factor = rng.integers(0, 1 << 63, (HASHES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    flip = rng.integers(0, 1 << 63, (HASHES, 1), dtype=np.uint64) * np.uint64(2)
+    mix = np.uint64(0x9E3779B97F4A7C15)
+
+    @pandas_udf(SKETCH)
+    def of(text: pd.Series) -> pd.DataFrame:
+        c, buckets, signs = np.zeros((len(text), 2), np.int64), [], []
+        for k, t in enumerate(text):
+            h = np.unique(shingle_hashes(t, words))
+            c[k] = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes(), SEED), np.int64)
+            least = np.full(HASHES, np.iinfo(np.uint64).max)
+            for at in range(0, len(h), 1024):
+                np.minimum(least, ((h[at:at + 1024] ^ flip) * factor).min(1), out=least)
+            bucket = np.arange(BANDS, dtype=np.uint64)
+            for minima in least.reshape(BANDS, BAND_ROWS).T:
+                bucket = (bucket ^ minima) * mix
+                bucket ^= bucket >> np.uint64(32)
+            buckets.append(bucket.view(np.int64) if len(h) else None)
+            signs.append((least >> np.uint64(16)).astype(np.uint8).tobytes())
+        return pd.DataFrame({"c1": c[:, 0], "c2": c[:, 1], "buckets": pd.Series(buckets, dtype=object), "signs": pd.Series(signs, dtype=object)})
+
+    return of
+
+
+def _by_tile(links):
+    """``links`` of the rows of each tile, for rows sorted by tile."""
+
+    def work(batches):
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            open_ = (rows[TILE] == rows[TILE].iloc[-1]).all(axis=1)
+            held = rows[open_]
+            if not open_.all():
+                yield links(rows[~open_])
+        if held is not None:
+            yield links(held)
+
+    return work
+
+
+def _linked(a: list, b: list) -> pd.DataFrame:
+    """The links, thinned to a forest."""
+    a, b = forest(np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b]))
+    return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
 
-def _compare(most: int):
-    """Within each tile of sorted rows, the links of at most ``most`` differing bits, thinned to a forest."""
+def _candidates(least: int):
+    """The pairs of a tile with at least ``least`` equal bytes."""
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
-        fp = np.frombuffer(b"".join(rows["fp"]), np.uint64).reshape(len(rows), -1)
+        signs = np.frombuffer(b"".join(rows["signs"]), np.uint8).reshape(len(rows), -1)
         node, side = rows["node"].to_numpy(), rows["_side"].to_numpy()
         own = (rows["_i"] == rows["_j"]).to_numpy()
-        tile = rows.groupby(["bucket", "_i", "_j"], sort=False).ngroup().to_numpy()
+        tile = rows.groupby(TILE, sort=False).ngroup().to_numpy()
         a, b = [], []
         at = np.arange(len(rows) - 1)
         step = 1
@@ -182,49 +224,78 @@ def _compare(most: int):
             some = at[own[at] | (side[at] != side[at + step])]
             for k in range(0, len(some), 8192):
                 x = some[k:k + 8192]
-                hit = x[np.bitwise_count(fp[x] ^ fp[x + step]).sum(1, dtype=np.int64) <= most]
+                hit = x[(signs[x] == signs[x + step]).sum(1) >= least]
                 a.append(node[hit])
                 b.append(node[hit + step])
             step += 1
-        a, b = forest(np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)]))
-        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+        return _linked(a, b)
 
-    def work(batches):
-        held = None
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            last = rows[["bucket", "_i", "_j"]].iloc[-1]
-            open_ = (rows[["bucket", "_i", "_j"]] == last).all(axis=1)
-            held = rows[open_]
-            if not open_.all():
-                yield links(rows[~open_])
-        if held is not None:
-            yield links(held)
-
-    return work
+    return _by_tile(links)
 
 
-def similar_groups(df: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Add ``_group`` to the rows: texts whose shingle sets have a Jaccard similarity of about ``similarity`` share one.
+def _verified(similarity: float):
+    """The pairs of a tile whose shingle sets have at least this Jaccard similarity, exactly."""
 
-    A similarity J of sets of like size is an angle with cosine 2 J / (1 + J), and
-    the share of differing bits of a long fingerprint estimates that angle. Texts
-    that have one of LONG_SEGMENTS segments in common (a Hamming ball of radius
-    zero) are compared on the whole fingerprint. Found are almost all pairs above
-    0.85 and most at 0.8; unlike pairs are ruled out by the whole fingerprint.
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, tile in rows.groupby(TILE, sort=False):
+            node = tile["node"].to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in tile["set"]]
+            size = np.array([len(x) for x in sets])
+            _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            # hashes that one set has are in no intersection
+            column = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[at]
+            row = np.repeat(np.arange(len(sets)), size)[column >= 0]
+            column = column[column >= 0]
+            order = np.argsort(column, kind="stable")
+            row, column = row[order], column[order]
+            both = np.zeros((len(sets), len(sets)), np.int64)
+            width = int((often > 1).sum())
+            for low in range(0, width, 4096):
+                lo, hi = np.searchsorted(column, [low, low + 4096])
+                has = np.zeros((len(sets), min(4096, width - low)), np.float32)
+                has[row[lo:hi], column[lo:hi] - low] = 1
+                both += (has @ has.T).astype(np.int64)
+            x, y = np.nonzero(np.triu(both / np.maximum(size[:, None] + size - both, 1) >= similarity, 1))
+            a.append(node[x])
+            b.append(node[y])
+        return _linked(a, b)
+
+    return _by_tile(links)
+
+
+LINKS = StructType([StructField(c, LongType()) for c in ("a", "b")])
+
+
+def similar_groups(df: DataFrame, text: str = "text", key: tuple[str, str] = ("_k1", "_k2"), words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Add ``_group`` to the rows: texts linked by shingle sets of Jaccard similarity ``similarity`` or more share one.
+
+    Rows alike in ``key`` have the same text. Texts that agree in all minima of a
+    band are compared by all minima; those that may be similar form loose groups,
+    within which every pair is verified on the shingle sets themselves. No pair
+    below the similarity is linked. A pair at J shares no band with probability
+    (1 - J ** BAND_ROWS) ** BANDS, which is 5e-6 at 0.8 and 1e-7 at 0.83.
     """
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    rows = stored(df.withColumn("_fp", long_fingerprint(words)(F.col(text))).drop(text), "similar")
-    classes = stored(rows.select(F.col("_fp").alias("fp")).distinct().withColumn("node", F.monotonically_increasing_id()), "similar")
-    spread = classes.select("node", F.explode(_buckets(F.col("fp"))).alias("bucket"))
-    # where a segment's value is unique, nothing is to be compared
-    met = tiles(spread, ["bucket"], "node", BLOCK_ROWS, least=2).join(classes, "node")
-    laid = met.select("bucket", "_i", "_j", "_side", "node", "fp").repartition("bucket", "_i", "_j").sortWithinPartitions("bucket", "_i", "_j")
-    schema = StructType([StructField(c, LongType()) for c in ("a", "b")])
-    links = stored(laid.mapInPandas(_compare(int(angle * LONG_BITS)), schema), "similar")
+    rows = stored(df.withColumn("_s", sketch(words)(F.col(text))).select(*[c for c in df.columns if c != text], "_s.*"), "similar")
+    one = rows.select(*[F.col(k).alias(f"_of{n}") for n, k in enumerate(key)], "c1", "c2", "buckets", "signs").dropDuplicates(["c1", "c2"])
+    classes = stored(one.withColumn("node", F.monotonically_increasing_id()), "similar")
+    spread = classes.select("node", F.explode("buckets").alias("bucket"))
+    # where a band's value is unique, nothing is to be compared
+    met = tiles(spread, ["bucket"], "node", BLOCK_ROWS, least=2).join(classes.select("node", "signs"), "node")
+    laid = met.select(*TILE, "_side", "node", "signs").repartition(*TILE).sortWithinPartitions(*TILE)
+    loose = stored(laid.mapInPandas(_candidates(int((similarity - LOOSE) * HASHES)), LINKS), "similar")
+    loose = components(loose).join(classes.select("node", "_of0", "_of1"), "node").select(F.col("root").alias("bucket"), "node", "_of0", "_of1")
+    texts = df.select(*key, text)
+    found = loose.join(texts, (F.col("_of0") == F.col(key[0])) & (F.col("_of1") == F.col(key[1])))
+    sets = stored(found.select("bucket", "node", shingle_set(words)(F.col(text)).alias("set")).dropDuplicates(["node"]), "similar")
+    sized = sets.select("bucket", "node", (F.octet_length("set") / 8.0).alias("_load"))
+    laid = tiles(sized, ["bucket"], "node", SET_ROWS, least=2, block_load=SET_SHINGLES).join(sets.select("node", "set"), "node")
+    laid = laid.select(*TILE, "node", "set").repartition(*TILE).sortWithinPartitions(*TILE)
+    links = stored(laid.mapInPandas(_verified(similarity), LINKS), "similar")
     roots = stored(components(links), "components")
-    known = classes.join(roots, "node", "left").select(F.col("fp").alias("_of"), F.coalesce("root", "node").alias("_group"))
-    return rows.join(known, rows["_fp"] == known["_of"]).drop("_fp", "_of")
+    known = classes.join(roots, "node", "left").select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), F.coalesce("root", "node").alias("_group"))
+    own = [c for c in df.columns if c != text]
+    return rows.join(known, (rows["c1"] == known["_c1"]) & (rows["c2"] == known["_c2"])).select(*own, "_group")
 
 
 def keep_one(df: DataFrame, text: str = "text", id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -234,7 +305,7 @@ def keep_one(df: DataFrame, text: str = "text", id: str = "doc_id", words: int =
     """
     first, second = F.xxhash64(id, text), F.xxhash64(text, id, F.lit(1))
     keys = df.select(F.col(id).alias("_id"), first.alias("_k1"), second.alias("_k2"), F.col(text).alias("_text"))
-    grouped = similar_groups(keys, "_text", words, similarity)
+    grouped = similar_groups(keys, "_text", ("_k1", "_k2"), words, similarity)
     best = grouped.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_k1", "_k2")).alias("best"))
     chosen = best.select(F.col("best._k1").alias("_c1"), F.col("best._k2").alias("_c2"))
     laid = df.withColumn("_k1", first).withColumn("_k2", second)
