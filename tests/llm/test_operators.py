@@ -65,6 +65,19 @@ def test_sharding_divides_a_hot_text(spark):
     assert len(by) == 4 and max(by.values()) < 1.1 * min(by.values())
 
 
+@pytest.mark.parametrize("rounds", [2, 12])
+def test_sharding_when_rounds_run_out(spark, rounds, monkeypatch):
+    monkeypatch.setattr(sharding, "MAX_ROUNDS", rounds)
+    long = F.when(F.col("id") % 200 == 0, F.repeat(F.lit("x"), 40000)).otherwise(F.lit(""))
+    df = spark.range(12000).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")), long).alias("text"))
+    out = sharding.shard_by_size(df, shards=4, ranges_per_shard=64).collect()
+    by = [[r for r in out if r.shard == s] for s in range(4)]
+    assert sum(map(len, by)) == len(out) == 12000
+    assert all(sorted(r.slot for r in part) == list(range(len(part))) for part in by)
+    sizes = [sum(r["size"] for r in part) for part in by]
+    assert max(sizes) - min(sizes) < 3 * 40010
+
+
 def test_topk(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(300)]

@@ -2,9 +2,10 @@
 
 Rows are ordered by (digest of the text, id, row number), so equal texts lie
 next to each other. Splitters are weighted quantiles of a bounded sample of that
-order; ranges that turn out overfull, for instance since one text holds a third
-of all rows, are sampled again and cut inside the text, by id. The many small
-ranges are then strung into shards of near equal bytes.
+order, and a row longer than a range is a range of its own; ranges that turn out
+overfull, for instance since one text holds a third of all rows, are sampled again
+and cut inside the text, by id. The many small ranges are then strung into shards
+of near equal bytes.
 """
 
 from __future__ import annotations
@@ -50,6 +51,12 @@ def _splitters(rows: DataFrame, group: list[str], load: Column, share: float, dr
     return [tuple(r) for r in reached.where(cut).select(*ORDER).collect()]
 
 
+def _around(rows: DataFrame, load: Column, share: float) -> set[tuple]:
+    """Splitters at and right after each row that loads a range alone; there are at most 1 / share such rows."""
+    alone = [tuple(r) for r in rows.where(load >= share).select(*ORDER).collect()]
+    return {*alone, *((k, i, s + 1) for k, i, s in alone)}
+
+
 def shard_by_size(
     df: DataFrame, text: str = "text", id: str = "doc_id", keep: list[str] | None = None, shards: int = 8,
     ranges_per_shard: int = 256, draws: int = 8,
@@ -80,15 +87,15 @@ def shard_by_size(
     # a row loads its range by its bytes and by its place: neither may gather in one task
     load = F.col("_size") / float(max(total, 1)) / 2 + 0.5 / max(count, 1)
     share = 1.0 / wanted
-    splitters = sorted(set(_splitters(rows, [], load, share, draws, 0))) if count else []
-    for attempt in range(1, MAX_ROUNDS):
+    splitters = sorted(set(_splitters(rows, [], load, share, draws, 0)) | _around(rows, load, share)) if count else []
+    for attempt in range(1, MAX_ROUNDS + 1):
         cut = rows.withColumn("_range", _range_of(splitters))
         ranges = cut.groupBy("_range").agg(
             F.sum("_size").alias("bytes"), F.count("*").alias("rows"), F.sum(load).alias("load")
         ).collect()
         over = [r["_range"] for r in ranges if r["load"] > 2 * share and r["rows"] > 1]
-        if not over:
-            break
+        if not over or attempt == MAX_ROUNDS:
+            break  # ``ranges`` must be those of the splitters that stay
         inside = cut.where(F.array_contains(longs(over), F.col("_range").cast("bigint")))
         more = _splitters(inside, ["_range"], load, share / 2, draws, attempt)
         grown = sorted({*splitters, *more})
