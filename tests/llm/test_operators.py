@@ -278,6 +278,27 @@ def test_pii(spark):
     assert out[9].n_chars == len(out[9].text) and pii.replace_entities(empty(df)).collect() == []
 
 
+def test_pii_whole_entities(spark):
+    gone = {
+        "Mr McDonald left": ["McDonald", "Donald"], "Dr. O'Neil left": ["O'", "Neil"], "Herr Dvořák und": ["Dvo", "řák"],
+        "Frau Mary Jane Watson ging": ["Jane", "Watson"], "Mary Jane Watson left": ["Jane", "Watson"], "Mr J. Smithers left": ["J.", "Smithers"],
+        "Mr. Mark Brownlow came. Later Mark Brownlow and BROWNLOW spoke; Brownlow's car": ["Mark", "Brownlow", "BROWNLOW"],
+        "Prof. Dr. Vogelsang": ["Vogelsang"], "Herr von Braunau": ["Braunau"], "Mr SMITHERS": ["SMITHERS"],
+        "call +14155552671 now": ["4155552671"], "call +33 6 12 34 56 78": ["12 34", "56 78"], "call 06 12 34 56 78": ["12 34", "56 78"],
+        "from 2001:db80:0:0::1f and fe80::1:": ["db80", "fe80"], "mapped ::ffff:10.20.30.40 x": ["ffff", "20.30"], "face:cafe::beef": ["face", "beef"],
+        "هاتف ٠١٧٤ ٥٥٥ ٧٧١٣": ["٥٥٥", "٧٧١٣"],
+    }
+    df = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(gone)], "doc_id bigint, text string, n_chars bigint")
+    out = {r.doc_id: r for r in pii.replace_entities(df, length="n_chars").collect()}
+    for k, (text, parts) in enumerate(gone.items()):
+        assert not [p for p in parts if p in out[k].text], (text, out[k].text)
+    again = re.fullmatch(r"Mr\. (\S+) (\S+) came\. Later (\S+) (\S+) and (\S+) spoke; (\S+)'s car", out[6].text)
+    assert again[1] == again[3] and again[2] == again[4] == again[5] == again[6]
+    hinted = {r.doc_id for r in df.where(F.col("text").rlike(pii.HINT)).collect()}
+    assert hinted >= {k for k, text in enumerate(gone) if pii.FINDER.search(text)}
+    assert pii.entities("at 12:30:45 from aa:bb:cc:dd:ee:ff") == []
+
+
 def test_surrogates_are_distinct(spark):
     found = spark.createDataFrame([("given-f-latin", f"name{i}") for i in range(60)] + [("given-f-latin", "mary"), ("ssn", "123456789")], "kind string, value string")
     table = pii.surrogate_table(found).collect()

@@ -10,7 +10,9 @@ an entity of the corpus; the loser draws again until none is left.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import sys
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -43,21 +45,30 @@ FAMILY = {
 _TITLE = {t: g for g, words in TITLES.items() for t in words}
 _NAME = {n: (g, script) for (g, script), words in GIVEN.items() for n in words}
 _WORD = r"[^\W\d_][^\W\d_'’-]*"
-_CAP = r"(?:[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё'’-]+)"
+_LETTER, _UPPER = r"[^\W\d_]", "[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha() and (c.isupper() or c.istitle())) + "]"
+# to the word's end: inner capitals, marks, apostrophes and hyphens before a letter, but no genitive
+_CAP = rf"(?:{_UPPER}(?:{_LETTER}|[̀-ͯ]|['’](?!s\b)(?={_LETTER})|-(?={_LETTER}))+)"
+_PARTICLE = "(?:von|vom|zu|van|der|den|de|del|della|di|da|do|dos|du|la|le|bin|al|el|ten|ter) "
+_FULL = rf"(?:{_UPPER}\. ?|{_CAP} ){{0,3}}(?:{_PARTICLE}){{0,3}}{_CAP}"
+_PART = re.compile(rf"{_UPPER}\.|{_CAP}")
 PATTERNS = [
     ("email", r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("secret", r"\b(?:[0-9a-fA-F]{32,}|(?:AKIA|ghp_|sk-)[A-Za-z0-9_-]{16,})\b"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
+    ("ip6", r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]{1,4}|(?<=::))(?!\w|:[0-9A-Fa-f])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"),
-    ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w]|[.-]\d)"),
-    ("person", rf"\b(?P<title>{'|'.join(_TITLE)})(?P<dot>\.?) (?P<full>{_CAP}(?: {_CAP})?)|\b(?P<given>{'|'.join(_NAME)}) (?P<family>{_CAP})"),
+    ("phone", r"(?<![\w.])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}|\+\d(?:[ .()/-]{0,2}\d){7,14}|0\d(?:[ .-]\d{2}){4})(?![\w]|[.-]\d)"),
+    ("person", rf"\b(?P<title>{'|'.join(_TITLE)})(?P<dot>\.?) (?:(?:{'|'.join(_TITLE)})\.? )*(?P<full>{_FULL})|\b(?P<given>{'|'.join(_NAME)}) (?P<rest>{_FULL})"),
 ]
 FINDER = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS))
-# what every match holds: a digit, an at sign, a key's head, or a name; other texts pass untouched, without leaving the JVM.
-# The look-ahead spares most words the long list of names.
-HINT = rf"[0-9@]|\b(?:(?=[A-ZÀ-ÞА-Я])(?:AKIA|{'|'.join([*_TITLE, *_NAME])})|ghp_|sk-|[a-fA-F]{{32}})"
+# what every match holds: a digit, an at sign, two colons, a key's head, or a name; other texts pass untouched, without
+# leaving the JVM, whose classes are those of ``re``. The look-ahead spares most words the long list of names.
+HINT = (
+    rf"[\p{{Nd}}@]|:[0-9A-Fa-f]{{0,4}}:|ghp_|sk-|[a-fA-F]{{32}}"
+    rf"|(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}_])(?:AKIA|{'|'.join([*_TITLE, *_NAME])})"
+)
 
 ENTITY = StructType([StructField("kind", StringType()), StructField("value", StringType())])
 MAPPED = StructType([*ENTITY.fields, StructField("surrogate", StringType())])
@@ -70,24 +81,43 @@ def _script(word: str) -> str:
 def _names(match: re.Match) -> list[tuple[str, str, int, int]]:
     """The parts of a person's name: (kind, value, start, end); kind holds gender and script."""
     out = []
+    gender = _TITLE.get(match["title"])
+    parts = [(m[0], m.start(), m.end()) for m in _PART.finditer(match.string, *match.span("full" if match["full"] else "rest"))]
     if match["given"]:
-        gender, script = _NAME[match["given"]]
-        out.append((f"given-{gender}-{script}", match["given"].casefold(), *match.span("given")))
-        out.append((f"family-{_script(match['family'])}", match["family"].casefold(), *match.span("family")))
-        return out
-    at, words = match.start("full"), match["full"].split(" ")
-    if len(words) == 2:
-        gender = _NAME.get(words[0], (_TITLE[match["title"]],))[0]
-        out.append((f"given-{gender}-{_script(words[0])}", words[0].casefold(), at, at + len(words[0])))
-        at += len(words[0]) + 1
-    out.append((f"family-{_script(words[-1])}", words[-1].casefold(), at, at + len(words[-1])))
+        gender = _NAME[match["given"]][0]
+        parts.insert(0, (match["given"], *match.span("given")))
+    elif len(parts) > 1:
+        gender = _NAME.get(parts[0][0], (gender,))[0]
+    for word, start, end in parts[:-1]:
+        out.append((f"given-{gender}-{_script(word)}", word.casefold(), start, end))
+    word, start, end = parts[-1]
+    out.append((f"family-{_script(word)}", word.casefold(), start, end))
     return out
 
 
+def _again(text: str, found: list[tuple[str, str, int, int]]) -> list[tuple[str, str, int, int]]:
+    """The names of ``found`` where they stand elsewhere in the text, without title or given name."""
+    known: dict[str, tuple[str, str]] = {}
+    for kind, value, start, end in found:
+        if kind.startswith(("given-", "family-")) and not value.endswith("."):
+            for form in (text[start:end], text[start:end].upper()):
+                known.setdefault(form, (kind, value))
+    if not known:
+        return found
+    words = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(known, key=len, reverse=True)))})(?!\w)")
+    out, at = [], 0
+    for one in [*found, ("", "", len(text), len(text))]:
+        out += [(*known[m[0]], *m.span()) for m in words.finditer(text, at, one[2])]
+        out.append(one)
+        at = one[3]
+    return out[:-1]
+
+
 def entities(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, canonical value, start, end) of each entity, in order."""
-    out = []
-    for match in FINDER.finditer(text):
+    out, at = [], 0
+    while match := FINDER.search(text, at):
+        at = match.end()
         kind = match.lastgroup if match.lastgroup in dict(PATTERNS) else "person"
         if kind == "person":
             out += _names(match)
@@ -99,12 +129,18 @@ def entities(text: str) -> list[tuple[str, str, int, int]]:
             canon = ("+" if value.startswith("+") else "") + re.sub(r"\D", "", value)
         elif kind == "ip":
             canon = ".".join(str(int(x)) for x in value.split("."))
+        elif kind == "ip6":
+            try:
+                canon = ipaddress.IPv6Address(value).compressed
+            except ValueError:  # a time, a hardware address
+                at = match.start() + 1
+                continue
         elif kind == "iban":
             canon = value.replace(" ", "")
         else:
             canon = value.lower() if kind == "email" else value
         out.append((kind, canon, *match.span()))
-    return out
+    return _again(text, out)
 
 
 class _Draw:
@@ -142,6 +178,8 @@ def surrogate(kind: str, value: str, key: str = KEY, attempt: int = 0) -> str:
         first = value.split(".")[0]
         private = value.startswith(("10.", "192.168."))
         return ".".join([first if private else str(11 + draw.below(112)), *([value.split(".")[1]] if private else [str(draw.below(256))]), str(draw.below(256)), str(1 + draw.below(254))])
+    if kind == "ip6":
+        return "2001:db8:" + ":".join(f"{1 + draw.below(65535):x}" for _ in range(6))
     if kind == "card":
         digits = "".join(str(draw.below(10)) for _ in value)
         if _luhn(value) == 0:
