@@ -324,6 +324,20 @@ def test_held_out_language(spark, sf):
     assert np.mean([got[r.doc_id] == r.lang for r in table.where("doc_id % 2 = 1").collect()]) > 0.95
 
 
+def test_all_labels_are_fitted(spark, monkeypatch):
+    # 70 labels, the rare ones in scripts of their own
+    rows = [(k * 10 + i, " ".join(chr(0x4E00 + 60 * k + (7 * i + j) % 50) for j in range(40)), f"l{k:02}", "s", 1) for k in range(70) for i in range(6 if k < 64 else 3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    languages, model = langid.fit_text_model(df, "text", "lang", "doc_id")
+    assert len(languages) == 70
+    got = {r.doc_id: (r.language, r.accepted) for r in langid.identify(df).collect()}
+    assert got == {r[0]: (r[2], True) for r in rows}
+    monkeypatch.setattr(langid, "DENSE_LANGUAGES", 70)
+    dense = langid.fit_text_model(df, "text", "lang", "doc_id")[1]
+    grams = langid._grams(rows[0][1])
+    assert np.allclose(model.sums(grams), dense[:, grams].sum(1, dtype=np.float64), rtol=1e-5)
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 

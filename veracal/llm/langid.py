@@ -19,7 +19,7 @@ from .common import stored, unit
 
 BUCKETS = 1 << 15
 SAMPLE_PER_LANGUAGE = 2000  # labelled rows the text model is fitted on, in expectation, for each language
-MAX_LANGUAGES = 64  # the most frequent labels
+DENSE_LANGUAGES = 64  # above that the n-gram table is kept by its non-zero counts
 EVIDENCE = 40.0  # a long text counts as so many independent n-grams
 KAPPA = 5.0  # rows' worth of the parent's distribution in a host's
 
@@ -34,15 +34,35 @@ def _grams(text: str) -> np.ndarray:
     return (h[keep] * np.uint32(0x27D4EB2F)) >> np.uint32(17)
 
 
-def fit_text_model(labelled: DataFrame, text: str, label: str, id: str) -> tuple[list[str], np.ndarray]:
-    """Languages and log P(n-gram | language), from a bounded sample drawn by a hash of the row."""
+class SparseModel:
+    """log P(n-gram | language) for many languages: one number for all unseen n-grams of a language, the seen ones by n-gram."""
+
+    def __init__(self, languages: int, language: np.ndarray, gram: np.ndarray, n: np.ndarray):
+        total = np.bincount(language, n, languages) + 0.1 * BUCKETS
+        self.unseen = np.log(0.1 / total)
+        order = np.argsort(gram, kind="stable")
+        self.language = language[order].astype(np.int32)
+        self.gain = np.log((n[order] + 0.1) / 0.1).astype(np.float32)
+        self.start = np.searchsorted(gram[order], np.arange(BUCKETS + 1))
+
+    def sums(self, grams: np.ndarray) -> np.ndarray:
+        held = np.bincount(grams, minlength=BUCKETS)
+        out = self.unseen * len(grams)
+        for g in np.nonzero(held)[0]:
+            lo, hi = self.start[g], self.start[g + 1]
+            out[self.language[lo:hi]] += held[g] * self.gain[lo:hi]  # a language has an n-gram once
+        return out
+
+
+def fit_text_model(labelled: DataFrame, text: str, label: str, id: str) -> tuple[list[str], np.ndarray | SparseModel]:
+    """All labels and log P(n-gram | language), from a sample drawn by a hash of the row and bounded for each label."""
     seen = labelled.where(F.col(label).isNotNull() & (F.length(F.trim(text)) > 0))
-    counts = seen.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LANGUAGES).collect()
-    languages = sorted(r[0] for r in counts)
+    counts = stored(seen.groupBy(F.col(label).alias("_label")).count(), "languages")
+    languages = sorted(r[0] for r in counts.select("_label").collect())
     if not languages:
         return [], np.zeros((0, BUCKETS), np.float32)
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(SAMPLE_PER_LANGUAGE / r["count"]))])
-    sample = seen.where(unit(F.col(id), F.col(text)) < F.coalesce(F.element_at(rate, F.col(label)), F.lit(0.0)))
+    rate = F.broadcast(counts.select("_label", (F.lit(float(SAMPLE_PER_LANGUAGE)) / F.col("count")).alias("_rate")))
+    sample = seen.join(rate, F.col(label) == F.col("_label")).where(unit(F.col(id), F.col(text)) < F.col("_rate"))
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -57,13 +77,17 @@ def fit_text_model(labelled: DataFrame, text: str, label: str, id: str) -> tuple
 
     schema = StructType([StructField("label", StringType()), StructField("gram", LongType()), StructField("n", LongType())])
     grams = sample.select(F.col(label).alias("label"), F.col(text).alias("text")).mapInPandas(count, schema).groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    place = {name: k for k, name in enumerate(languages)}
+    found = grams.toPandas()  # at most BUCKETS a language, and no more than its sample has
+    language, gram, n = found["label"].map(place).to_numpy(np.int64), found["gram"].to_numpy(), found["n"].to_numpy()
+    if len(languages) > DENSE_LANGUAGES:
+        return languages, SparseModel(len(languages), language, gram, n)
     table = np.full((len(languages), BUCKETS), 0.1)
-    for r in grams.collect():  # at most MAX_LANGUAGES * BUCKETS
-        table[languages.index(r["label"]), r["gram"]] += r["n"]
+    table[language, gram] += n
     return languages, np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
 
 
-def _scores(model: np.ndarray):
+def _scores(model: np.ndarray | SparseModel):
     """Column function: tempered log likelihoods; null for a text without letters or one no language explains."""
 
     @pandas_udf(ArrayType(DoubleType()))
@@ -77,7 +101,10 @@ def _scores(model: np.ndarray):
                 continue
             # the counts of a long text are few numbers: one pass whatever its length
             used = np.bincount(grams, minlength=BUCKETS) if len(grams) > BUCKETS else None
-            sums = model @ used.astype(np.float32) if used is not None else model[:, grams].sum(1, dtype=np.float64)
+            if isinstance(model, SparseModel):
+                sums = model.sums(grams)
+            else:
+                sums = model @ used.astype(np.float32) if used is not None else model[:, grams].sum(1, dtype=np.float64)
             mean = sums / len(grams)
             # worse than drawing n-grams blindly in every language: none of them
             out.append(None if mean.max() < -np.log(BUCKETS) else mean * min(len(grams), EVIDENCE + np.log1p(len(grams))))
@@ -93,7 +120,7 @@ def _softmax(scores: Column) -> Column:
 
 
 def fuse(
-    pages: DataFrame, languages: list[str], model: np.ndarray, min_posterior: float = 0.5, kappa: float = KAPPA
+    pages: DataFrame, languages: list[str], model: np.ndarray | SparseModel, min_posterior: float = 0.5, kappa: float = KAPPA
 ) -> DataFrame:
     """Add ``language``, ``posterior`` and ``accepted`` to rows with ``text``, ``declared``, ``suffix``, ``host``, ``domain``.
 
@@ -111,11 +138,15 @@ def fuse(
     seen = scored.where(F.col("_s").isNotNull()).withColumn("_p", _softmax(F.col("_s")))
 
     def soft(by: list[str]) -> DataFrame:
-        sums = [F.sum(F.get("_p", F.lit(k))).alias(f"s{k}") for k in range(n)]
         rows = seen if not by else seen.where(F.coalesce(F.col(by[-1]), F.lit("")) != "")
+        if n > DENSE_LANGUAGES:  # too many for a column each
+            long = rows.select(*by, F.posexplode("_p").alias("k", "p")).where(F.col("p") > 0).groupBy(*by, "k").agg(F.sum("p").alias("p"))
+            held = long.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("k", "p"))).alias("m"))
+            return held.select(*by, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("n"))
+        sums = [F.sum(F.get("_p", F.lit(k))).alias(f"s{k}") for k in range(n)]
         return rows.groupBy(*by).agg(F.array(*sums).alias("n"))
 
-    whole = soft([]).first()["n"]
+    whole = (soft([]).first() or {"n": None})["n"] or [0.0] * n
     whole = [(x or 0.0) + 1.0 for x in whole]
     base = F.array(*[F.lit(x / sum(whole)) for x in whole])
     mass = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
