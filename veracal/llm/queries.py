@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, langid, mixing, neardup, pieces, pii, repeats, sharding, simhash, topk
+from . import chat, langid, lexical, mixing, neardup, pieces, pii, quality, repair, repeats, sharding, simhash, topk
 from .common import source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,39 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
 @query("op8_repeated_passages")
 def op8(spark: SparkSession, d: str) -> DataFrame:
     return repeats.remove_repeats(source(spark, d, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op11_turn_repair")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return repair.digests(source(spark, d, "conversations"))
+
+
+OP12_SQL = r"""
+with words as (
+  select row_number() over () as k, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts
+  from documents where text is not null),
+docs as (select k, doc_id, len(ts) as n, ts from words where len(ts) > 0),
+corpus as (select count(*) as nn, cast(sum(n) as bigint) as ll from docs),
+items as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark),
+tf as (select k, term, count(*) as tf from (select k, unnest(ts) as term from docs) where term in (select term from items) group by k, term),
+weight as (select term, cast(floor(1000 * ln((2 * nn + 2) / cast(2 * count(*) + 1 as double))) as bigint) as w from tf, corpus group by term, nn),
+score as (
+  select item_id, k, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll)))) as bigint) as score
+  from tf join docs using (k) join weight using (term) join items using (term), corpus group by item_id, k),
+best as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank, doc_id, score
+  from score join docs using (k) where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from best where rank <= 50"""
+
+
+@query("op12_automaton_search", OP12_SQL)
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.ranked_search(source(spark, d, "documents"), source(spark, d, "benchmark"))
+
+
+@query("op13_quality_trees")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return quality.quality(source(spark, d, "documents"), source(spark, d, "labels")).select("doc_id", *quality.BASE, "base_failed", "kept", "score")
