@@ -52,7 +52,7 @@ def test_trajectory_features_by_definition(spark):
     wdf = spark.createDataFrame([(i, W[i].tolist()) for i in range(6)], "row int, w array<double>")
     df = spark.createDataFrame([(i, h[i].tolist(), int(t[i])) for i in range(9)], "k int, h array<double>, token_id int").repartition(3)
     whole = {r["k"]: r for r in tr.trajectory_features(df, wdf, ["k"], radius=2.0, steps=4).collect()}
-    sliced = {r["k"]: r for r in tr.trajectory_features(df, wdf, ["k"], radius=2.0, steps=4, max_bytes=2 * 4 * 8).collect()}
+    sliced = {r["k"]: r for r in tr.trajectory_features(df, wdf, ["k"], radius=2.0, steps=4, tile_rows=4).collect()}
 
     def soft(z):
         e = np.exp(z - z.max())

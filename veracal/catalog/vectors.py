@@ -242,38 +242,31 @@ def hidden(spark, d):
 
 
 def _with_gradient(spark, d):
-    W = list(tr.matrix_slices(fx.prototypes(spark, d)))
-    return tr.gradient(tr.project(hidden(spark, d), W, ["vec_id"]), W, ["vec_id"]), W
-
-
-def _steps(spark, d):
-    base, W = _with_gradient(spark, d)
-    return tr.project(tr.trajectory(base), W, ["vec_id", "step"], vec="h_k", out="logits_k")
+    return tr.gradient(hidden(spark, d), fx.prototypes(spark, d), ["vec_id"])
 
 
 @query("v16_gradient", cte(f"select vec_id, {rd(norm('g'))} as norm, {rd(wsum('g'))} as s from HG", **PROTO))
 def v16(spark, d):
-    out, _ = _with_gradient(spark, d)
+    out = _with_gradient(spark, d)
     return rounded(out.select("vec_id", v.l2(F.col("g")).alias("norm"), place_sum("g").alias("s")))
 
 
 @query("v16_gradient_sliced", cte(f"select vec_id, {rd(norm('g'))} as norm, {rd(wsum('g'))} as s from HG", **PROTO))
 def v16_sliced(spark, d):
-    W = fx.prototypes(spark, d)
-    base = tr.project(hidden(spark, d), W, ["vec_id"], max_bytes=4 * 64 * 8)
-    out = tr.gradient(base, W, ["vec_id"], max_bytes=4 * 64 * 8)
+    out = tr.gradient(hidden(spark, d), fx.prototypes(spark, d), ["vec_id"], tile_rows=4)
     return rounded(out.select("vec_id", v.l2(F.col("g")).alias("norm"), place_sum("g").alias("s")))
 
 
 @query("v17_trajectory", cte(f"select vec_id, cast(k as int) as step, {rd(wsum('hk'), 6)} as s from HK", **STEPS))
 def v17(spark, d):
-    base, _ = _with_gradient(spark, d)
-    return rounded(tr.trajectory(base).select("vec_id", "step", place_sum("h_k").alias("s")), 6)
+    return rounded(tr.trajectory(_with_gradient(spark, d)).select("vec_id", "step", place_sum("h_k").alias("s")), 6)
 
 
 @query("v18_projection", cte(f"select vec_id, cast(k as int) as step, {rd(wsum('zk'))} as s, {rd('list_max(zk)')} as best from KZ", **STEPS))
 def v18(spark, d):
-    return rounded(_steps(spark, d).select("vec_id", "step", place_sum("logits_k").alias("s"), F.array_max("logits_k").alias("best")))
+    moved = tr.trajectory(_with_gradient(spark, d)).select("vec_id", "step", "h_k")
+    logits = tr.project(moved, fx.prototypes(spark, d), ["vec_id", "step"], vec="h_k", out="logits_k")
+    return rounded(logits.select("vec_id", "step", place_sum("logits_k").alias("s"), F.array_max("logits_k").alias("best")))
 
 
 MEASURES = {
@@ -298,7 +291,7 @@ STEP_SQL = {**STEPS, "M": "select vec_id, token_id, k, " + ", ".join(f"{e} as {m
 
 
 def _measures(spark, d):
-    return tr.step_measures(_steps(spark, d), ["vec_id", "token_id"])
+    return tr.step_measures(hidden(spark, d), fx.prototypes(spark, d), ["vec_id"])
 
 
 @query("v19_radius_to_flip", cte("select vec_id, coalesce(min(case when did_argmax_change_from_original = 1 then k end) * 4.0, cast('inf' as double)) as epsilon_to_flip_token from M group by vec_id", **STEP_SQL))
@@ -355,7 +348,7 @@ def v21_all(spark, d):
 
 @query("v21_token_features_sliced", ORACLES["v21_token_features"])
 def v21_sliced(spark, d):
-    out = tr.trajectory_features(hidden(spark, d), fx.prototypes(spark, d), ["vec_id"], max_bytes=4 * 64 * 8)
+    out = tr.trajectory_features(hidden(spark, d), fx.prototypes(spark, d), ["vec_id"], tile_rows=4)
     return rounded(out, 7)
 
 

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField
 
 from ..functions import vectors as V
-
-# Largest piece of the output matrix that is shipped to tasks at once.
-MAX_SLICE_BYTES = 256 * 1024 * 1024
+from .tiles import Fold, lists, pieces, tiled
 
 # Names and order of the token features.
 STATE_FEATURES = [
@@ -36,100 +31,209 @@ STATISTICS = ["mean", "std", "min", "max"]
 FEATURES = STATE_FEATURES + PATH_FEATURES + [f"{m}_{s}" for m in STEP_MEASURES for s in STATISTICS]
 
 
-def matrix_slices(W: DataFrame, row: str = "row", vec: str = "w",
-                  max_bytes: int = MAX_SLICE_BYTES) -> Iterator[tuple[int, np.ndarray]]:
-    """Consecutive row ranges of a matrix table, each below the size limit."""
-    shape = W.agg(F.max(row).alias("last"), F.max(F.size(vec)).alias("dim")).first()
-    n, dim = shape["last"] + 1, shape["dim"]
-    step = max(1, max_bytes // (dim * 8))
-    for start in range(0, n, step):
-        stop = min(start + step, n)
-        rows = W.where((F.col(row) >= start) & (F.col(row) < stop)).select(row, vec).collect()
-        block = np.zeros((stop - start, dim))
-        for r in rows:
-            block[r[row] - start] = r[vec]
-        yield start, block
+class _Logits(Fold):
+    """W h as it is, for those who ask for whole logits."""
 
+    @staticmethod
+    def cells(n: int, dim: int) -> tuple[int, int]:
+        return dim + n, n * dim
 
-Matrix = DataFrame | list[tuple[int, np.ndarray]]
+    def __init__(self, n, vectors, columns):
+        super().__init__(n, vectors, columns)
+        (self.h, self.ok), = vectors.values()
+        self.z = np.zeros((len(self.h), n))
 
+    def tile(self, turn, at, w):
+        self.z[:, at:at + len(w)] = self.h @ w.T
 
-def _slices(W: Matrix, max_bytes: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Slices of a matrix table, or slices that were read before."""
-    return iter(W) if isinstance(W, list) else matrix_slices(W, max_bytes=max_bytes)
+    def result(self):
+        return [lists(self.z, self.ok)]
 
 
-def _stack(series: pd.Series) -> np.ndarray:
-    return np.stack(series.to_numpy()).astype(float)
+class _Peak:
+    """Maximum, its first place, log-sum-exp and the two largest values of columns that come a few at a time."""
 
+    def __init__(self, rows: int):
+        self.top = np.full((rows, 2), -np.inf)
+        self.best = np.zeros(rows, np.int64)
+        self.total = np.zeros(rows)
 
-def _slice_project(df: DataFrame, block: np.ndarray, vec: str) -> Column:
-    shipped = df.sparkSession.sparkContext.broadcast(block)
+    def add(self, rows: slice, at: int, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp(z - maximum so far), and what earlier sums shrink by."""
+        peak, place = z.max(axis=1), z.argmax(axis=1)
+        before = self.top[rows, 0].copy()
+        self.best[rows] = np.where(peak > before, at + place, self.best[rows])
+        two = np.partition(z, -2, axis=1)[:, -2:] if z.shape[1] > 1 else z
+        self.top[rows] = np.sort(np.concatenate([self.top[rows], two], axis=1), axis=1)[:, :-3:-1]
+        now = self.top[rows, 0]
+        e, shrink = np.exp(z - now[:, None]), np.exp(before - now)
+        self.total[rows] = self.total[rows] * shrink + e.sum(axis=1)
+        return e, shrink
 
-    @F.pandas_udf("array<double>")
-    def run(h: pd.Series) -> pd.Series:
-        if len(h) == 0:
-            return pd.Series([], dtype=object)
-        return pd.Series(list(_stack(h) @ shipped.value.T))
+    def log_sum(self) -> np.ndarray:
+        return self.top[:, 0] + np.log(self.total)
 
-    return run(F.col(vec))
 
+class _Gradient(Fold):
+    """sum of p_i * w_i minus the token's own row, with sums that shrink whenever the maximum grows."""
 
-def project(df: DataFrame, W: Matrix, key: list[str], vec: str = "h", out: str = "logits",
-            max_bytes: int = MAX_SLICE_BYTES) -> DataFrame:
-    """logits = W h. A matrix above the limit is applied slice by slice and the pieces are joined per key."""
-    parts, last = [], None
-    for start, block in _slices(W, max_bytes):
-        last = _slice_project(df, block, vec)
-        parts.append(df.select(*key, F.lit(start).alias("_start"), last.alias("_piece")))
-    if len(parts) == 1:
-        return df.withColumn(out, last)
-    pieces = reduce(lambda a, b: a.unionByName(b), parts).groupBy(*key).agg(
-        F.sort_array(F.collect_list(F.struct("_start", "_piece"))).alias("_pieces")
-    )
-    joined = pieces.select(*key, F.flatten(F.transform("_pieces", lambda s: s["_piece"])).alias(out))
-    return df.join(joined, key)
-
-
-def _slice_gradient(df: DataFrame, start: int, block: np.ndarray, logits: str, token: str) -> Column:
-    shipped = df.sparkSession.sparkContext.broadcast(block)
-
-    @F.pandas_udf("array<double>")
-    def run(z: pd.Series, ids: pd.Series) -> pd.Series:
-        if len(z) == 0:
-            return pd.Series([], dtype=object)
-        x = _stack(z)
-        p = np.exp(x - x.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        w = shipped.value
-        out = p[:, start:start + len(w)] @ w
-        local = ids.to_numpy() - start
-        mine = (local >= 0) & (local < len(w))
-        out[mine] -= w[local[mine]]
-        return pd.Series(list(out))
-
-    return run(F.col(logits), F.col(token))
-
-
-def gradient(df: DataFrame, W: Matrix, key: list[str], logits: str = "logits", token: str = "token_id",
-             out: str = "g", max_bytes: int = MAX_SLICE_BYTES) -> DataFrame:
-    """Cross-entropy gradient in hidden space: sum of p_i * w_i minus the token's own row."""
-    parts, last = [], None
-    for start, block in _slices(W, max_bytes):
-        last = _slice_gradient(df, start, block, logits, token)
-        parts.append(df.select(*key, last.alias("_piece")))
-    if len(parts) == 1:
-        return df.withColumn(out, last)
-    # one piece per slice and key
-    summed = reduce(lambda a, b: a.unionByName(b), parts).groupBy(*key).agg(F.collect_list("_piece").alias("_p")).select(
-        *key,
-        F.aggregate(
-            F.slice("_p", 2, 1 << 30),
-            F.element_at("_p", 1),
-            lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b),
-        ).alias(out),
-    )
-    return df.join(summed, key)
+    def __init__(self, n, vectors, columns):
+        super().__init__(n, vectors, columns)
+        (self.h, self.ok), = vectors.values()
+        token = columns["_token"].cast("int64").fill_null(-1).to_numpy()
+        self.token, self.named = np.maximum(token, 0), (token >= 0) & (token < n)
+        self.peak = _Peak(len(self.h))
+        self.g, self.own = np.zeros_like(self.h), np.full(self.h.shape, np.nan)
+        self.token_logit = np.full(len(self.h), np.nan)
+
+    def product(self, rows: slice, at: int, w: np.ndarray) -> np.ndarray:
+        z = self.h[rows] @ w.T
+        e, shrink = self.peak.add(rows, at, z)
+        self.g[rows] = self.g[rows] * shrink[:, None] + e @ w
+        mine = np.flatnonzero(self.named[rows] & (self.token[rows] >= at) & (self.token[rows] < at + len(w)))
+        local = self.token[rows][mine] - at
+        self.own[rows.start + mine] = w[local]
+        self.token_logit[rows.start + mine] = z[mine, local]
+        return z
+
+    def tile(self, turn, at, w):
+        for rows in pieces(len(self.h), len(w)):
+            self.product(rows, at, w)
+
+    def between(self, turn):
+        if turn == 1:
+            self.g = self.g / self.peak.total[:, None] - self.own
+
+    def result(self):
+        return [lists(self.g, self.ok & self.named)]
+
+
+def _line(radius: float, steps: int) -> type[Fold]:
+    """A fold over the states h + k * (R / S) * g / |g|: three passes, since the divergences need both normalisers.
+
+    Logits along the line are those of h plus a multiple of those of the direction, so a block meets two vectors a row,
+    whatever the number of steps.
+    """
+
+    class Line(_Gradient):
+        passes = 3
+
+        @staticmethod
+        def cells(n: int, dim: int) -> tuple[int, int]:
+            return 6 * dim + steps * (len(STEP_MEASURES) + 8) + 32, n * (2 * dim + 20 * steps)
+
+        def __init__(self, n, vectors, columns):
+            super().__init__(n, vectors, columns)
+            rows = len(self.h)
+            # count, mean and squared distance from the mean of the logits, merged block by block
+            self.seen, self.mean, self.spread, self.square = 0, np.zeros(rows), np.zeros(rows), np.zeros(rows)
+            self.entropy = np.zeros(rows)
+            self.peaks = [_Peak(rows) for _ in range(steps)]
+            self.sums = {name: np.zeros((steps, rows)) for name in ("token", "square", "with", "shift", "entropy", "js")}
+
+        def product(self, rows, at, w):
+            z = super().product(rows, at, w)
+            mean, count = z.mean(axis=1), z.shape[1]
+            away = mean - self.mean[rows]
+            share = count / (self.seen + count)
+            self.spread[rows] += ((z - mean[:, None]) ** 2).sum(axis=1) + away**2 * self.seen * share
+            self.mean[rows] += away * share
+            self.square[rows] += (z * z).sum(axis=1)
+            return z
+
+        def tile(self, turn, at, w):
+            if turn == 1:
+                super().tile(turn, at, w)
+                self.seen += len(w)
+                return
+            for rows in pieces(len(self.h), len(w) * 4):
+                z, move = self.h[rows] @ w.T, self.direction[rows] @ w.T
+                l0 = z - self.norm[rows, None]
+                p0 = np.exp(l0)
+                mine = np.flatnonzero(self.named[rows] & (self.token[rows] >= at) & (self.token[rows] < at + len(w)))
+                local = self.token[rows][mine] - at
+                if turn == 2:
+                    self.entropy[rows] -= (p0 * np.log(p0 + V.EPS)).sum(axis=1)
+                for k in range(steps):
+                    zk = z + (k + 1) * (radius / steps) * move
+                    if turn == 2:
+                        self.peaks[k].add(rows, at, zk)
+                        self.sums["token"][k, rows.start + mine] = zk[mine, local]
+                        self.sums["square"][k, rows] += (zk * zk).sum(axis=1)
+                        self.sums["with"][k, rows] += (z * zk).sum(axis=1)
+                        self.sums["shift"][k, rows] += (p0 * (z - zk)).sum(axis=1)
+                    else:
+                        lk = zk - self.norms[k][rows, None]
+                        pk = np.exp(lk)
+                        mid = 0.5 * (p0 + pk)
+                        log_mid = np.log(np.where(mid > 0, mid, 1.0))
+                        self.sums["entropy"][k, rows] -= (pk * np.log(pk + V.EPS)).sum(axis=1)
+                        self.sums["js"][k, rows] += (mid * (log_mid - 0.5 * (l0 + lk))).sum(axis=1)
+
+        def between(self, turn):
+            super().between(turn)
+            if turn == 1:
+                self.norm = self.peak.log_sum()
+                self.length = np.linalg.norm(self.g, axis=1)
+                moves = self.length > 1e-9
+                self.direction = np.where(moves[:, None], self.g / np.where(moves, self.length, 1.0)[:, None], 0.0)
+            elif turn == 2:
+                self.norms = [p.log_sum() for p in self.peaks]
+
+        def measures(self) -> np.ndarray:
+            """Step x measure x row, in the fixed order of the measures."""
+            out = []
+            size, h2 = np.sqrt(self.square), np.linalg.norm(self.h, axis=1)
+            named = np.where(self.named, 1.0, np.nan)
+            for k, (peak, norm) in enumerate(zip(self.peaks, self.norms)):
+                s = {name: v[k] for name, v in self.sums.items()}
+                moved = (k + 1) * (radius / steps) * self.direction
+                hk, far = self.h + moved, np.sqrt(s["square"])
+                log_token = s["token"] * named - norm
+                out.append([
+                    log_token, np.exp(log_token), s["token"] * named, self.token_logit - self.norm - log_token,
+                    np.exp(peak.top[:, 0] - norm), peak.top[:, 0], (peak.best != self.peak.best).astype(float),
+                    s["entropy"], _gap(peak.top), far, s["shift"] - self.norm + norm, s["js"],
+                    s["with"] / (np.maximum(size, 1e-8) * np.maximum(far, 1e-8)),
+                    (self.h * hk).sum(axis=1) / (np.maximum(h2, 1e-8) * np.maximum(np.linalg.norm(hk, axis=1), 1e-8)),
+                    np.linalg.norm(moved, axis=1),
+                ])
+            return np.array(out)
+
+        def states(self) -> list[np.ndarray]:
+            """The features of the unperturbed states, in their fixed order."""
+            named = np.where(self.named, 1.0, np.nan)
+            log_token, top = self.token_logit - self.norm, self.peak.top
+            return [
+                log_token, np.exp(log_token), self.token_logit, np.exp(top[:, 0] - self.norm), top[:, 0], self.entropy,
+                _gap(top), _gap(np.exp(top - self.norm[:, None])), np.sqrt(self.square),
+                np.sqrt(self.spread / (self.n - 1)) if self.n > 1 else np.full(len(self.h), np.nan),
+                np.linalg.norm(self.h, axis=1), (self.peak.best == self.token) * named,
+            ]
+
+        def column(self, values: np.ndarray) -> pa.Array:
+            return pa.array(np.ascontiguousarray(values, dtype=float), mask=~(self.ok & self.named))
+
+    return Line
+
+
+def _gap(top: np.ndarray) -> np.ndarray:
+    """Gap between the two largest values; 0 where there is one."""
+    return np.where(np.isinf(top[:, 1]), 0.0, top[:, 0] - top[:, 1])
+
+
+def project(df: DataFrame, W: DataFrame, key: list[str], vec: str = "h", out: str = "logits", tile_rows: int | None = None) -> DataFrame:
+    """logits = W h. Null where the vector is null or not as wide as the matrix."""
+    return tiled(df, W, key, [vec], _Logits, [StructField(out, ArrayType(DoubleType()))], tile_rows)
+
+
+def gradient(df: DataFrame, W: DataFrame, key: list[str], vec: str = "h", token: str = "token_id", out: str = "g", tile_rows: int | None = None) -> DataFrame:
+    """Cross-entropy gradient in hidden space: sum of p_i * w_i minus the token's own row. Logits are never whole.
+
+    Null where the vector is absent or the token is not a row of the matrix.
+    """
+    named = df.withColumn("_token", F.col(token).cast("bigint"))
+    return tiled(named, W, key, [vec], _Gradient, [StructField(out, ArrayType(DoubleType()))], tile_rows).drop("_token")
 
 
 def trajectory(df: DataFrame, radius: float = 20.0, steps: int = 5, vec: str = "h", direction: str = "g",
@@ -146,68 +250,22 @@ def trajectory(df: DataFrame, radius: float = 20.0, steps: int = 5, vec: str = "
     return df.select("*", F.inline(V.let(V.l2(F.col(direction)), walk)))
 
 
-def state_features(logits: Column, hidden: Column, token: Column) -> dict[str, Column]:
-    """The features of the unperturbed state; ``logits`` should be a materialised column."""
-    p = V.softmax(logits)
-    stats = V.logit_stats(logits, token)
-    values = [
-        stats["log_prob_actual"], stats["prob_actual"], stats["logit_actual"], stats["prob_argmax"],
-        stats["logit_argmax"], V.entropy(p), V.margin(logits), V.margin(p), V.l2(logits),
-        V.std_sample(logits), V.l2(hidden), stats["actual_is_argmax"].cast("double"),
-    ]
-    return dict(zip(STATE_FEATURES, values))
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    shifted = z - z.max(axis=1, keepdims=True)
-    return shifted - np.log(np.exp(shifted).sum(axis=1, keepdims=True))
-
-
-def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    norms = np.maximum(np.linalg.norm(a, axis=1), 1e-8) * np.maximum(np.linalg.norm(b, axis=1), 1e-8)
-    return (a * b).sum(axis=1) / norms
-
-
-def _measure(z0: np.ndarray, zk: np.ndarray, h: np.ndarray, hk: np.ndarray, token: np.ndarray) -> list[np.ndarray]:
-    """The step measures of a batch of rows, in their fixed order."""
-    rows = np.arange(len(token))
-    l0, lk = _log_softmax(z0), _log_softmax(zk)
-    p0, pk = np.exp(l0), np.exp(lk)
-    best = zk.argmax(axis=1)
-    top = np.partition(zk, -2, axis=1)[:, -2:] if zk.shape[1] > 1 else np.repeat(zk, 2, axis=1)
-    mid = 0.5 * (p0 + pk)
-    log_mid = np.log(np.where(mid > 0, mid, 1.0))
-    return [
-        lk[rows, token],
-        pk[rows, token],
-        zk[rows, token],
-        l0[rows, token] - lk[rows, token],
-        pk[rows, best],
-        zk[rows, best],
-        (best != z0.argmax(axis=1)).astype(float),
-        -(pk * np.log(pk + V.EPS)).sum(axis=1),
-        top[:, 1] - top[:, 0],
-        np.linalg.norm(zk, axis=1),
-        (p0 * (l0 - lk)).sum(axis=1),
-        0.5 * (mid * (log_mid - l0)).sum(axis=1) + 0.5 * (mid * (log_mid - lk)).sum(axis=1),
-        _cosines(z0, zk),
-        _cosines(h, hk),
-        np.linalg.norm(hk - h, axis=1),
-    ]
-
-
-@F.pandas_udf(StructType([StructField(m, DoubleType()) for m in STEP_MEASURES]))
-def _step_row(z0: pd.Series, zk: pd.Series, h: pd.Series, hk: pd.Series, token: pd.Series) -> pd.DataFrame:
-    if len(token) == 0:
-        return pd.DataFrame(columns=STEP_MEASURES, dtype=float)
-    values = _measure(_stack(z0), _stack(zk), _stack(h), _stack(hk), token.to_numpy())
-    return pd.DataFrame(dict(zip(STEP_MEASURES, values)))
-
-
-def step_measures(steps: DataFrame, keep: list[str], token: str = "token_id") -> DataFrame:
-    """The measures of each step. Needs h, logits, h_k, logits_k and the token id per row."""
-    measured = _step_row(F.col("logits"), F.col("logits_k"), F.col("h"), F.col("h_k"), F.col(token))
-    return steps.select(*keep, "step", measured.alias("_m")).select(*keep, "step", "_m.*")
+def step_measures(df: DataFrame, W: DataFrame, key: list[str], radius: float = 20.0, steps: int = 5, vec: str = "h", token: str = "token_id", tile_rows: int | None = None) -> DataFrame:
+    """One row a step, (key, token, step, measures), for states moved along their gradient. Needs ``vec`` and the token id.
+
+    Measures are null where the vector is absent or the token is not a row of the matrix.
+    """
+
+    class Steps(_line(radius, steps)):
+        def result(self):
+            values = self.measures()
+            return [lists(values[:, m, :].T, self.ok & self.named) for m in range(len(STEP_MEASURES))]
+
+    arrays = [StructField(f"_m{i}", ArrayType(DoubleType())) for i in range(len(STEP_MEASURES))]
+    found = tiled(df.select(*key, token, vec, F.col(token).cast("bigint").alias("_token")), W, key, [vec], Steps, arrays, tile_rows)
+    number = F.sequence(F.lit(1), F.lit(steps))
+    rows = F.transform(number, lambda k: F.struct(k.alias("step"), *[F.element_at(a.name, k).alias(m) for a, m in zip(arrays, STEP_MEASURES)]))
+    return found.select(*key, token, F.inline(rows))
 
 
 def radius_to_flip(measures: DataFrame, by: list[str], radius: float = 20.0, steps: int = 5) -> DataFrame:
@@ -234,84 +292,24 @@ def trajectory_statistics(measures: DataFrame, by: list[str]) -> DataFrame:
     return measures.groupBy(*by).agg(*[ops[s](m).alias(f"{m}_{s}") for m in STEP_MEASURES for s in STATISTICS])
 
 
-def _path_arrays(df: DataFrame, block: np.ndarray, token: str, radius: float, steps: int) -> Column:
-    """struct of logits, g and one array over the steps per measure, for a matrix that fits a task."""
-    shipped = df.sparkSession.sparkContext.broadcast(block)
-    schema = "logits array<double>, g array<double>, " + ", ".join(f"{m} array<double>" for m in STEP_MEASURES)
-
-    @F.pandas_udf(schema)
-    def run(h: pd.Series, ids: pd.Series) -> pd.DataFrame:
-        if len(h) == 0:
-            return pd.DataFrame(columns=["logits", "g"] + STEP_MEASURES)
-        w, x, t = shipped.value, _stack(h), ids.to_numpy()
-        z = x @ w.T
-        g = np.exp(_log_softmax(z)) @ w - w[t]
-        norm = np.linalg.norm(g, axis=1, keepdims=True)
-        direction = np.where(norm > 1e-9, g / np.maximum(norm, 1e-300), 0.0)
-        moved = [x + k * (radius / steps) * direction for k in range(1, steps + 1)]
-        per_step = np.array([_measure(z, hk @ w.T, x, hk, t) for hk in moved])
-        out = {"logits": list(z), "g": list(g)}
-        for i, m in enumerate(STEP_MEASURES):
-            out[m] = list(per_step[:, i, :].T)
-        return pd.DataFrame(out)
-
-    return run(F.col("h"), F.col(token))
-
-
-def _array_stats(name: str) -> list[Column]:
-    v = F.col(f"_m.{name}")
-    n = F.size(v)
-
-    def spread(x: Column) -> Column:
-        return V.let(V.total(x) / n, lambda mean: F.sqrt(V.total(F.transform(x, lambda e: F.pow(e - mean, 2))) / n))
+def trajectory_features(df: DataFrame, W: DataFrame, key: list[str], radius: float = 20.0, steps: int = 5, vec: str = "h",
+                        token: str = "token_id", tile_rows: int | None = None) -> DataFrame:
+    """All token features: (key, token, ``FEATURES``). ``df`` has the key, ``vec`` and the token id.
 
-    values = [V.total(v) / n, V.let(v, spread), F.array_min(v), F.array_max(v)]
-    return [x.alias(f"{name}_{s}") for x, s in zip(values, STATISTICS)]
-
-
-def trajectory_features(df: DataFrame, W: Matrix, key: list[str], radius: float = 20.0, steps: int = 5,
-                        token: str = "token_id", max_bytes: int = MAX_SLICE_BYTES) -> DataFrame:
-    """All token features. ``df`` has the key, ``h`` and the token id.
-
-    A matrix within the limit needs no shuffle: a row's steps stay in its task.
-    A larger one is applied slice by slice to the steps as rows.
+    Features are null where the vector is absent or the token is not a row of the matrix.
     """
-    blocks = _slices(W, max_bytes)
-    first = next(blocks)
-    second = next(blocks, None)
-    if second is not None:
-        return _features_by_rows(df, W, key, radius, steps, token, max_bytes)
-    walked = df.select(*key, token, "h", _path_arrays(df, first[1], token, radius, steps).alias("_m"))
-    states = state_features(F.col("_m.logits"), F.col("h"), F.col(token))
-    flips = F.array_position("_m.did_argmax_change_from_original", F.lit(1.0))
-    drops = F.transform("_m.delta_log_prob_actual_from_original", lambda x: F.greatest(x, F.lit(0.0)))
-    energy = (V.total(drops) - F.element_at(drops, -1) / 2.0) / F.lit(float(steps))
-    return walked.select(
-        *key,
-        token,
-        *[c.alias(n) for n, c in states.items()],
-        V.l2(F.col("_m.g")).alias("jacobian_norm_token"),
-        F.when(flips > 0, flips * F.lit(radius / steps)).otherwise(F.lit(float("inf"))).alias("epsilon_to_flip_token"),
-        energy.alias("pei_value_token"),
-        *[c for m in STEP_MEASURES for c in _array_stats(m)],
-    ).select(*key, token, *FEATURES)
-
-
-def _features_by_rows(df: DataFrame, W: Matrix, key: list[str], radius: float, steps: int, token: str,
-                      max_bytes: int) -> DataFrame:
-    with_g = gradient(project(df, W, key, max_bytes=max_bytes), W, key, token=token, max_bytes=max_bytes)
-    states = state_features(F.col("logits"), F.col("h"), F.col(token))
-    described = with_g.withColumns({**states, "jacobian_norm_token": V.l2(F.col("g"))})
-    moved = trajectory(described, radius, steps)
-    logits_k = project(moved, W, key + ["step"], vec="h_k", out="logits_k", max_bytes=max_bytes)
-    kept = STATE_FEATURES + ["jacobian_norm_token"]
-    measures = step_measures(logits_k, key + [token] + kept, token)
-    ops = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
-    flipped = F.min(F.when(F.col("did_argmax_change_from_original") == 1, F.col("step")))
-    out = measures.groupBy(*key, token).agg(
-        *[F.first(k).alias(k) for k in kept],
-        F.coalesce(flipped * F.lit(radius / steps), F.lit(float("inf"))).alias("epsilon_to_flip_token"),
-        _energy(steps).alias("pei_value_token"),
-        *[ops[s](m).alias(f"{m}_{s}") for m in STEP_MEASURES for s in STATISTICS],
-    )
-    return out.select(*key, token, *FEATURES)
+
+    class Features(_line(radius, steps)):
+        def result(self):
+            values = self.measures()
+            changed = values[:, STEP_MEASURES.index("did_argmax_change_from_original")] == 1
+            first = np.where(changed.any(axis=0), (changed.argmax(axis=0) + 1) * (radius / steps), np.inf)
+            drops = np.maximum(values[:, STEP_MEASURES.index("delta_log_prob_actual_from_original")], 0.0)
+            energy = (drops.sum(axis=0) - drops[-1] / 2.0) / steps
+            of = {"mean": values.mean(axis=0), "std": values.std(axis=0), "min": values.min(axis=0), "max": values.max(axis=0)}
+            stats = [of[s][m] for m in range(len(STEP_MEASURES)) for s in STATISTICS]
+            return [self.column(v) for v in [*self.states(), self.length, first, energy, *stats]]
+
+    out = [StructField(name, DoubleType()) for name in FEATURES]
+    found = tiled(df.select(*key, token, vec, F.col(token).cast("bigint").alias("_token")), W, key, [vec], Features, out, tile_rows)
+    return found.select(*key, token, *FEATURES)
