@@ -25,7 +25,7 @@ def test_running_sum_over_one_hot_group(spark):
     # every score of the group lies within a few ulps of one value
     rows = [("hot", 0.9 + i * 2.0**-53, i) for i in range(500)] + [("other", 0.1, 1)]
     df = spark.createDataFrame(rows, "g string, c double, v long").repartition(6)
-    out = o.running(df, ["g"], o.score_blocks(F.col("c")), ["c"], {"s": ("sum", F.col("v"))}, totals=True)
+    out = o.running(df, ["g"], ["c"], {"s": ("sum", F.col("v"))}, totals=True)
     got = out.where("g = 'hot'").groupBy("c").agg(F.max("s").alias("s"), F.max("s_total").alias("t")).orderBy("c").collect()
     frame = pd.DataFrame(rows, columns=["g", "c", "v"])
     want = frame[frame.g == "hot"].groupby("c").v.sum().sort_index().cumsum()
@@ -36,7 +36,7 @@ def test_running_sum_over_one_hot_group(spark):
 def test_dense_index_over_far_apart_keys(spark):
     keys = [0, 1, 5, 1 << 17, (1 << 18) + 3, 1 << 35, (1 << 36) + 1, (1 << 40) + 7, 1 << 60]
     df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(4)
-    got = o.dense_index(df, "k", "long").orderBy("k").collect()
+    got = o.dense_index(df, "k").orderBy("k").collect()
     assert [r["idx"] for r in got] == list(range(len(keys)))
     assert {r["n_total"] for r in got} == {len(keys)}
 
@@ -68,6 +68,21 @@ def test_partner_is_never_self(spark):
     assert lone[0]["k"] == lone[0]["other_k"]
 
 
+def test_partners_among_more_rows_than_32_bits_tell_apart(spark):
+    from veracal.functions.keys import other_position, row_draw
+
+    n = 1 << 44
+    draws = spark.range(4000).select(F.col("id"), row_draw(F.col("id").cast("string"), 42, "partner").alias("d"), (F.col("id") * (n // 4000)).alias("own"))
+    picked = [r[0] for r in draws.select(other_position(F.col("d"), F.col("own"), F.lit(n))).collect()]
+    # even over all positions, past those that 32 bits reach
+    quarters = np.bincount([p * 4 // n for p in picked], minlength=4)
+    assert min(picked) >= 0 and max(picked) < n and len(set(picked)) == 4000 and quarters.min() > 900
+    small = spark.range(5).crossJoin(spark.range(200).withColumnRenamed("id", "d")).select("id", other_position(F.col("d"), F.col("id"), F.lit(5)).alias("p")).collect()
+    assert all(r["p"] != r["id"] for r in small) and {(r["id"], r["p"]) for r in small} == {(a, b) for a in range(5) for b in range(5) if a != b}
+    one = spark.range(1).select(other_position(F.lit(7), F.lit(0), F.lit(1)).alias("p")).first()["p"]
+    assert one == 0
+
+
 def test_runs_skip_nulls_but_keep_positions(spark):
     values = [None, "a", "a", None, "a", "b", None, None, "a", None]
     df = spark.createDataFrame(list(enumerate(values)), "i long, v string").repartition(3)
@@ -75,21 +90,62 @@ def test_runs_skip_nulls_but_keep_positions(spark):
     assert got == [("a", 1, 4, 4), ("a", 8, 9, 2), ("b", 5, 7, 3)]
 
 
-def test_exploded_input_is_ordered_by_blocks(spark):
+def test_exploded_input_is_ordered_by_ranges(spark):
     # the planner takes the exploded rows for a few bytes; one group holds them all
     df = spark.range(10).select(F.lit("hot").alias("g"), F.explode(F.expr("sequence(id * 3000, id * 3000 + 2999)")).alias("k"))
-    out = o.dense_index(df, "k", "long", ["g"])
-    assert "_b2" in out._jdf.queryExecution().optimizedPlan().toString()
+    out = o.dense_index(df, "k", ["g"])
     assert out.where("idx <> k or n_total <> 30000").count() == 0
 
 
-def test_blocks_are_monotone_over_all_doubles(spark):
-    inf = float("inf")
-    values = [-inf, -1e300, -(2.0**40), -(2.0**31), -(2.0**31) + 1, -5.5, -1e-12, 0.0, 1e-300, 1e-20, 2.0**-32, 1e-5, 0.3, 0.1 + 0.2, 1.0 - 2**-53, 1.0, 7.0, 2.0**31 - 1, 2.0**31, 1e15, 1e300, inf, float("nan")]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, c double")
-    rows = df.select("i", *[b.alias(f"b{n}") for n, b in enumerate(o.score_blocks(F.col("c")))]).orderBy("i").collect()
-    keys = [(r["b0"], r["b1"]) for r in rows]
-    assert keys == sorted(keys)
+def _rows():
+    rng = np.random.default_rng(8)
+    values = [None, -np.inf, -1e300, -10_000_000.0, -1.5, -0.0, 1e-300, 0.25, 0.3, 7.0, 1e300, np.inf]
+    out, at = [], 0
+    for g in [None, "a", "b", "hot", "hot", "hot", "z"]:
+        for _ in range(int(rng.integers(1, 60))):
+            out.append((g, int(rng.integers(0, 3)) if g != "b" else None, at, values[int(rng.integers(0, len(values)))], None if rng.random() < 0.4 else f"s{at % 3}", int(rng.integers(-5, 9))))
+            at += 1
+    return [out[k] for k in rng.permutation(len(out))]
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_equals_a_plain_loop(spark, batch, descending):
+    rows = _rows()
+    df = spark.createDataFrame(rows, "g string, h int, k long, v double, s string, w long").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        aggs = {"total": ("sum", F.col("w")), "last": ("last", F.col("s")), "top": ("peak", F.when(F.col("v") > -1e299, F.col("v"))), "half": ("sum", F.col("w") * 0.5)}
+        out = o.running(df, ["g", "h"], ["k"], aggs, descending, inclusive=False, totals=True).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = {r["k"]: r for r in out}
+    assert len(out) == len(rows)
+    for g, h in {(r[0], r[1]) for r in rows}:
+        total, last, top, row = 0, None, None, None
+        mine = sorted((r for r in rows if (r[0], r[1]) == (g, h)), key=lambda r: -r[2] if descending else r[2])
+        for n, (_, _, k, v, s, w) in enumerate(mine, 1):
+            total += w
+            if v is not None and v > -1e299 and (top is None or v > top):
+                top, row = v, n
+            r = got[k]
+            assert (r["total"], r["last"], r["top"], r["top_row"], r["half"]) == (total, last, top, row, total / 2), (g, h, n)
+            assert r["total_total"] == sum(x[5] for x in mine) and (r["v"], r["s"]) == (v, s)
+            last = s if s is not None else last
+
+
+def test_nulls_of_the_order_come_first(spark):
+    df = spark.createDataFrame([(-10_000_000,), (None,), (5,)], "k long")
+    got = {r["k"]: r["n"] for r in o.running(df, [], ["k"], {"n": ("sum", F.lit(1))}).collect()}
+    assert got == {None: 1, -10_000_000: 2, 5: 3}
+    got = {r["k"]: r["n"] for r in o.running(df, [], ["k"], {"n": ("sum", F.lit(1))}, descending=True).collect()}
+    assert got == {5: 1, -10_000_000: 2, None: 3}
+
+
+def test_nothing_to_run_over(spark):
+    df = spark.createDataFrame([], "g string, k long")
+    assert o.running(df, ["g"], ["k"], {"n": ("sum", F.lit(1))}, totals=True).collect() == []
 
 
 def test_quantiles_of_large_values(spark):

@@ -144,8 +144,8 @@ def j11(spark, d):
     return j.common_samples(fx.predictions(spark, d), ["vlm"], "sample_id").select("sample_id", "method", "vlm", "seed")
 
 
-def _seed_sql(key: str, salt: str) -> str:
-    return f"xor(cast(concat('0x', substr(sha256(concat(cast({key} as varchar), '_{salt}')), 1, 8)) as bigint), 42)"
+def _seed_sql(key: str, salt: str, digits: int = 8) -> str:
+    return f"xor(cast(concat('0x', substr(sha256(concat(cast({key} as varchar), '_{salt}')), 1, {digits})) as bigint), 42)"
 
 
 RING = "select *, row_number() over (order by {key}) - 1 as idx, count(*) over () as n from {table}"
@@ -154,7 +154,7 @@ RING = "select *, row_number() over (order by {key}) - 1 as idx, count(*) over (
 @query(
     "j12_random_partner",
     cte(f"""select a.o_orderkey, b.o_orderkey as other_o_orderkey, b.o_custkey as other_o_custkey from
-  (select o_orderkey, s % (n - 1) + case when s % (n - 1) >= idx then 1 else 0 end as pick from (select *, {_seed_sql('o_orderkey', 'partner')} as s from R)) a
+  (select o_orderkey, s % (n - 1) + case when s % (n - 1) >= idx then 1 else 0 end as pick from (select *, {_seed_sql('o_orderkey', 'partner', 15)} as s from R)) a
 join R b on b.idx = a.pick""", R=RING.format(key="o_orderkey", table="orders")),
 )
 def j12(spark, d):
@@ -163,7 +163,7 @@ def j12(spark, d):
 
 
 PAIRS = f"""select a.vec_id, a.label, a.embedding, b.vec_id as other_vec_id, b.label as other_label, b.embedding as other_embedding from
-  (select *, s % (n - 1) + case when s % (n - 1) >= idx then 1 else 0 end as pick from (select *, {_seed_sql('vec_id', 'pair')} as s from R)) a
+  (select *, s % (n - 1) + case when s % (n - 1) >= idx then 1 else 0 end as pick from (select *, {_seed_sql('vec_id', 'pair', 15)} as s from R)) a
 join R b on b.idx = a.pick"""
 
 

@@ -138,8 +138,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators.ordered import running
 
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("value") / 500.0).alias("score"))
-    day = F.unix_date(F.col("ts").cast("date"))
-    placed = running(events, ["user_id"], [day], ["ts", "event_id"], {"_n": ("sum", F.lit(1).cast("bigint"))})
+    placed = running(events, ["user_id"], ["ts", "event_id"], {"_n": ("sum", F.lit(1).cast("bigint"))})
     return placed.select(F.col("user_id").alias("trial"), (F.col("_n") - 1).alias("epoch"), "score", "event_id")
 
 

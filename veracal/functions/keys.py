@@ -47,13 +47,28 @@ def fallback_key(hash_id: Column, dataset: Column, question: Column, answer: Col
     return F.coalesce(hash_id, F.sha2(raw, 256))
 
 
-def row_seed(key: Column, seed: int, salt: str = "") -> Column:
-    """Deterministic 32-bit seed of a row, mixed with a global seed."""
+def _digest_head(key: Column, seed: int, salt: str, digits: int) -> Column:
     salted = F.concat(key, F.lit(f"_{salt}")) if salt else key
-    head = F.conv(F.substring(F.sha2(salted, 256), 1, 8), 16, 10).cast("bigint")
+    head = F.conv(F.substring(F.sha2(salted, 256), 1, digits), 16, 10).cast("bigint")
     return head.bitwiseXOR(F.lit(seed).cast("bigint"))
 
 
+def row_seed(key: Column, seed: int, salt: str = "") -> Column:
+    """Deterministic 32-bit seed of a row, mixed with a global seed."""
+    return _digest_head(key, seed, salt, 8)
+
+
+def row_draw(key: Column, seed: int, salt: str = "") -> Column:
+    """Deterministic 60-bit draw of a row: wide enough to pick among all rows of any table."""
+    return _digest_head(key, seed, salt, 15)
+
+
+def other_position(draw: Column, own: Column, n: Column) -> Column:
+    """A position below ``n`` other than ``own``, evenly drawn; the only one if there is no other."""
+    picked = F.pmod(draw, F.when(n > 1, n - 1).otherwise(F.lit(1)))
+    return F.when(n > 1, picked + (picked >= own).cast("bigint")).otherwise(F.lit(0))
+
+
 def _literal_json(text: Column) -> Column:
     """Rewrite bare Python constants of a printed container to JSON ones."""
     out = text

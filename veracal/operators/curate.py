@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ordered import GROUP, dense_index, group_key, long_blocks, running, take_per_group
+from .ordered import GROUP, dense_index, group_key, running, take_per_group
 
 
 def require_columns(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -86,7 +86,7 @@ def class_quotas(df: DataFrame, col: str, size: int, least: int = 2) -> DataFram
     )
     left = F.lit(size).cast("bigint") - base.agg(F.sum("_base").alias("s")).scalar()
     ranked = running(
-        base, [], long_blocks(F.col("_rest")), ["_rest", col], {"_pos": ("sum", F.lit(1).cast("bigint"))}
+        base, [], ["_rest", col], {"_pos": ("sum", F.lit(1).cast("bigint"))}
     ).withColumn("_left", left)
     quota = F.col("_base") + (F.col("_pos") <= F.col("_left")).cast("bigint")
     return ranked.select(
@@ -100,27 +100,26 @@ def stratified_exact(df: DataFrame, col: str, key: str, size: int, seed: int = 4
     Rows are picked by a seeded digest of their key, so the choice is repeatable
     and no class is sorted in one task.
     """
-    quotas = class_quotas(df, col, size).select(col, F.col("n").alias("_n"), F.col("quota").alias("_quota"))
+    quotas = class_quotas(df, col, size).select(col, F.col("quota").alias("_quota"))
     joined = df.join(quotas, col).withColumn("_digest", F.md5(F.concat(F.lit(f"{seed}_"), F.col(key).cast("string"))))
-    return take_per_group(joined, [col], "_digest", "_n", "_quota").select(*df.columns)
+    return take_per_group(joined, [col], "_digest", "_quota").select(*df.columns)
 
 
-def slice_rows(df: DataFrame, start: int, end: int | None, order: str, kind: str = "long",
-               limit: int | None = None) -> DataFrame:
+def slice_rows(df: DataFrame, start: int, end: int | None, order: str, limit: int | None = None) -> DataFrame:
     """Rows at positions [start, end) of an order, then the first ``limit`` of them."""
     stop = end
     if limit is not None:
         stop = start + limit if end is None else min(end, start + limit)
-    placed = dense_index(df, order, kind)
+    placed = dense_index(df, order)
     cond = F.col("idx") >= start
     if stop is not None:
         cond = cond & (F.col("idx") < stop)
     return placed.where(cond).drop("n_total")
 
 
-def balanced_shards(df: DataFrame, n: int, order: str, kind: str = "long") -> DataFrame:
+def balanced_shards(df: DataFrame, n: int, order: str) -> DataFrame:
     """Shard number per row; shard i holds positions [floor(N*i/n), floor(N*(i+1)/n))."""
-    placed = dense_index(df, order, kind)
+    placed = dense_index(df, order)
     shard = F.expr(f"((idx + 1) * {n} + n_total - 1) div n_total - 1").cast("int")
     return placed.withColumn("shard", shard).drop("n_total")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.binning import edge, grid_index, lower_closed_bin, upper_closed_bin
 from .joins import lookup
-from .ordered import GROUP, group_key, running, score_blocks
+from .ordered import GROUP, group_key, running
 
 # Metric names in report order.
 METRICS = [
@@ -33,7 +33,6 @@ def ranked_histogram(hist: DataFrame, by: list[str]) -> DataFrame:
     return running(
         hist,
         by,
-        score_blocks(F.col("c")),
         ["c"],
         {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))},
         descending=True,
@@ -58,7 +57,8 @@ RANK_TERMS = {
 _COUNTS = ["n", "pos", "neg", "tp", "fp", "tn", "fn"]
 
 
-def _bin_partials(ranked: DataFrame, by: list[str], threshold: float, bins: int) -> DataFrame:
+def _sums(ranked: DataFrame, by: list[str], threshold: float, bins: int) -> DataFrame:
+    """One row a group. A bin's weighted gap is the distance between its summed confidence and its positives."""
     accept = f"c >= {float(threshold)!r}D"
     sums = {
         "n": "pos + neg",
@@ -68,20 +68,18 @@ def _bin_partials(ranked: DataFrame, by: list[str], threshold: float, bins: int)
         "fp": f"IF({accept}, neg, 0L)",
         "tn": f"IF({accept}, 0L, neg)",
         "fn": f"IF({accept}, 0L, pos)",
-        "_conf": "c * (pos + neg)",
         "_sq": "pos * pow(c - 1, 2) + neg * pow(c, 2)",
         **{f"_{k}": v for k, v in RANK_TERMS.items()},
     }
     binned = ranked.withColumn("_bin", upper_closed_bin(F.col("c"), bins))
-    return binned.groupBy(*by, "_bin").agg(*[F.expr(f"sum({v})").alias(k) for k, v in sums.items()])
+    gaps = [F.abs(F.expr(f"coalesce(sum(IF(_bin = {b}, c * (pos + neg) - pos, 0.0D)), 0.0D)")) for b in range(bins)]
+    return binned.groupBy(*by).agg(
+        *[F.expr(f"coalesce(sum({v}), 0L)" if k in _COUNTS else f"sum({v})").alias(k) for k, v in sums.items()],
+        sum(gaps[1:], gaps[0]).alias("_gap"),
+    )
 
 
-def _assemble(partials: DataFrame, by: list[str]) -> DataFrame:
-    gap = F.expr("CASE WHEN _bin IS NOT NULL THEN abs(_conf / n - pos / n) * n END")
-    totals = partials.withColumn("_gap", gap).groupBy(*by).agg(
-        *[F.expr(f"coalesce(sum({k}), 0L)").alias(k) for k in _COUNTS],
-        *[F.expr(f"sum({k})").alias(k) for k in ("_gap", "_sq", "_auc_gap", "_pr_area", "_ap_sum")],
-    )
+def _assemble(totals: DataFrame, by: list[str]) -> DataFrame:
 
     def guarded(value: str, empty: float) -> str:
         return f"CASE WHEN n = 0 THEN {empty}D ELSE {value} END"
@@ -118,7 +116,7 @@ def _assemble(partials: DataFrame, by: list[str]) -> DataFrame:
 
 
 def metrics_from_histogram(hist: DataFrame, by: list[str], threshold: float = 0.5, bins: int = 10) -> DataFrame:
-    return _assemble(_bin_partials(ranked_histogram(hist, by), by, threshold, bins), by)
+    return _assemble(_sums(ranked_histogram(hist, by), by, threshold, bins), by)
 
 
 def all_metrics(

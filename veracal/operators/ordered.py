@@ -1,51 +1,24 @@
 """Running aggregates, dense indexes and exact quantiles over any number of rows.
 
-A window over one big group would sort that group in one task. The order is cut
-into blocks whose ids are computed from the value itself: block totals are rolled up, carried forward over the (few) blocks,
-and joined back, so a window only ever covers one block. Block ids come from the
-row alone, hence the result does not depend on partitioning and survives
-recomputation.
+A window over one big group would sort that group in one task. Here rows are range-partitioned by group and order, so a
+group may span many tasks. Every task scans its rows once and writes them, below the shared folder, with running values
+that are right within the task; the last row of each (task, group) carries that stretch's totals, a window over those few rows gives what each task must add,
+and only groups that cross tasks need it: fewer rows than there are partitions.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, IntegralType, LongType, StructField, StructType
 
-GROUP = "_group"
-
-
-def score_blocks(c: Column) -> list[Column]:
-    """Two block ids, monotone in a double.
-
-    Fixed-width cells up to a magnitude of 2**31; above that, and for scores so
-    close to zero that they share one cell, cells follow the logarithm.
-    """
-    limit = float(1 << 31)
-    top = F.floor(c * 4096.0).cast("bigint")
-    fine = F.floor(c * 4294967296.0).cast("bigint") - top * 1048576
-    tiny = (c >= 0.0) & (c < 1.0 / 4294967296.0)
-    octave = F.when(c > 0.0, F.floor(F.log2(c)).cast("bigint")).otherwise(F.lit(-2000))
-    far = F.lit(1 << 43) + F.floor(F.least(F.log2(F.abs(c)), F.lit(2000.0)) * 4096.0).cast("bigint")
-    outer = F.when(F.isnan(c), F.lit(1 << 62)).when(c > 0.0, far).otherwise(-far)
-    inside = F.abs(c) < limit
-    return [
-        F.when(inside, top).otherwise(outer),
-        F.when(inside, F.when(tiny, octave).otherwise(fine)).otherwise(F.lit(0)),
-    ]
-
-
-def long_blocks(i: Column) -> list[Column]:
-    """Three block ids, monotone in a 64-bit integer; keys spread over all bits fill no level with more than 2**18."""
-    return [F.shiftright(i.cast("bigint"), bits) for bits in (52, 36, 18)]
+from ..session import stored
 
-
-def hex_blocks(digest: Column) -> list[Column]:
-    """Two block ids, monotone in a hex digest."""
-    return [F.substring(digest, 1, 3), F.substring(digest, 1, 6)]
-
-
-BLOCKS = {"score": score_blocks, "long": long_blocks, "hex": hex_blocks}
+GROUP = "_group"
+_KEYS = ["_g1", "_g2"]
 
 
 def group_key(by: list[str]) -> Column:
@@ -53,122 +26,199 @@ def group_key(by: list[str]) -> Column:
     return F.struct(*by) if by else F.lit(0)
 
 
-def _over(kind: str, value: Column, window) -> Column:
-    if kind == "sum":
-        return F.sum(value).over(window)
-    if kind == "max":
-        return F.max(value).over(window)
-    return F.last(value, ignorenulls=True).over(window)
-
-
-def _fold(kind: str, carried: Column, local: Column) -> Column:
-    if kind == "sum":
-        return F.coalesce(carried, F.lit(0)) + F.coalesce(local, F.lit(0))
-    if kind == "max":
-        return F.greatest(carried, local)
-    return F.coalesce(local, carried)
+def _group_hashes(by: list[str]) -> list[Column]:
+    """128 bits that name a group; which columns are null counts."""
+    if not by:
+        return [F.lit(0).cast("bigint").alias(k) for k in _KEYS]
+    parts = [*[F.col(c) for c in by], *[F.col(c).isNull() for c in by]]
+    return [F.xxhash64(*parts, F.lit(salt)).alias(k) for salt, k in enumerate(_KEYS)]
+
+
+class _Stretch:
+    """One batch of a task's rows, cut into runs of one group, with what the run before it left."""
+
+    def __init__(self, batch: pa.RecordBatch, before: _Stretch | None):
+        n = batch.num_rows
+        keys = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in _KEYS]
+        self.n, self.keys = n, tuple(int(k[-1]) for k in keys)
+        self.new = np.ones(n, bool)
+        self.new[1:] = (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])
+        self.goes_on = before is not None and before.keys == tuple(int(k[0]) for k in keys)
+        self.new[0] = not self.goes_on
+        self.run = np.cumsum(self.new)
+        at = np.arange(n)
+        # first row of the run; -1 where it began in an earlier batch
+        self.first = np.maximum.accumulate(np.where(self.new, at, -1))
+        self.before = before if self.goes_on else None
+        self.count = at - self.first + np.where(self.first < 0, before.count[-1] if self.goes_on else 0, 1)
+        self.ends: dict[str, object] = {}
+
+    def sums(self, name: str, values: pa.Array) -> pa.Array:
+        values = values.cast(pa.int64() if pa.types.is_integer(values.type) else pa.float64())
+        v = np.array(values.fill_null(0).to_numpy(zero_copy_only=False))
+        if self.before is not None:
+            v[0] += self.before.ends[name]
+        out = pd.Series(v).groupby(self.run).cumsum().to_numpy()
+        self.ends[name] = out[-1]
+        return pa.array(out)
+
+    def lasts(self, name: str, values: pa.Array, inclusive: bool) -> list[pa.Array]:
+        """Last non-null value, with the row itself and, if asked for, without it."""
+        held = self.before.ends[name] if self.before is not None else pa.nulls(1, values.type)
+        pool = pa.concat_arrays([held, values])
+        known = values.is_valid().to_numpy(zero_copy_only=False)
+        seen = np.maximum.accumulate(np.where(known, np.arange(self.n), -1))
+        # rows of the run only; slot 0 of the pool is what the run had before this batch
+        place = np.where(seen >= self.first, seen, np.where(self.first < 0, -1, -2))
+        with_row = pool.take(pa.array(place + 1, mask=place == -2))
+        self.ends[name] = with_row.slice(self.n - 1, 1)
+        if inclusive:
+            return [with_row]
+        shifted = np.concatenate([[-1 if self.goes_on else -2], np.where(self.new[1:], -2, place[:-1])])
+        return [with_row, pool.take(pa.array(shifted + 1, mask=shifted == -2))]
+
+    def peaks(self, name: str, values: pa.Array) -> list[pa.Array]:
+        """Largest value so far and the row of the run, from 1, that first had it."""
+        known = values.is_valid().to_numpy(zero_copy_only=False)
+        v = np.where(known, values.fill_null(0.0).to_numpy(zero_copy_only=False), -np.inf)
+        held = self.before.ends[name] if self.before is not None else (None, None)
+        if held[0] is not None:
+            v, known = np.append(held[0], v), np.append(True, known)
+            run = np.append(self.run[0], self.run)
+        else:
+            run = self.run
+        skip = len(v) - self.n
+        groups = pd.Series(v).groupby(run)
+        top = groups.cummax().to_numpy()
+        count = pd.Series(known).groupby(run).cumsum().to_numpy()
+        fresh = np.ones(len(v), bool)
+        fresh[1:] = run[1:] != run[:-1]
+        rises = known & ((count == 1) | ~fresh & (v > np.append(-np.inf, top[:-1])))
+        spot = np.maximum.accumulate(np.where(rises, np.arange(len(v)), -1))[skip:]
+        has = (count > 0)[skip:]
+        place = np.where(has, spot, 0)
+        row = np.append([held[1] or 0] * skip, self.count)[place]
+        top = top[skip:]
+        self.ends[name] = (float(top[-1]), int(row[-1])) if has[-1] else (None, None)
+        return [pa.array(top, mask=~has), pa.array(row.astype(np.int64), mask=~has)]
+
+
+def _scanned(laid: DataFrame, width: int, kinds: dict[str, str], inclusive: bool) -> DataFrame:
+    """The rows with their task, whether they end a stretch of one group, and running values within the task."""
+    types = {f.name: f.dataType for f in laid.schema.fields}
+    made = []
+    for name, kind in kinds.items():
+        of = types[f"_v_{name}"]
+        made.append(StructField(f"_l_{name}", (LongType() if isinstance(of, IntegralType) else DoubleType()) if kind == "sum" else of))
+        if kind == "peak":
+            made.append(StructField(f"_r_{name}", LongType()))
+        elif kind == "last" and not inclusive:
+            made.append(StructField(f"_x_{name}", of))
+    marks = [StructField("_g_task", IntegerType()), StructField("_g_ends", BooleanType()), StructField("_g_count", LongType())]
+    schema = StructType([*laid.schema.fields[:width], *[StructField(k, LongType()) for k in _KEYS], *made, *marks])
+
+    def work(batches):
+        task, before, waiting = TaskContext.get().partitionId(), None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = _Stretch(batch, before)
+            if waiting is not None:
+                yield _flagged(waiting, np.array([now.new[0]]), schema.names)
+            cols = []
+            for name, kind in kinds.items():
+                values = batch.column(batch.schema.get_field_index(f"_v_{name}"))
+                if kind == "sum":
+                    cols.append(now.sums(name, values))
+                elif kind == "last":
+                    cols += now.lasts(name, values, inclusive)
+                else:
+                    cols += now.peaks(name, values)
+            whole = [*batch.columns[: width + len(_KEYS)], *cols, pa.array(np.full(now.n, task, np.int32)), pa.array(now.count)]
+            if now.n > 1:
+                yield _flagged([c.slice(0, now.n - 1) for c in whole], now.new[1:], schema.names)
+            # whether the last row ends its stretch shows with the next batch
+            waiting, before = [c.slice(now.n - 1, 1) for c in whole], now
+            now.before = None
+        if waiting is not None:
+            yield _flagged(waiting, np.array([True]), schema.names)
+
+    return laid.mapInArrow(work, schema)
+
+
+def _flagged(columns: list[pa.Array], ends: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*columns[:-1], pa.array(ends), columns[-1]], names=names)
 
 
 def running(
     df: DataFrame,
     by: list[str],
-    blocks: list[Column],
     order: list[str],
     aggs: dict[str, tuple[str, Column]],
     descending: bool = False,
     inclusive: bool = True,
     totals: bool = False,
-    text: bool = False,
 ) -> DataFrame:
-    """Add running aggregates along an order inside each group.
+    """Add running aggregates along an order inside each group, for any size of a group.
 
-    ``aggs`` maps an output name to (kind, column) with kind ``sum``, ``max`` or
-    ``last`` (last non-null value). ``blocks`` run from coarse to fine and must
-    be monotone in ``order``; ``text`` says that they are strings. ``totals`` adds
-    ``<name>_total`` for the sums.
+    ``aggs`` maps an output name to (kind, column) with kind ``sum``, ``last`` (last non-null value) or ``peak`` (largest
+    value so far; ``<name>_row`` is the row of the group, from 1, that first had it). ``inclusive`` tells whether a row
+    counts in its own last value; sums and peaks count it always. ``totals`` adds ``<name>_total`` for the sums. Nulls of the
+    order come first, last if ``descending``; rows of equal order are in any order. Column names that begin with ``_g``,
+    ``_l_``, ``_v_``, ``_x_``, ``_r_`` or ``_c_`` are taken.
     """
-    names = [f"_b{i}" for i in range(len(blocks))]
-    values = {out: f"_v_{out}" for out in aggs}
-    base = df.select(
-        "*",
-        group_key(by).alias(GROUP),
-        # never null, so that no join adds a null filter below and every branch reads one shuffle
-        *[F.coalesce(b, F.lit("" if text else -1)).alias(n) for b, n in zip(blocks, names)],
-        *[col.alias(values[out]) for out, (_, col) in aggs.items()],
-    )
-
-    def arrange(cols: list[str]) -> list[Column]:
-        return [F.col(c).desc() if descending else F.col(c).asc() for c in cols]
-
-    def rollup(source: DataFrame, keys: list[str], nearest: list[str]) -> DataFrame:
-        parts = []
-        for out, (kind, _) in aggs.items():
-            value = F.col(values[out])
-            if kind == "last":
-                position = F.when(value.isNotNull(), F.struct(*nearest))
-                pick = F.min_by(value, position) if descending else F.max_by(value, position)
-                parts.append(pick.alias(values[out]))
-            else:
-                parts.append((F.sum(value) if kind == "sum" else F.max(value)).alias(values[out]))
-        return source.groupBy(*keys).agg(*parts)
-
-    levels: list[DataFrame] = []
-    source, nearest = base, order
-    for depth in range(len(names), 0, -1):
-        source = rollup(source, [GROUP] + names[:depth], nearest)
-        nearest = [names[depth - 1]]
-        levels.insert(0, source)
-
-    carried: DataFrame | None = None
-    total_names = [f"{out}_total" for out, (k, _) in aggs.items() if k == "sum"] if totals else []
-    for depth, level in enumerate(levels):
-        keys = [GROUP] + names[:depth]
-        if carried is not None:
-            level = level.join(carried, keys)
-        window = (
-            Window.partitionBy(*keys)
-            .orderBy(*arrange([names[depth]]))
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        whole = Window.partitionBy(*keys)
-        outs = []
-        for out, (kind, _) in aggs.items():
-            local = _over(kind, F.col(values[out]), window)
-            before = F.col(f"_c_{out}") if carried is not None else F.lit(None)
-            outs.append(_fold(kind, before, local).alias(f"_c_{out}"))
-            if totals and kind == "sum":
-                seen = (
-                    F.col(f"{out}_total")
-                    if carried is not None
-                    else F.sum(F.col(values[out])).over(whole)
-                )
-                outs.append(seen.alias(f"{out}_total"))
-        carried = level.select(*keys, names[depth], *outs)
-
-    keys = [GROUP] + names
-    edge = Window.currentRow if inclusive else -1
-    window = (
-        Window.partitionBy(*keys).orderBy(*arrange(order)).rowsBetween(Window.unboundedPreceding, edge)
-    )
-    joined = base.join(carried, keys)
-    outs = [
-        _fold(kind, F.col(f"_c_{out}"), _over(kind, F.col(values[out]), window)).alias(out)
-        for out, (kind, _) in aggs.items()
-    ]
-    return joined.select(*df.columns, *outs, *total_names)
+    width, kinds = len(df.columns), {name: kind for name, (kind, _) in aggs.items()}
+    values = [col.cast("double").alias(f"_v_{n}") if kind == "peak" else col.alias(f"_v_{n}") for n, (kind, col) in aggs.items()]
+    base = df.select("*", *_group_hashes(by), *values)
+    along = [*[F.col(k) for k in _KEYS], *[F.col(c).desc() if descending else F.col(c).asc() for c in order]]
+    # written once: ranges are sampled, and both branches below must see the same ones
+    scanned = stored(_scanned(base.repartitionByRange(*along).sortWithinPartitions(*along), width, kinds, inclusive), "running")
+
+    ends = scanned.where("_g_ends")
+    group = Window.partitionBy(*_KEYS)
+    earlier = group.orderBy("_g_task").rowsBetween(Window.unboundedPreceding, -1)
+    rows_before = F.coalesce(F.sum("_g_count").over(earlier), F.lit(0))
+    counted = ends.select("_g_task", *_KEYS, rows_before.alias("_c_rows"), *[c for c in ends.columns if c[:3] in ("_l_", "_r_")])
+    carried = []
+    for name, kind in kinds.items():
+        if kind == "sum":
+            carried.append(F.sum(f"_l_{name}").over(earlier).alias(f"_c_{name}"))
+            if totals:
+                carried.append(F.sum(f"_l_{name}").over(group).alias(f"_c_total_{name}"))
+        elif kind == "last":
+            carried.append(F.last(f"_l_{name}", ignorenulls=True).over(earlier).alias(f"_c_{name}"))
+        else:
+            first = F.struct(F.col(f"_l_{name}").alias("value"), (-(F.col("_c_rows") + F.col(f"_r_{name}"))).alias("row"))
+            carried.append(F.max(F.when(F.col(f"_l_{name}").isNotNull(), first)).over(earlier).alias(f"_c_{name}"))
+    keys = ["_g_task", *_KEYS]
+    carry = counted.select(*keys, "_c_rows", *carried)
+    # at most one row for each task and crossing group; all groups only where totals are asked for
+    joined = scanned.join(F.broadcast(carry.where("_c_rows > 0")) if not totals else carry if by else F.broadcast(carry), keys, "left")
 
-
-def dense_index(
-    df: DataFrame, order: str, kind: str, by: list[str] | None = None, name: str = "idx"
-) -> DataFrame:
+    outs = []
+    for name, kind in kinds.items():
+        local, before = F.col(f"_l_{name}"), F.col(f"_c_{name}")
+        if kind == "sum":
+            outs.append((local + F.coalesce(before, F.lit(0))).alias(name))
+            if totals:
+                outs.append(F.col(f"_c_total_{name}").alias(f"{name}_total"))
+        elif kind == "last":
+            outs.append(F.coalesce(local if inclusive else F.col(f"_x_{name}"), before).alias(name))
+        else:
+            row = F.coalesce(F.col("_c_rows"), F.lit(0)) + F.col(f"_r_{name}")
+            keeps = local.isNull() | (before["value"] >= local)
+            outs += [
+                F.when(before.isNotNull() & keeps, before["value"]).otherwise(local).alias(name),
+                F.when(before.isNotNull() & keeps, -before["row"]).otherwise(row).alias(f"{name}_row"),
+            ]
+    return joined.select(*df.columns, *outs)
+
+
+def dense_index(df: DataFrame, order: str, by: list[str] | None = None, name: str = "idx") -> DataFrame:
     """Zero-based position along a unique order column, plus the row count ``n_total``."""
-    counted = running(
-        df, by or [], BLOCKS[kind](F.col(order)), [order], {"_seen": ("sum", F.lit(1).cast("bigint"))}, totals=True,
-        text=kind == "hex",
-    )
-    return counted.select(
-        *df.columns, (F.col("_seen") - 1).alias(name), F.col("_seen_total").alias("n_total")
-    )
+    one = {"_seen": ("sum", F.lit(1).cast("bigint"))}
+    counted = running(df, by or [], [order], one, totals=True)
+    return counted.select(*df.columns, (F.col("_seen") - 1).alias(name), F.col("_seen_total").alias("n_total"))
 
 
 def describe(df: DataFrame, col: str, by: list[str], probs: dict[str, float]) -> DataFrame:
@@ -177,13 +227,9 @@ def describe(df: DataFrame, col: str, by: list[str], probs: dict[str, float]) ->
     Rows are first merged per distinct value, so neither the group size nor a
     hot value decides how much one task holds, and the input is read once.
     """
-    kind = "long" if isinstance(df.schema[col].dataType, IntegralType) else "score"
     hist = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_n"))
     v = F.col(col).cast("double")
-    ranked = running(
-        hist, by, BLOCKS[kind](F.col(col)), [col],
-        {"_cum": ("sum", F.col("_n")), "_sum": ("sum", v * F.col("_n"))}, totals=True,
-    )
+    ranked = running(hist, by, [col], {"_cum": ("sum", F.col("_n")), "_sum": ("sum", v * F.col("_n"))}, totals=True)
     n = F.col("_cum_total")
     mean = F.col("_sum_total") / n
     picks = []
@@ -213,15 +259,7 @@ def quantiles(df: DataFrame, col: str, by: list[str], probs: dict[str, float]) -
     return describe(df, col, by, probs).select(*by, *probs)
 
 
-def take_per_group(df: DataFrame, by: list[str], digest: str, size: str, quota: str, rows: int = 20_000) -> DataFrame:
-    """Rows whose position in their group, along an evenly spread hex digest, is within the row's quota.
-
-    ``size`` names a column with the group's row count: a group is cut into as
-    many blocks as it needs to hold about ``rows`` rows each, a small one into none.
-    """
-    share = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
-    block = F.floor(share * F.ceil(F.col(size) / float(rows))).cast("bigint")
-    ranked = running(
-        df, by, [F.shiftright(block, 12), block], [digest], {"_seen": ("sum", F.lit(1).cast("bigint"))}
-    )
+def take_per_group(df: DataFrame, by: list[str], digest: str, quota: str) -> DataFrame:
+    """Rows whose position in their group, along a digest, is within the row's quota."""
+    ranked = running(df, by, [digest], {"_seen": ("sum", F.lit(1).cast("bigint"))})
     return ranked.where(F.col("_seen") <= F.col(quota)).drop("_seen")

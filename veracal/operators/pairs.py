@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vectors as V
-from ..functions.keys import row_seed
+from ..functions.keys import other_position, row_draw, row_seed
 from .ordered import dense_index
 
 
-def random_partner(df: DataFrame, key: str, cols: list[str], kind: str = "long", seed: int = 42,
+def random_partner(df: DataFrame, key: str, cols: list[str], seed: int = 42,
                    salt: str = "partner") -> DataFrame:
     """Each row with another row of the table, chosen by its seed; a lone row pairs with itself.
 
     Partners are met by an equi-join on a dense position, which spreads evenly.
     """
-    placed = dense_index(df, key, kind)
+    placed = dense_index(df, key)
     n, own = F.col("n_total"), F.col("idx")
-    draw = F.pmod(row_seed(F.col(key).cast("string"), seed, salt), F.when(n > 1, n - 1).otherwise(F.lit(1)))
-    other = F.when(n > 1, draw + (draw >= own).cast("bigint")).otherwise(F.lit(0))
+    other = other_position(row_draw(F.col(key).cast("string"), seed, salt), own, n)
     anchors = placed.withColumn("_pick", other).drop("idx", "n_total")
     pool = placed.select(
         F.col("idx").alias("_pick"), F.col(key).alias(f"other_{key}"), *[F.col(c).alias(f"other_{c}") for c in cols]
@@ -26,15 +25,15 @@ def random_partner(df: DataFrame, key: str, cols: list[str], kind: str = "long",
     return anchors.join(pool, "_pick").drop("_pick")
 
 
-def contrast_pairs(df: DataFrame, key: str, label: str, cols: list[str], kind: str = "long", seed: int = 42) -> DataFrame:
+def contrast_pairs(df: DataFrame, key: str, label: str, cols: list[str], seed: int = 42) -> DataFrame:
     """Anchor and random other; ``pair_label`` is 1 when the labels differ."""
-    pairs = random_partner(df, key, [label] + cols, kind, seed, "pair")
+    pairs = random_partner(df, key, [label] + cols, seed, "pair")
     return pairs.withColumn("pair_label", (F.col(label) != F.col(f"other_{label}")).cast("int"))
 
 
-def assign_batches(df: DataFrame, key: str, size: int, kind: str = "long") -> DataFrame:
+def assign_batches(df: DataFrame, key: str, size: int) -> DataFrame:
     """Batches of ``size`` consecutive rows along the key."""
-    return dense_index(df, key, kind).withColumn("batch", F.expr(f"idx div {size}")).drop("n_total")
+    return dense_index(df, key).withColumn("batch", F.expr(f"idx div {size}")).drop("n_total")
 
 
 def _members(batched: DataFrame, key: str, label: str, vec: str) -> DataFrame:
@@ -45,9 +44,9 @@ def _members(batched: DataFrame, key: str, label: str, vec: str) -> DataFrame:
     return batched.groupBy("batch").agg(F.sort_array(F.collect_list(member)).alias("m"))
 
 
-def batch_similarity(df: DataFrame, key: str, label: str, vec: str, size: int = 32, kind: str = "long") -> DataFrame:
+def batch_similarity(df: DataFrame, key: str, label: str, vec: str, size: int = 32) -> DataFrame:
     """Per anchor: how many same- and other-class rows its batch has and how similar they are."""
-    packed = _members(assign_batches(df, key, size, kind), key, label, vec)
+    packed = _members(assign_batches(df, key, size), key, label, vec)
 
     def describe(a: Column) -> Column:
         same = F.filter("m", lambda b: (b["y"] == a["y"]) & (b["idx"] != a["idx"]))
@@ -68,12 +67,12 @@ def batch_similarity(df: DataFrame, key: str, label: str, vec: str, size: int =
 
 
 def supcon_loss(df: DataFrame, key: str, label: str, vec: str, size: int = 32, temperature: float = 0.1,
-                kind: str = "long", seed: int = 42) -> DataFrame:
+                seed: int = 42) -> DataFrame:
     """Contrastive loss per batch: one seeded positive against all negatives of the batch.
 
     Anchors without a positive or a negative are skipped.
     """
-    packed = _members(assign_batches(df, key, size, kind), key, label, vec)
+    packed = _members(assign_batches(df, key, size), key, label, vec)
 
     def anchor_loss(a: Column) -> Column:
         same = F.filter("m", lambda b: (b["y"] == a["y"]) & (b["idx"] != a["idx"]))

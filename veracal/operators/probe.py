@@ -187,24 +187,21 @@ def replay_early_stop(hist: DataFrame, patience: int = 20, trial: str = "trial",
     training ends at the first evaluation with ``patience`` misses in a row. A
     trial without any usable score has null results.
     """
-    by, point = [trial], point or []
-    block = [F.shiftright(F.col(epoch).cast("bigint"), 16)]
+    point = point or []
     given = hist.select(trial, epoch, F.when(~F.isnan(score), F.col(score)).alias(score), *point)
-    seen = running(given, by, block, [epoch], {"_best": ("max", F.col(score))}, inclusive=False)
-    better = F.col(score).isNotNull() & (F.col("_best").isNull() | (F.col(score) > F.col("_best")))
-    marked = running(seen.withColumn("_up", better), by, block, [epoch], {"_n": ("sum", F.lit(1).cast("bigint"))})
-    aged = running(marked, by, block, [epoch], {"_last_up": ("max", F.when(F.col("_up"), F.col("_n")))})
-    misses = F.col("_n") - F.coalesce("_last_up", F.lit(0))
-    stop = aged.groupBy(trial).agg(
-        F.min(F.when(misses >= patience, F.col(epoch))).alias("stop_epoch"), F.max(epoch).alias("_final")
+    seen = running(given, [trial], [epoch], {"_n": ("sum", F.lit(1).cast("bigint")), "_best": ("peak", F.col(score))})
+    misses = F.col("_n") - F.coalesce("_best_row", F.lit(0))
+    # the row at which training ends knows which row was the best until then
+    here = F.struct(epoch, F.col("_best_row").alias("row"))
+    ended = seen.groupBy(trial).agg(
+        F.min_by(here, F.when(misses >= patience, F.col(epoch))).alias("_stop"), F.max_by(here, F.col(epoch)).alias("_final")
+    ).select(
+        F.col(trial).alias("_trial"), F.coalesce("_stop", "_final").alias("_end"), F.col("_stop").isNotNull().alias("stopped_early")
     )
-    kept = aged.join(stop, trial).where(F.col(epoch) <= F.coalesce("stop_epoch", "_final"))
-    return kept.groupBy(trial).agg(
-        F.max_by(F.struct(epoch, score, *point), F.when(F.col("_up"), F.col("_n"))).alias("_b"),
-        F.max(F.coalesce("stop_epoch", "_final")).alias("last_epoch"),
-        F.max(F.col("stop_epoch").isNotNull()).alias("stopped_early"),
-    ).select(trial, F.col(f"_b.{epoch}").alias("best_epoch"), F.col(f"_b.{score}").alias("best_score"),
-             "last_epoch", "stopped_early", *[f"_b.{c}" for c in point])
+    rises = seen.where(F.col("_n") == F.col("_best_row"))
+    best = ended.join(rises, F.col("_trial").eqNullSafe(F.col(trial)) & (F.col("_end.row") == F.col("_n")), "left")
+    return best.select(F.col("_trial").alias(trial), F.col(epoch).alias("best_epoch"), F.col(score).alias("best_score"),
+                       F.col(f"_end.{epoch}").alias("last_epoch"), "stopped_early", *point)
 
 
 def drop_infeasible(hist: DataFrame, min_sens: float = 0.6, min_spec: float = 0.6, trial: str = "trial",

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.binning import linear_bin
 from ..functions.keys import has_text
 from ..functions.vectors import is_nonfinite
-from .ordered import describe, long_blocks, quantiles, running
+from .ordered import describe, quantiles, running
 
 
 def blank_counts(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -175,13 +175,12 @@ def runs(df: DataFrame, col: str, index: str) -> DataFrame:
     Null values never start or break a run. A run reaches to the row before the
     next run, or to the last row.
     """
-    blocks = long_blocks(F.col(index))
-    seen = running(df.select(index, col), [], blocks, [index], {"_prev": ("last", F.col(col))}, inclusive=False)
+    seen = running(df.select(index, col), [], [index], {"_prev": ("last", F.col(col))}, inclusive=False)
     starts = seen.where(
         F.col(col).isNotNull() & (F.col("_prev").isNull() | (F.col(col) != F.col("_prev")))
     ).select(F.col(col).alias("value"), F.col(index).alias("start"))
     following = running(
-        starts, [], long_blocks(F.col("start")), ["start"], {"_next": ("last", F.col("start"))},
+        starts, [], ["start"], {"_next": ("last", F.col("start"))},
         descending=True, inclusive=False,
     )
     final = df.agg(F.max(index).alias("m")).scalar()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from .metrics import METRICS, all_metrics
-from .ordered import running, score_blocks
+from .ordered import running
 
 # Row order of the report tables and the metrics where less is better.
 VARIANT_ORDER = ["full", "no_brier", "no_rank", "bce_only"]
@@ -116,7 +116,7 @@ def signed_rank(long: DataFrame, by: list[str], variant: str, base: str, pair: s
         F.count("*").alias("t_all"),
     )
     moved = F.col("up") + F.col("down")
-    ranked = running(hist, keys, score_blocks(F.col("a")), ["a"], {"cum": ("sum", moved)})
+    ranked = running(hist, keys, ["a"], {"cum": ("sum", moved)})
     avg_rank = F.col("cum") - (moved - 1) / 2.0
     t = moved.cast("double")
     stats = ranked.groupBy(*keys).agg(

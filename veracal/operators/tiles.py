@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..session import scratch_path
+from ..session import stored
 
 # Bytes of one block, and of what a fold holds for one group of vectors.
 TILE_BYTES = 1 << 20
@@ -73,9 +73,7 @@ def row_blocks(W: DataFrame, row: str = "row", vec: str = "w", tile_rows: int |
 
     Rows that the table lacks are zero; of repeated rows one counts.
     """
-    spark, path = W.sparkSession, scratch_path(W.sparkSession, "matrix-rows")
-    W.where(F.col(row) >= 0).select(F.col(row).cast("bigint").alias("row"), F.col(vec).cast("array<double>").alias("w")).write.parquet(path)
-    rows = spark.read.schema("row bigint, w array<double>").parquet(path)
+    rows = stored(W.where(F.col(row) >= 0).select(F.col(row).cast("bigint").alias("row"), F.col(vec).cast("array<double>").alias("w")), "matrix-rows")
     shape = rows.agg(F.max("row").alias("last"), F.max(F.size("w")).alias("dim")).first()
     if shape["last"] is None:
         raise ValueError("the matrix has no rows")
@@ -85,7 +83,7 @@ def row_blocks(W: DataFrame, row: str = "row", vec: str = "w", tile_rows: int |
     held = rows.groupBy("row").agg(F.max("w").alias("w")).groupBy(at.alias("at")).agg(
         F.sort_array(F.collect_list(F.struct((F.col("row") - at).cast("int").alias("offset"), "w"))).alias("rows")
     )
-    every = spark.range(0, n, step).withColumnRenamed("id", "at").join(held, "at", "left")
+    every = W.sparkSession.range(0, n, step).withColumnRenamed("id", "at").join(held, "at", "left")
     empty = F.array()
     blocks = every.select(
         "at", F.coalesce("rows.offset", empty.cast("array<int>")).alias("offsets"),
