@@ -128,3 +128,28 @@ def test_early_stop_counts_evaluations_and_skips_nan(spark):
     df = spark.createDataFrame(rows, "trial string, epoch long, score double, tau double")
     got = {r["trial"]: tuple(r)[1:] for r in p.replay_early_stop(df, patience=2, point=["tau"]).collect()}
     assert got == {"a": (10, 0.9, 10, False, 3.0), "b": (1, 0.2, 3, True, 2.0), "c": (None, None, 0, False, None)}
+
+
+def test_stream_state_is_its_own(spark, tmp_path):
+    """Null keys count once, the first of a batch is by order, and earlier results are not read again."""
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    schema = "a string, b int, y int, c double"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(src)
+        score_stream(spark, src, spark.createDataFrame([], schema).schema, out, ck, ["a", "b"], ["y"]).awaitTermination()
+
+    arrive([("x", 1, 1, 0.9), ("x", 1, 1, 0.4), (None, 1, 0, 0.3), ("x", None, 1, 0.7), (None, None, 1, 0.2), (None, 1, 0, 0.3), ("z", 1, None, 0.5)])
+    first = {(r["a"], r["b"]): r["c"] for r in spark.read.parquet(f"{out}/scored").collect()}
+    assert first == {("x", 1): 0.4, (None, 1): 0.3, ("x", None): 0.7, (None, None): 0.2}
+    # what the first batch left is unreadable now; the state is not
+    for path in (tmp_path / "out").rglob("*.parquet"):
+        path.write_bytes(b"no parquet")
+        for crc in path.parent.glob(".*.crc"):
+            crc.unlink()
+    arrive([("x", 1, 1, 0.1), (None, 1, 0, 0.1), (None, None, 0, 0.1), ("z", 1, 0, 0.6), ("w", 2, 1, 0.8), ("w", 2, 0, 0.8)])
+    batches = sorted(p.name for p in (tmp_path / "out" / "scored").iterdir())
+    later = [tuple(r) for r in spark.read.parquet(f"{out}/scored/{batches[-1]}").collect()]
+    assert len(batches) == 2 and sorted(later) == [("w", 2, 0, 0.8), ("z", 1, 0, 0.6)]
+    with pytest.raises(Exception):
+        current_metrics(spark, out, ["y"]).collect()
