@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..operators import probe as p
+from ..operators import probe as p, search as sr
 from ..operators.metrics import all_metrics
-from .registry import cte, query, rd, rounded
+from .registry import cte, metrics_sql, query, rd, rounded
 
 WEIGHTS = [((i * 5) % 11 - 5) / 4.0 for i in range(64)]
 LOGIT = "list_sum(list_transform({v}, lambda x, i: x * (((i - 1) * 5) % 11 - 5) / 4.0)) + 0.1"
@@ -50,7 +50,39 @@ def l04(spark, d):
     return rounded(p.loss_variants(fx.views(spark, d), WEIGHTS, 0.1, beta=0.7, lam=0.3))
 
 
-@query("l05_linear_probe_fit")
+def _descent(configs: list[sr.Config], steps: int, rows: str) -> dict[str, str]:
+    """Named queries of the same gradient descent: W0 .. Wn hold the weights of every configuration, L0 .. Ln their losses."""
+    values = ", ".join(f"('{c.name}', {c.lr}::double, {c.beta}::double, {c.lam}::double, {c.margin}::double)" for c in configs)
+    out = {
+        "R": rows,
+        "K": f"select * from (values {values}) k(config, lr, beta, lam, margin)",
+        "S": "select count(*) as n, sum(1 - y) / cast(sum(y) as double) as pw, sum(y * mask) + 1e-8 as active from R",
+        "W0": "select *, list_transform(range(64), lambda i: 0.0::double) as w, 0.0::double as b from K",
+    }
+    for t in range(steps + 1):
+        out[f"Z{t}"] = f"select k.*, y, mask, h_base as x, h_blank as xk, list_inner_product(w, h_base) + b as z, 1 / (1 + exp(-(list_inner_product(w, h_base) + b))) as p, 1 / (1 + exp(-(list_inner_product(w, h_blank) + b))) as q from W{t} k cross join R"
+        out[f"L{t}"] = f"""select config, {t} as step, avg(pw * y * ln(1 + exp(-z)) + (1 - y) * ln(1 + exp(z))) + any_value(beta) * avg((p - y) * (p - y))
+  + any_value(lam) * sum(greatest(0.0, margin - (p - q)) * y * mask) / any_value(active) as loss from Z{t}, S group by config"""
+        if t == steps:
+            break
+        out[f"D{t}"] = f"""select config, x, xk, ((1 - y) * p - pw * y * (1 - p)) / n + beta * 2 * (p - y) * p * (1 - p) / n - lam * active_on * p * (1 - p) as dz, lam * active_on * q * (1 - q) as dq
+from (select *, case when margin - (p - q) > 0 then y * mask / active else 0.0 end as active_on from Z{t}, S)"""
+        out[f"G{t}"] = f"""select config, list(g order by i) as g, any_value(gb) as gb from (
+  select config, i, sum(dz * x[i] + dq * xk[i]) as g, sum(dz + dq) as gb from D{t}, (select unnest(range(1, 65)) as i) group by config, i) group by config"""
+        out[f"W{t + 1}"] = f"""select config, lr, beta, lam, margin, list_transform(w, lambda x, i: x - lr * g[i] * clip) as w, b - lr * gb * clip as b
+from (select *, least(1.0, 1.0 / (sqrt(list_inner_product(g, g) + gb * gb) + 1e-6)) as clip from W{t} join G{t} using (config))"""
+    return out
+
+
+def _fixed(body: str, **tables: str) -> str:
+    """Every named query is worked out once."""
+    return "with " + ",\n".join(f"{name} as materialized ({sql})" for name, sql in tables.items()) + f"\n{body}"
+
+
+@query(
+    "l05_linear_probe_fit",
+    _fixed(" union all ".join(f"select cast(step as int) as step, {rd('loss')} as loss from L{t}" for t in range(9)), V=fx.VIEWS_SQL, **_descent([sr.Config("only")], 8, "select * from V")),
+)
 def l05(spark, d):
     w, b, history = p.fit_linear(fx.views(spark, d), "full", steps=8)
     rows = [(i, float(x)) for i, x in enumerate(history)]
@@ -103,6 +135,29 @@ def l08(spark, d):
     return counted.join(per, "layers").select("layers", "margin", "beta", "n_params", "n")
 
 
+GRID = [
+    sr.Config(f"lr{lr}-beta{beta}-margin{margin}", lr=lr, beta=beta, lam=0.3, margin=margin)
+    for lr in (0.25, 2.0) for beta in (0.2, 1.0) for margin in (0.05, 0.25)
+]
+
+
+@query(
+    "l08_configuration_search",
+    _fixed(
+        f"""select config, cast(65 as bigint) as n_params, {rd('loss', 6)} as loss, {rd('auroc', 6)} as score, config = (select min(config) from met where round(auroc, 9) = (select max(round(auroc, 9)) from met)) as chosen
+from met join L3 using (config)""",
+        V=fx.VIEWS_SQL, **_descent(GRID, 4, "select * from V where sample_id % 4 <> 0"),
+        P="select config, y, 1 / (1 + exp(-(list_inner_product(w, h_base) + b))) as c from W4 cross join V where sample_id % 4 = 0",
+        **metrics_sql(["config"]),
+    ),
+)
+def l08_search(spark, d):
+    views = fx.views(spark, d)
+    held = F.col("sample_id") % 4 == 0
+    found, _ = sr.search(views.where(~held), views.where(held), GRID, "sample_id", steps=4)
+    return rounded(found, 6)
+
+
 # stop: first epoch with 20 misses since the last strict improvement; best: first epoch of the maximum up to there
 _REPLAY = {
     "H": fx.HISTORY_SQL,
