@@ -87,6 +87,47 @@ def test_image_folder(spark, tmp_path):
     assert [(x["width"], x["height"], x["ok"]) for x in blob] == [(7, 3, True), (None, None, False)]
 
 
+def headers():
+    """Files of known size (width 300, height 70), each with the format's own header."""
+    frame = b"\xff\xc2\x00\x11\x08" + struct.pack(">HH", 70, 300) + bytes(10)
+    comment = b"\xff\xfe" + struct.pack(">H", 60002) + b"x" * 60000
+    vp8l = (299 | 69 << 14).to_bytes(4, "little")
+    return {
+        "png": png(300, 70), "gif": b"GIF89a" + struct.pack("<HH", 300, 70) + bytes(3), "bmp": b"BM" + bytes(16) + struct.pack("<ii", 300, -70),
+        "jpeg": b"\xff\xd8\xff\xe0\x00\x04ab" + frame, "filled": b"\xff\xd8\xff\xff\xff\x01" + frame, "late": b"\xff\xd8" + comment * 3 + frame,
+        "vp8x": b"RIFF\0\0\0\0WEBPVP8X" + bytes(8) + (299).to_bytes(3, "little") + (69).to_bytes(3, "little"),
+        "vp8": b"RIFF\0\0\0\0WEBPVP8 " + bytes(7) + b"\x9d\x01\x2a" + struct.pack("<HH", 300 | 1 << 14, 70),
+        "vp8l": b"RIFF\0\0\0\0WEBPVP8L" + bytes(4) + b"\x2f" + vp8l + bytes(5),
+    }
+
+
+def test_sizes_of_all_formats(spark):
+    good = headers()
+    bad = {"scan": b"\xff\xd8\xff\xda\x00\x04ab", "cut": good["late"][:-12], "text": b"plain", "empty": b"", "none": None, "zero": b"GIF87a" + bytes(7), "short": good["png"][:20], "junk": b"\xff\xd8\x00\x11\x22\x33"}
+    rows = [(k, None if v is None else bytearray(v), 1) for k, v in {**good, **bad}.items()]
+    df = spark.createDataFrame(rows, "k string, i binary, width int").repartition(3)
+    got = {x["k"]: (x["width"], x["height"], x["ok"]) for x in r.blob_dims(df, "i").collect()}
+    assert got == {**{k: (300, 70, True) for k in good}, **{k: (None, None, False) for k in bad}}
+
+
+def test_tsv_is_split_where_no_record_spans_lines(spark, tmp_path):
+    assert [r.line_ends_open(x) for x in ('a\tb', '"a\tb', '"a"\t"b', '"a ""q"""\tx', 'a"b\t""', '"a\tb"', '"""', 'x\t"', "")] == [False, True, True, False, False, False, True, True, False]
+    body = "".join(f'{i}\t"say ""{i}"" now"\tmid"dle\t{"A" * 400}\n' for i in range(3000))
+    dump(tmp_path / "t.tsv", "id\tquoted\tplain\tblob\n" + body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        df = r.read_tsv(spark, str(tmp_path / "t.tsv"))
+        assert df.rdd.getNumPartitions() > 3
+        rows = df.collect()
+        assert r.read_tsv(spark, str(tmp_path / "t.tsv"), multiline=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(rows) == 3000 and {(x["quoted"], x["plain"]) for x in rows} == {(f'say "{i}" now', 'mid"dle') for i in range(3000)}
+
+
 def test_tsv_and_jsonl(spark, tmp_path):
     blob = base64.b64encode(bytes(range(200))).decode()
     dump(tmp_path / "t.tsv", f'question\timage\n"two\nlines"\t{blob}\n')
@@ -129,7 +170,15 @@ def test_contract_file(spark, tmp_path):
 
 def test_split_and_feature_sinks(spark, tmp_path):
     df = spark.range(100).select(F.col("id").alias("k"), F.col("id").alias("x"))
-    assert w.write_split(df, str(tmp_path / "s"), row_bytes=1 << 20, shard_bytes=10 << 20) == 100
-    assert len(list((tmp_path / "s").glob("*.parquet"))) >= 10
+    # blobs of 1 kB to 2 MB that do not compress, a null, and a nested column
+    rng = np.random.default_rng(1)
+    sizes = [1000] * 60 + [50_000] * 20 + [2_000_000] * 6
+    rows = [(i, bytearray(rng.bytes(n)), [{"a": "x" * 50}]) for i, n in enumerate(rng.permutation(sizes))] + [(900, None, None)]
+    blobs = spark.createDataFrame(rows, "k int, image binary, more array<struct<a:string>>").repartition(4)
+    assert w.write_split(blobs, str(tmp_path / "s"), shard_bytes=5_000_000) == 87
+    files = [p.stat().st_size for p in (tmp_path / "s").glob("*.parquet")]
+    assert max(files) <= 5_000_000 and 3 <= len(files) <= 10
+    assert sorted((x["k"], x["image"]) for x in spark.read.parquet(str(tmp_path / "s")).where("k < 900").collect()) == sorted(x[:2] for x in rows[:-1])
+    assert w.write_split(blobs.where("false"), str(tmp_path / "e")) == 0 and spark.read.parquet(str(tmp_path / "e")).columns == blobs.columns
     w.save_features(df, str(tmp_path / "f"), ["k"], ["x"])
     assert spark.read.csv(str(tmp_path / "f/features.csv"), header=True).columns == ["k", "x"]

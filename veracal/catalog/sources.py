@@ -94,17 +94,30 @@ def s06(spark, d):
 @query("s07_split_save", cte("select split, count(*) as n, count(distinct hash_id) as n_keys from I group by split", I=fx.ITEMS_SQL))
 def s07(spark, d):
     path = scratch_path(spark, "split")
-    wr.write_split(fx.items(spark, d), path, row_bytes=4096)
+    wr.write_split(fx.items(spark, d), path, shard_bytes=1 << 20)
     return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("hash_id").alias("n_keys"))
 
 
-@query("s08_image_headers", cte("select sample_id, case when sample_id % 5 <> 0 then cast(width as int) end as width, case when sample_id % 5 <> 0 then cast(height as int) end as height, sample_id % 5 <> 0 as ok from Z", Z=fx.SIZES_SQL))
+# every fifth row a PNG, GIF, WebP, JPEG, JPEG behind a long comment; every eleventh row is cut off
+@query("s08_image_headers", cte("select sample_id, case when sample_id % 11 <> 0 then cast(width as int) end as width, case when sample_id % 11 <> 0 then cast(height as int) end as height, sample_id % 11 <> 0 as ok from Z", Z=fx.SIZES_SQL))
 def s08(spark, d):
-    def word(c):
-        return F.lpad(F.hex(c), 8, "0")
-
-    header = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), word(F.col("width")), word(F.col("height")), F.lit("0802000000"))
-    content = F.unhex(F.when(F.col("sample_id") % 5 != 0, header).otherwise(F.lit("FFD8FFE0")))
+    def big(c, digits):
+        return F.lpad(F.hex(c), digits, "0")
+
+    def little(c, digits):
+        return F.array_join(F.reverse(F.regexp_extract_all(big(c, digits), F.lit(".."), F.lit(0))), "")
+
+    w, h, kind = F.col("width"), F.col("height"), F.col("sample_id") % 5
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 8), big(h, 8), F.lit("0802000000"))
+    gif = F.concat(F.lit("474946383961"), little(w, 4), little(h, 4), F.lit("000000"))
+    webp = F.concat(F.lit("524946461E000000574542505650385" + "80A00000000000000"), little(w - 1, 6), little(h - 1, 6))
+    frame = F.concat(F.lit("FFC0001108"), big(h, 4), big(w, 4), F.lit("03011100021100031100"))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000"), frame)
+    # some comments reach past the bytes that are looked at first
+    comment = F.when(F.col("sample_id") % 100 == 4, F.repeat(F.lit("FFFEEA62" + "20" * 60000), 2)).otherwise(F.lit("FFFE000820202020" + "2020"))
+    late = F.concat(F.lit("FFD8"), comment, frame)
+    whole = F.when(kind == 0, png).when(kind == 1, gif).when(kind == 2, webp).when(kind == 3, jpeg).otherwise(late)
+    content = F.unhex(F.when(F.col("sample_id") % 11 != 0, whole).otherwise(F.substring(whole, 1, 12)))
     return rd_.blob_dims(fx.sizes(spark, d).select("sample_id", content.alias("image")), "image").drop("image")
 
 

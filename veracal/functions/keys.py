@@ -166,13 +166,3 @@ def bounded_size(width: Column, height: Column, limit: int = 2048) -> Column:
 def data_url(content: Column) -> Column:
     # base64 breaks lines at 76 characters; the URL form has none
     return F.concat(F.lit("data:image/png;base64,"), F.translate(F.base64(content), "\r\n", ""))
-
-
-def png_size(content: Column) -> Column:
-    """struct(width, height) read from a PNG header, null for other bytes."""
-    is_png = F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A"
-
-    def number(start: int) -> Column:
-        return F.conv(F.hex(F.substring(content, start, 4)), 16, 10).cast("int")
-
-    return F.when(is_png, F.struct(number(17).alias("width"), number(21).alias("height")))

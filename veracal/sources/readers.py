@@ -8,8 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType
 
-from ..functions.keys import png_size
+from ..functions.images import image_size
 from ..functions.vectors import token_vector
 from ..operators.metrics import METRICS
 from ..operators.report import to_long
@@ -144,9 +145,37 @@ def read_npz(spark: SparkSession, path: str, vector: str = "hidden_states", labe
     )
 
 
-def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Header TSV; text columns, base64 blobs included, stay strings."""
-    reader = spark.read.option("header", True).option("sep", "\t").option("multiLine", True).option("escape", '"')
+def line_ends_open(line: str) -> bool:
+    """Whether a tab-separated line, begun outside quotes, ends inside a quoted field.
+
+    A field is quoted if it begins with a quote; two quotes inside it stand for one.
+    """
+    inside = False
+    for part in line.split("\t"):
+        if inside:
+            inside = part.count('"') % 2 == 0
+        elif part.startswith('"'):
+            inside = part.count('"') % 2 == 1
+    return inside
+
+
+@F.pandas_udf(BooleanType())
+def _ends_open(lines: pd.Series) -> pd.Series:
+    return lines.map(line_ends_open, na_action="ignore").astype("boolean")
+
+
+def read_tsv(spark: SparkSession, path: str, schema: str | None = None, multiline: bool | None = None) -> DataFrame:
+    """Header TSV; text columns, base64 blobs included, stay strings.
+
+    Files are split over tasks if no record spans lines. Unless ``multiline``
+    says so, one pass over the lines proves it: if no line ends inside a quoted
+    field, every line is a record. Otherwise a file is read by one task.
+    """
+    if multiline is None:
+        lines = spark.read.text(path)
+        quoted = lines.where(F.contains("value", F.lit('"'))).select(_ends_open("value").alias("open"))
+        multiline = not quoted.where("open").isEmpty()
+    reader = spark.read.option("header", True).option("sep", "\t").option("multiLine", multiline).option("escape", '"')
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
@@ -156,23 +185,16 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 def image_dims(spark: SparkSession, path: str) -> DataFrame:
     """(path, width, height, ok) of an image folder; unreadable files keep a row with ok = false."""
-    files = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path)
-    width, height = F.col("image.width"), F.col("image.height")
-    good = width > 0
-    return files.select(
-        F.col("image.origin").alias("path"),
-        F.when(good, width).alias("width"),
-        F.when(good, height).alias("height"),
-        good.alias("ok"),
-    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return blob_dims(files.select("path", "content"), "content").drop("content")
 
 
 def blob_dims(df: DataFrame, content: str) -> DataFrame:
-    """The same from a PNG column, reading the header bytes only."""
-    size = png_size(F.col(content))
-    return df.withColumn("_s", size).select(
-        *df.columns, F.col("_s.width").alias("width"), F.col("_s.height").alias("height"),
-        F.col("_s").isNotNull().alias("ok"),
+    """The same from a column of image files, by their headers; a width, height or ok of the input is replaced."""
+    kept = [c for c in df.columns if c not in ("width", "height", "ok")]
+    sized = df.withColumn("_s", image_size(F.col(content)))
+    return sized.select(
+        *kept, F.col("_s.width").alias("width"), F.col("_s.height").alias("height"), F.col("_s.width").isNotNull().alias("ok"),
     )
 
 
