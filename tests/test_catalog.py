@@ -9,8 +9,7 @@ from tools.check_oracle import connect, spark_rows, sql_rows
 
 # Without SQL: fitted models, guards that return their input, and composed report texts.
 ROWS_ONLY = {
-    "a00_main_table_from_predictions", "a00_null_comparison", "j03_row_count_guard",
-    "l06_logistic_probe_metrics", "l06_hidden_layer_probe_metrics",
+    "a00_main_table_from_predictions", "a00_null_comparison", "l06_logistic_probe_metrics", "l06_hidden_layer_probe_metrics",
 }
 SOME = [
     "m01_ece_zero_scores", "m02_reliability_curve", "m08_aucpr_ties", "m14_youden", "a03_mean_of_means", "c02_content_key",

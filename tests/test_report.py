@@ -28,11 +28,21 @@ def test_signed_rank_golden(spark):
     assert (got["w0"], got["w1"], got["w2"], got["few"]) == (0.0625, 0.125, 0.1875, None)
 
 
-def test_signed_rank_table_is_the_sign_distribution():
-    table = {(n, w): p for n, w, p in r.signed_rank_table(6)}
-    sums = [sum(i + 1 for i in range(6) if s >> i & 1) for s in range(64)]
-    for w in range(22):
-        assert table[(6, float(w))] == pytest.approx(min(1.0, 2 * sum(x <= w for x in sums) / 64))
+def by_signs(ranks, w):
+    """The p-value by all sign patterns."""
+    sums = [sum(x for i, x in enumerate(ranks) if s >> i & 1) for s in range(1 << len(ranks))]
+    return min(1.0, 2 * sum(x <= w for x in sums) / len(sums))
+
+
+def test_signed_rank_p_counts_sign_patterns():
+    for ranks in ([1, 2, 3, 4, 5, 6], [1.5, 1.5, 3, 4.5, 4.5], [2, 2, 2, 4], [3.5] * 6, [1]):
+        pairs = sorted({(int(2 * x), ranks.count(x)) for x in ranks})
+        for w2 in range(int(2 * sum(ranks)) + 1):
+            assert r.signed_rank_p(pairs, w2 / 2) == pytest.approx(by_signs(ranks, w2 / 2))
+    # fifty ranks: the distribution is symmetric and close to its normal limit
+    fifty, mean, std = [(2 * k, 1) for k in range(1, 51)], 50 * 51 / 4, math.sqrt(50 * 51 * 101 / 24)
+    assert r.signed_rank_p(fifty, mean) == 1.0
+    assert r.signed_rank_p(fifty, mean - 2 * std) == pytest.approx(math.erfc(2 / math.sqrt(2)), abs=2e-3)
 
 
 def test_signed_rank_ties_and_zeros(spark):
@@ -41,9 +51,14 @@ def test_signed_rank_ties_and_zeros(spark):
     d = np.array([1, -1, -1, -2, -2, -3, 4.0])
     ranks = np.array([2, 2, 2, 4.5, 4.5, 6, 7])
     w = min(ranks[d > 0].sum(), ranks[d < 0].sum())
-    var = 7 * 8 * 15 / 24 - ((27 - 3) + (8 - 2)) / 48
     assert (row["n_pairs"], row["n"], row["w"]) == (8, 7, w)
-    assert row["p"] == pytest.approx(math.erfc(abs((w - 14) / math.sqrt(var)) / math.sqrt(2)))
+    assert row["p"] == pytest.approx(by_signs(list(ranks), w))
+    # above the exact range: normal, with tie correction
+    var = 7 * 8 * 15 / 24 - ((27 - 3) + (8 - 2)) / 48
+    far = r.signed_rank(df, ["metric"], "null_type", "black", exact_max=6).first()
+    assert far["p"] == pytest.approx(math.erfc(abs((w - 14) / math.sqrt(var)) / math.sqrt(2)))
+    same = r.signed_rank(long(spark, {"black": [1.0] * 6, "x": [1.0] * 6}), ["metric"], "null_type", "black").first()
+    assert (same["n_pairs"], same["n"], same["p"]) == (6, 0, None)
 
 
 def test_mean_of_means_is_not_pooled(spark):

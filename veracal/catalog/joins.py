@@ -57,11 +57,17 @@ def j02_keys(spark, d):
     return j.only_in(model_outputs(spark, d), fx.items(spark, d), "hash_id")
 
 
-@query("j03_row_count_guard")
+# every output whose key is an item's is joined once, though items repeat their keys
+@query(
+    "j03_row_count_guard",
+    cte("select model_name, count(*) as expected, count(*) as actual, true as ok from O where hash_id in (select hash_id from I) group by model_name", I=fx.ITEMS_SQL, O=OUT),
+)
 def j03(spark, d):
-    items = fx.items(spark, d)
-    checked = items.groupBy("split").agg(F.count("*").alias("actual")).withColumns({"expected": F.col("actual"), "ok": F.lit(True)})
-    return j.assert_contract(checked)
+    items, outputs = fx.items(spark, d), model_outputs(spark, d)
+    expected = outputs.join(items.select("hash_id"), "hash_id", "left_semi").groupBy("model_name").agg(F.count("*").alias("expected"))
+    actual = j.join_outputs(items.drop("model_name"), outputs, order=["row_idx"]).groupBy("model_name").agg(F.count("*").alias("actual"))
+    checked = expected.join(actual, "model_name", "full")
+    return j.assert_contract(checked.withColumn("ok", F.col("expected").eqNullSafe(F.col("actual"))))
 
 
 @query(
@@ -80,10 +86,17 @@ def j04_cov(spark, d):
     return j.lookup_coverage(fx.predictions(spark, d).select((F.col("sample_id") * 7).alias("key")), dim, "key")
 
 
-@query("j05_question_answer", "select u.conv_id as question_id, u.text as question, a.text as answer from conversations u join conversations a on a.conv_id = u.conv_id where u.turn = 0 and a.turn = 1")
+@query(
+    "j05_question_answer",
+    "select concat(u.conv_id, ':', u.turn) as question_id, u.text as question, a.text as answer from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'",
+)
 def j05(spark, d):
-    turns = fx.table(spark, d, "conversations").withColumnRenamed("conv_id", "question_id")
-    return j.question_answers(turns.where("turn = 0").select("question_id", "text"), turns.where("turn = 1"))
+    turns = fx.table(spark, d, "conversations")
+
+    def said(role, shift):
+        return turns.where(F.col("role") == role).select(F.concat("conv_id", F.lit(":"), F.col("turn") - shift).alias("question_id"), "text")
+
+    return j.question_answers(said("user", 0), said("assistant", 1))
 
 
 @query("j06_image_lookup", "select l_orderkey, l_linenumber, p_name from lineitem join part on l_partkey * 3 = p_partkey")
@@ -127,12 +140,16 @@ def j09(spark, d):
 
 @query(
     "j10_upsert",
-    "select o_orderkey, o_totalprice from orders where o_orderkey not in (select l_orderkey from lineitem where l_linenumber = 3) union all select l_orderkey, l_extendedprice from lineitem where l_linenumber = 3",
+    """select concat(o_orderkey, ':', k) as line, coalesce(l_extendedprice, o_totalprice) as price from (select * from orders, (select unnest(range(1, 4)) as k))
+left join lineitem on l_orderkey = o_orderkey and l_linenumber = k
+union all select concat(l_orderkey, ':', l_linenumber), l_extendedprice from lineitem where l_linenumber > 3 or l_orderkey not in (select o_orderkey from orders)""",
 )
 def j10(spark, d):
-    old = fx.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    new = fx.table(spark, d, "lineitem").where("l_linenumber = 3").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("o_totalprice"))
-    return j.upsert(old, new, "o_orderkey")
+    line = F.explode(F.sequence(F.lit(1), F.lit(3)))
+    # three lines for every order, replaced or joined by the lines there are
+    old = fx.table(spark, d, "orders").withColumn("k", line).select(F.concat("o_orderkey", F.lit(":"), "k").alias("line"), F.col("o_totalprice").alias("price"))
+    new = fx.table(spark, d, "lineitem").select(F.concat("l_orderkey", F.lit(":"), "l_linenumber").alias("line"), F.col("l_extendedprice").alias("price"))
+    return j.upsert(old, new, "line")
 
 
 @query(

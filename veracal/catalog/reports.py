@@ -81,16 +81,20 @@ def percent_sql(expr):
     return f"format('{{:.2f}}', round(({expr}) * 100, 9))"
 
 
+# five methods for four variants: the first has the runs of two
+_VARIANTS = [*r.VARIANT_ORDER, r.VARIANT_ORDER[0]]
+
+
 @query(
     "a06_variant_table",
     cte(
         f"select variant, {position_sql('variant', r.VARIANT_ORDER)} as position, {pivot_sql(MAIN)} from ("
         f"select variant, vlm, metric, avg(value) as value from V group by variant, vlm, metric) group by variant",
-        **LONG, V=renamed_sql("variant", r.VARIANT_ORDER),
+        **LONG, V=renamed_sql("variant", _VARIANTS),
     ),
 )
 def a06(spark, d):
-    table = r.mean_of_means(renamed(spark, d, "variant", r.VARIANT_ORDER), ["variant"])
+    table = r.mean_of_means(renamed(spark, d, "variant", _VARIANTS), ["variant"])
     return rounded(display_order(table, "variant", r.VARIANT_ORDER))
 
 
@@ -111,29 +115,21 @@ def a08(spark, d):
     return rounded(r.mean_std(long(spark, d), ["method", "vlm", "metric"]))
 
 
-_RANK_METRICS = ["ece", "brier", "aucpr", "auroc"]
-# exact share of the 32 sign patterns where there are no ties, else the normal tail by its power series
-_SIGNED = f"""select vlm, metric, method, n_pairs, cast(n as int) as n, w, {rd("""case when ties = 0 then
-    least(1.0, 2.0 * (select count(*) from (select list_sum(list_transform(range(1, 6), lambda k: case when (s >> cast(k - 1 as int)) & 1 = 1 then k else 0 end)) as total
-      from (select unnest(range(32)) as s)) where total <= w) / 32.0)
-    else 1.0 - 2.0 / sqrt(pi()) * list_sum(list_transform(range(60), lambda k: case when k % 2 = 0 then 1.0 else -1.0 end
-      * pow(x, 2 * k + 1) / (gamma(k + 1.0) * (2 * k + 1)))) end""")} as p
-from (select *, abs(w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) / sqrt(2.0) as x
-  from (select vlm, metric, method, count(*) as n_pairs, count(*) as n, sum(cast(t * t - 1 as double)) as ties,
-      least(sum(case when d > 0 then rk else 0 end), sum(case when d < 0 then rk else 0 end)) as w
-    from (select *, count(*) over (partition by vlm, metric, method, abs(d)) as t,
-        cast(rank() over (partition by vlm, metric, method order by abs(d)) as double)
-          + (count(*) over (partition by vlm, metric, method, abs(d)) - 1) / 2.0 as rk
-      from (select a.vlm, a.metric, a.method, b.value - a.value as d
-        from R a join R b using (vlm, metric, seed)
-        where a.method <> 'm0' and b.method = 'm0' and metric in ('ece', 'brier', 'aucpr', 'auroc')))
-    group by vlm, metric, method))"""
+# zero differences go; the p-value counts the sign patterns of the (tied) ranks, of which there are at most 32
+_SIGNED = f"""select vlm, metric, method, n_pairs, cast(n as int) as n, w, case when n > 0 then {rd("""least(1.0, 2.0 * len(list_filter(range(cast(pow(2, n) as int)),
+    lambda s: list_sum(list_transform(ranks, lambda r, i: case when (s >> cast(i - 1 as int)) & 1 = 1 then r else 0.0 end)) <= w)) / pow(2, n))""")} end as p
+from (select vlm, metric, method, count(*) as n_pairs, count(*) filter (d <> 0) as n, list(rk) filter (d <> 0) as ranks,
+    least(sum(case when d > 0 then rk else 0 end), sum(case when d < 0 then rk else 0 end)) as w
+  from (select *, cast(rank() over (partition by vlm, metric, method, d = 0 order by abs(d)) as double)
+        + (count(*) over (partition by vlm, metric, method, abs(d)) - 1) / 2.0 as rk
+    from (select a.vlm, a.metric, a.method, b.value - a.value as d
+      from R a join R b using (vlm, metric, seed) where a.method <> 'm0' and b.method = 'm0'))
+  group by vlm, metric, method)"""
 
 
 @query("a09_signed_rank", cte(_SIGNED, **LONG, R=f"select method, vlm, seed, metric, {rd('value')} as value from L"))
 def a09(spark, d):
-    picked = rounded(long(spark, d)).where(F.col("metric").isin(_RANK_METRICS))
-    return rounded(r.signed_rank(picked, ["vlm", "metric"], "method", "m0"))
+    return rounded(r.signed_rank(rounded(long(spark, d)), ["vlm", "metric"], "method", "m0"))
 
 
 @query(

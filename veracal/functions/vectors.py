@@ -73,20 +73,36 @@ def entropy(p: Column) -> Column:
 
 
 def top_k(v: Column, k: int) -> Column:
-    """array of struct(value, index), value descending, index ascending on ties."""
-    ranked = F.array_sort(
-        F.transform(v, lambda x, i: F.struct((-x).alias("neg"), i.alias("index")))
-    )
+    """array of struct(value, index), value descending, index ascending on ties.
+
+    One walk keeps the best ``k`` so far; only an element that enters them costs more than a comparison.
+    """
+    placed = F.transform(v, lambda x, i: F.struct((-x).cast("double").alias("neg"), i.alias("index")))
+    none = F.array().cast("array<struct<neg:double,index:int>>")
+
+    def keep(held: Column, s: Column) -> Column:
+        enters = (F.size(held) < k) | (s < F.get(held, F.lit(k - 1)))
+        return F.when(enters, F.slice(F.array_sort(F.array_append(held, s)), 1, k)).otherwise(held)
+
     return F.transform(
-        F.slice(ranked, 1, k),
-        lambda s: F.struct((-s["neg"]).alias("value"), s["index"].alias("index")),
+        F.aggregate(placed, none, keep), lambda s: F.struct((-s["neg"]).alias("value"), s["index"].alias("index"))
     )
 
 
 def margin(v: Column) -> Column:
-    """Gap between the two largest elements."""
-    ordered = F.sort_array(v, asc=False)
-    return F.element_at(ordered, 1) - F.element_at(ordered, 2)
+    """Gap between the two largest elements, found in one walk; null elements are passed over, null below two others."""
+    start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(None).cast("double").alias("second"))
+
+    def keep(held: Column, x: Column) -> Column:
+        first, second = held["first"], held["second"]
+        return (
+            F.when(x.isNull(), held)
+            .when(first.isNull() | (x > first), F.struct(x.cast("double").alias("first"), first.alias("second")))
+            .when(second.isNull() | (x > second), F.struct(first.alias("first"), x.cast("double").alias("second")))
+            .otherwise(held)
+        )
+
+    return F.aggregate(v, start, keep, lambda held: held["first"] - held["second"])
 
 
 def std_sample(v: Column) -> Column:
@@ -346,8 +362,8 @@ def null_view(v: Column, key: Column, kind: str, radius: int = 1, salt: str = "n
         return F.transform(v, lambda x, i: uniform(key, i, salt))
     if kind == "smoothed":
         def around(x: Column, i: Column) -> Column:
-            near = F.filter(v, lambda y, j: (j >= i - radius) & (j <= i + radius))
-            return total(near) / F.size(near)
+            start = F.greatest(i - radius, F.lit(0))
+            return let(F.slice(v, start + 1, i + radius - start + 1), lambda near: total(near) / F.size(near))
 
         return F.transform(v, around)
     if kind == "shuffled":

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.text import first_number, verbal_confidence
-from ..functions.vectors import let, total, view_cosine
+from ..functions.vectors import view_cosine
+from .joins import last_per_key
 
 # Probe weights travel to every task; larger models are refused rather than shipped.
 MAX_WEIGHT_BYTES = 512 * 1024 * 1024
@@ -56,8 +58,8 @@ def ensemble(df: DataFrame, by: list[str], how: str = "mean", first_n: int | Non
 
 def two_stage_confidence(replies: DataFrame, judged: DataFrame, key: str = "sample_id",
                          reply: str = "reply", judge: str = "judge_text") -> DataFrame:
-    """Stated confidence, else the first number of the judge's text, else failed."""
-    joined = replies.join(judged.select(key, judge), key, "left")
+    """Stated confidence, else the first number of the judge's text, else failed. Of repeated judged keys one counts."""
+    joined = replies.join(last_per_key(judged.select(key, judge), key), key, "left")
     own, other = verbal_confidence(F.col(reply)), first_number(F.col(judge))
     return joined.withColumns({"_own": own, "_other": other}).select(
         key,
@@ -109,8 +111,9 @@ def view_diagnostics(base: DataFrame, views: DataFrame, key: str = "sample_id")
     """Cosine to base, change of the base token's probability and top-token flip, per view.
 
     ``base``: key, h, p_top1, top1. ``views``: key, view, h, p_of_base, top1, mask.
+    Of repeated base keys one counts.
     """
-    b = base.select(key, F.col("h").alias("_h"), F.col("p_top1").alias("_p"), F.col("top1").alias("_t"))
+    b = last_per_key(base.select(key, "h", "p_top1", "top1"), key).select(key, F.col("h").alias("_h"), F.col("p_top1").alias("_p"), F.col("top1").alias("_t"))
     seen = F.col("mask") == 1
     nan = F.lit(float("nan"))
     gap = F.abs(F.col("_p") - F.col("p_of_base"))
@@ -128,23 +131,44 @@ def aggregate_attention(df: DataFrame, by: list[str], how: str = "mean") -> Data
     """Attention per position over layers and heads, normalised per sample.
 
     Input rows: by.., layer, head, weights (array over positions). Positions come
-    out in order as one array per sample.
+    out in order as one array per sample, as long as its longest row that counts; a position
+    counts the rows that reach it, and a null weight is as if its row did not.
+    One exchange; a task adds up the nested lists of one sample, its own field.
     """
-    long = df.select(*by, "layer", "head", F.posexplode("weights").alias("pos", "a"))
-    if how == "last_layer":
-        last = df.groupBy(*by).agg(F.max("layer").alias("layer"))
-        pooled = long.join(last, by + ["layer"], "left_semi").groupBy(*by, "pos").agg(F.avg("a").alias("a"))
-    elif how in ("mean", "max"):
-        inner = F.avg("a") if how == "mean" else F.max("a")
-        outer = F.avg("a") if how == "mean" else F.max("a")
-        pooled = long.groupBy(*by, "pos", "layer").agg(inner.alias("a")).groupBy(*by, "pos").agg(outer.alias("a"))
-    else:
+    if how not in ("mean", "max", "last_layer"):
         raise ValueError(f"unknown attention aggregation: {how}")
-    # the vector of one sample, as long as its sequence
-    packed = pooled.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "a"))).alias("_s"))
-    vector = F.transform("_s", lambda s: s["a"])
-
-    def scaled(v: Column) -> Column:
-        return let(total(v), lambda w: F.when(w > 0, F.transform(v, lambda x: x / w)).otherwise(v))
-
-    return packed.select(*by, let(vector, scaled).alias("attention"))
+    kept = df.select(*by, F.col("layer").cast("double").alias("layer"), F.col("weights").cast("array<double>").alias("weights"))
+    schema = StructType([*kept.schema.fields[: len(by)], StructField("attention", ArrayType(DoubleType()))])
+
+    def pooled(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        lists = rows["weights"].combine_chunks()
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        layers, layer = np.unique(rows["layer"].to_numpy(), return_inverse=True)
+        flat = lists.flatten()
+        ends = np.cumsum(sizes)
+        at, of = np.arange(len(flat)) - np.repeat(ends - sizes, sizes), np.repeat(layer, sizes)
+        known = flat.is_valid().to_numpy(zero_copy_only=False)
+        used_rows = layer == len(layers) - 1 if how == "last_layer" else np.full(len(layer), True)
+        known &= np.repeat(used_rows, sizes)
+        shape = (len(layers), int(sizes[used_rows].max(initial=0)))
+        value, cell = flat.fill_null(0.0).to_numpy(zero_copy_only=False)[known], (of[known], at[known])
+        seen = np.zeros(shape)
+        np.add.at(seen, cell, 1)
+        if how == "max":
+            whole = np.full(shape, -np.inf)
+            np.maximum.at(whole, cell, value)
+            out, reached = whole.max(axis=0), seen.any(axis=0)
+        else:
+            whole = np.zeros(shape)
+            np.add.at(whole, cell, value)
+            mean = np.divide(whole, seen, out=np.zeros(shape), where=seen > 0)
+            used = (seen > 0).sum(axis=0)
+            out, reached = mean.sum(axis=0) / np.maximum(used, 1), used > 0
+        scale = out[reached].sum()
+        if scale > 0:
+            out = out / scale
+        packed = pa.ListArray.from_arrays(pa.array([0, shape[1]], pa.int32()), pa.array(out, mask=~reached))
+        return pa.table([*[rows[c].slice(0, 1) for c in by], packed], names=schema.names)
+
+    return kept.groupBy(*by).applyInArrow(pooled, schema)

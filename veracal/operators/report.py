@@ -74,18 +74,27 @@ def run_summary(long: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def signed_rank_table(n_max: int) -> list[tuple[int, float, float]]:
-    """(n, w, two-sided p) of the signed-rank statistic, from the number of subsets of 1..n per sum."""
-    rows = []
+def signed_rank_p(ranks: list[tuple[int, int]], w: float) -> float:
+    """Two-sided p of the signed-rank statistic ``w``, from the number of sign patterns for every sum of ranks.
+
+    ``ranks`` holds (twice the rank, how often), so that tied ranks, which may
+    be halves, are whole numbers.
+    """
     counts = np.array([1.0])
-    for n in range(1, n_max + 1):
-        grown = np.zeros(len(counts) + n)
-        grown[: len(counts)] += counts
-        grown[n:] += counts
-        counts = grown
-        tail = np.minimum(1.0, 2.0 * np.cumsum(counts) / counts.sum())
-        rows += [(n, float(w), float(p)) for w, p in enumerate(tail)]
-    return rows
+    for rank, times in ranks:
+        for _ in range(times):
+            grown = np.zeros(len(counts) + rank)
+            grown[: len(counts)] += counts
+            grown[rank:] += counts
+            counts = grown
+    upto = int(round(2 * w)) + 1
+    return float(min(1.0, 2.0 * counts[:upto].sum() / counts.sum()))
+
+
+@F.pandas_udf(DoubleType())
+def _exact(ranks: pd.Series, w: pd.Series) -> pd.Series:
+    out = [None if r is None else signed_rank_p([(x["rank"], x["times"]) for x in r], v) for r, v in zip(ranks, w)]
+    return pd.Series(out, dtype="float64")
 
 
 @F.pandas_udf(DoubleType())
@@ -94,15 +103,14 @@ def _two_sided(z: pd.Series) -> pd.Series:
 
 
 def signed_rank(long: DataFrame, by: list[str], variant: str, base: str, pair: str = "seed",
-                exact_max: int = 25, least: int = 5) -> DataFrame:
+                exact_max: int = 50, least: int = 5) -> DataFrame:
     """Paired signed-rank test of every variant against the base, pairs met by ``pair``.
 
-    Zero differences are dropped and ties share their average rank. The exact
-    distribution serves up to ``exact_max`` distinct differences, the normal
-    approximation with tie correction everything else. Fewer than ``least``
-    pairs give no p-value.
+    Zero differences are dropped and ties share their average rank. Up to
+    ``exact_max`` differences the distribution over all signs is exact, ties
+    included; above, the normal approximation with tie correction serves. Fewer
+    than ``least`` pairs, or no difference at all, give no p-value.
     """
-    spark = long.sparkSession
     keys = by + [variant]
     # the base value beside every variant of the same pair; a pair holds one row per variant
     beside = F.max(F.when(F.col(variant) == base, F.col("value"))).over(Window.partitionBy(*by, pair))
@@ -125,23 +133,16 @@ def signed_rank(long: DataFrame, by: list[str], variant: str, base: str, pair: s
         F.sum(F.col("up") * avg_rank).alias("w_plus"),
         F.sum(F.col("down") * avg_rank).alias("w_minus"),
         F.sum(t * t * t - t).alias("ties"),
+        # no more than the exact distribution takes
+        F.collect_list(F.when((F.col("cum") <= exact_max) & (moved > 0), F.struct((2 * avg_rank).cast("int").alias("rank"), moved.cast("int").alias("times")))).alias("_ranks"),
     ).withColumn("w", F.least("w_plus", "w_minus"))
-    table = spark.createDataFrame(signed_rank_table(exact_max), "n int, w double, p_exact double")
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0
     z = F.when(var > 0, (F.col("w") - n * (n + 1) / 4.0) / F.sqrt(F.when(var > 0, var)))
-    exact_ok = (F.col("ties") == 0) & (F.col("n") == F.col("n_pairs"))
-    return (
-        stats.join(table, ["n", "w"], "left")
-        .withColumn("_approx", _two_sided(z))
-        .select(
-            *keys, "n_pairs", "n", "w",
-            F.when(
-                F.col("n_pairs") >= least,
-                F.when(exact_ok & F.col("p_exact").isNotNull(), F.col("p_exact")).otherwise(F.col("_approx")),
-            ).alias("p"),
-        )
-    )
+    few = (F.col("n") > 0) & (F.col("n") <= exact_max)
+    both = stats.withColumns({"_approx": _two_sided(z), "_p": _exact(F.when(few, F.col("_ranks")), F.col("w"))})
+    p = F.when((F.col("n_pairs") >= least) & (F.col("n") > 0), F.coalesce("_p", "_approx"))
+    return both.select(*keys, "n_pairs", "n", "w", p.alias("p"))
 
 
 def delta(long: DataFrame, by: list[str], variant: str, base: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.types import BooleanType
 
 from ..functions.images import image_size
 from ..functions.vectors import token_vector
+from ..operators.joins import last_per_key
 from ..operators.metrics import METRICS
 from ..operators.report import to_long
 
@@ -229,15 +230,18 @@ def _first_of(value: Column) -> Column:
 
 def first_paraphrase(items: DataFrame, primary: DataFrame, secondary: DataFrame, mapping: DataFrame,
                      key: str = "hash_id") -> DataFrame:
-    """First paraphrase of an item: its record, else the record in the second place, else the mapping."""
+    """First paraphrase of an item: its record, else the record in the second place, else the mapping.
+
+    Items keep their number of rows: of repeated keys in one place one counts, a first paraphrase before none.
+    """
 
     def head(df: DataFrame, name: str) -> DataFrame:
-        return df.select(key, F.try_element_at("paraphrases", F.lit(1)).alias(name))
+        return last_per_key(df.select(key, F.try_element_at("paraphrases", F.lit(1)).alias(name)), key)
 
     return (
         items.join(head(primary, "_a"), key, "left")
         .join(head(secondary, "_b"), key, "left")
-        .join(mapping.select(key, _first_of(F.col("value")).alias("_c")), key, "left")
+        .join(last_per_key(mapping.select(key, _first_of(F.col("value")).alias("_c")), key), key, "left")
         .withColumn("paraphrase", F.coalesce("_a", "_b", "_c"))
         .drop("_a", "_b", "_c")
     )
