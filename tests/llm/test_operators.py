@@ -42,6 +42,16 @@ def with_clashes(df):
     return df
 
 
+TAKEN = ["_k1", "_k2", "_c1", "_c2", "_nth", "_h1", "_h2", "_map", "_new", "_group", "node", "bucket"]
+
+
+@pytest.mark.parametrize("stage", [simhash.keep_one, pii.replace_entities, langid.accepted_documents])
+def test_columns_of_any_name_keep_their_values(spark, stage):
+    df = docs(spark).withColumns({name: F.concat(F.lit(name), F.col("doc_id").cast("string")) for name in TAKEN})
+    out = stage(df).collect()
+    assert out and all(r[name] == (None if r.doc_id is None else f"{name}{r.doc_id}") for r in out for name in TAKEN)
+
+
 def empty(df):
     return df.where(F.lit(False))
 

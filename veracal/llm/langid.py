@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from .common import stored, unit
+from .common import free_names, stored, unit
 
 BUCKETS = 1 << 15
 SAMPLE_PER_LANGUAGE = 2000  # labelled rows the text model is fitted on, in expectation, for each language
@@ -215,10 +215,14 @@ def identify(docs: DataFrame, pages: DataFrame | None = None, min_posterior: flo
 
 
 def accepted_documents(docs: DataFrame, min_posterior: float = 0.5) -> DataFrame:
-    """The rows whose language is accepted. Rows alike in id, text and labels share their fate."""
-    keys = {"_k1": F.xxhash64("doc_id", "text", "lang", "source"), "_k2": F.xxhash64(F.lit(1), "source", "lang", "text", "doc_id")}
+    """The rows whose language is accepted, as they are. Rows alike in id, text and labels share their fate.
+
+    Null and empty texts and those without letters are refused. Columns may have any names; an empty table gives no rows.
+    """
+    k1, k2 = F.xxhash64("doc_id", "text", "lang", "source"), F.xxhash64(F.lit(1), "source", "lang", "text", "doc_id")
     languages, model = fit_text_model(docs, "text", "lang", "doc_id")
-    rows = docs.withColumns(keys).select("_k1", "_k2", "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), F.lit("documents").alias("domain"))
+    rows = docs.select(k1.alias("_k1"), k2.alias("_k2"), "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"), F.lit("documents").alias("domain"))
     # stored, so that its size is known and Spark broadcasts it where it is small enough
     refused = stored(fuse(rows, languages, model, min_posterior).where(~F.col("accepted")).select("_k1", "_k2").distinct(), "languages")
-    return docs.withColumns(keys).join(refused, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    names = free_names(docs, "_k1", "_k2")
+    return docs.withColumns(dict(zip(names, (k1, k2)))).join(refused.toDF(*names), names, "left_anti").select(*docs.columns)

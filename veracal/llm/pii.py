@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import stored
+from .common import free_names, stored
 
 KEY = "change-me"  # parameter: whoever holds it can redraw the surrogates
 
@@ -260,7 +260,8 @@ def replace_entities(df: DataFrame, text: str = "text", length: str | None = Non
     Rows without a hint of an entity are passed through; only the others meet the
     table, by a digest of their text. ``length`` names a column that holds the
     text's length and is set anew. Null and empty texts stay as they are; rows
-    alike stay alike.
+    alike stay alike. A column ``n_entities`` of the input is replaced, all others
+    stay, whatever their names. An empty table gives no rows.
     """
     hinted = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
     plain = df.where(~hinted).withColumn("n_entities", F.lit(0))
@@ -288,9 +289,10 @@ def replace_entities(df: DataFrame, text: str = "text", length: str | None = Non
             out.append(("".join([*parts, t[at:]]), n))
         return pd.DataFrame(out, columns=["text", "n"])
 
-    others = df.where(hinted).withColumns({"_h1": digest[0], "_h2": digest[1]})
-    joined = others.join(by_text, ["_h1", "_h2"], "left").withColumn("_new", rewritten(F.col(text), F.col("_map")))
-    done = joined.withColumn(text, F.col("_new.text")).withColumn("n_entities", F.col("_new.n"))
+    h1, h2, pairs, new = free_names(df, "_h1", "_h2", "_map", "_new")
+    others = df.where(hinted).withColumns({h1: digest[0], h2: digest[1]})
+    joined = others.join(by_text.toDF(h1, h2, pairs), [h1, h2], "left").withColumn(new, rewritten(F.col(text), F.col(pairs)))
+    done = joined.withColumn(text, F.col(f"{new}.text")).withColumn("n_entities", F.col(f"{new}.n"))
     if length is not None:
         done = done.withColumn(length, F.length(text).cast(df.schema[length].dataType))
     names = [*[c for c in df.columns if c != "n_entities"], "n_entities"]

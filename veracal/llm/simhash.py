@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import longs, stored
+from .common import batches_of, free_names, longs, stored
 from .components import components, forest, tiles
 
 SEED = 42
@@ -135,6 +135,8 @@ LOOSE = 0.15  # so far below the similarity a pair's estimate still makes it a c
 BLOCK_ROWS = 512
 SET_ROWS, SET_SHINGLES = 256, 1 << 21  # a block of shingle sets
 TILE = ["bucket", "_i", "_j"]
+BATCH_ROWS = 2048  # rows that reach Python at once
+PAIRS = 1 << 18  # pairs found before they are thinned to a forest
 
 
 def shingle_set(words: int = 5):
@@ -182,31 +184,50 @@ def sketch(words: int = 5):
     return of
 
 
+class _Links:
+    """Pairs, thinned to a forest as they come: tiles of near copies link all with all."""
+
+    def __init__(self):
+        self.a, self.b, self.waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.waiting += len(a)
+        if self.waiting > PAIRS:
+            self.thin()
+
+    def thin(self) -> pd.DataFrame:
+        a, b = forest(np.concatenate(self.a), np.concatenate(self.b))
+        self.a, self.b, self.waiting = [a], [b], 0
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+
 def _by_tile(links):
-    """``links`` of the rows of each tile, for rows sorted by tile."""
+    """``links`` of the rows of each tile, for rows sorted by tile; about ``BATCH_ROWS`` rows at once."""
 
     def work(batches):
-        held = None
+        held, rows_held = [], 0
         for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(rows):
+            if not len(batch):
+                continue
+            held.append(batch)
+            rows_held += len(batch)
+            last = batch[TILE].iloc[-1]
+            if rows_held < BATCH_ROWS:
                 continue
-            open_ = (rows[TILE] == rows[TILE].iloc[-1]).all(axis=1)
-            held = rows[open_]
+            rows = pd.concat(held, ignore_index=True)
+            open_ = (rows[TILE] == last).all(axis=1).to_numpy()
             if not open_.all():
                 yield links(rows[~open_])
-        if held is not None:
-            yield links(held)
+                rows = rows[open_].copy()
+            held, rows_held = [rows], len(rows)
+        if held:
+            yield links(pd.concat(held, ignore_index=True))
 
     return work
 
 
-def _linked(a: list, b: list) -> pd.DataFrame:
-    """The links, thinned to a forest."""
-    a, b = forest(np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b]))
-    return pd.DataFrame({"a": a, "b": b}, dtype="int64")
-
-
 def _candidates(least: int):
     """The pairs of a tile with at least ``least`` equal bytes."""
 
@@ -215,7 +236,7 @@ def _candidates(least: int):
         node, side = rows["node"].to_numpy(), rows["_side"].to_numpy()
         own = (rows["_i"] == rows["_j"]).to_numpy()
         tile = rows.groupby(TILE, sort=False).ngroup().to_numpy()
-        a, b = [], []
+        found = _Links()
         at = np.arange(len(rows) - 1)
         step = 1
         while len(at):
@@ -225,10 +246,9 @@ def _candidates(least: int):
             for k in range(0, len(some), 8192):
                 x = some[k:k + 8192]
                 hit = x[(signs[x] == signs[x + step]).sum(1) >= least]
-                a.append(node[hit])
-                b.append(node[hit + step])
+                found.add(node[hit], node[hit + step])
             step += 1
-        return _linked(a, b)
+        return found.thin()
 
     return _by_tile(links)
 
@@ -237,9 +257,9 @@ def _verified(similarity: float):
     """The pairs of a tile whose shingle sets have at least this Jaccard similarity, exactly."""
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        for _, tile in rows.groupby(TILE, sort=False):
-            node = tile["node"].to_numpy()
+        found = _Links()
+        for (_, i, j), tile in rows.groupby(TILE, sort=False):
+            node, side = tile["node"].to_numpy(), tile["_side"].to_numpy()
             sets = [np.frombuffer(x, np.uint64) for x in tile["set"]]
             size = np.array([len(x) for x in sets])
             _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -256,10 +276,13 @@ def _verified(similarity: float):
                 has = np.zeros((len(sets), min(4096, width - low)), np.float32)
                 has[row[lo:hi], column[lo:hi] - low] = 1
                 both += (has @ has.T).astype(np.int64)
-            x, y = np.nonzero(np.triu(both / np.maximum(size[:, None] + size - both, 1) >= similarity, 1))
-            a.append(node[x])
-            b.append(node[y])
-        return _linked(a, b)
+            alike = np.triu(both / np.maximum(size[:, None] + size - both, 1) >= similarity, 1)
+            if i != j:
+                # pairs inside a block are those of the block's own tile
+                alike &= side[:, None] != side
+            x, y = np.nonzero(alike)
+            found.add(node[x], node[y])
+        return found.thin()
 
     return _by_tile(links)
 
@@ -276,22 +299,27 @@ def similar_groups(df: DataFrame, text: str = "text", key: tuple[str, str] = ("_
     below the similarity is linked. A pair at J shares no band with probability
     (1 - J ** BAND_ROWS) ** BANDS, which is 5e-6 at 0.8 and 1e-7 at 0.83.
     """
-    rows = stored(df.withColumn("_s", sketch(words)(F.col(text))).select(*[c for c in df.columns if c != text], "_s.*"), "similar")
+    spark = df.sparkSession
+    with batches_of(spark, BATCH_ROWS):
+        rows = stored(df.withColumn("_s", sketch(words)(F.col(text))).select(*[c for c in df.columns if c != text], "_s.*"), "similar")
     one = rows.select(*[F.col(k).alias(f"_of{n}") for n, k in enumerate(key)], "c1", "c2", "buckets", "signs").dropDuplicates(["c1", "c2"])
     classes = stored(one.withColumn("node", F.monotonically_increasing_id()), "similar")
     spread = classes.select("node", F.explode("buckets").alias("bucket"))
     # where a band's value is unique, nothing is to be compared
     met = tiles(spread, ["bucket"], "node", BLOCK_ROWS, least=2).join(classes.select("node", "signs"), "node")
     laid = met.select(*TILE, "_side", "node", "signs").repartition(*TILE).sortWithinPartitions(*TILE)
-    loose = stored(laid.mapInPandas(_candidates(int((similarity - LOOSE) * HASHES)), LINKS), "similar")
+    with batches_of(spark, BATCH_ROWS):
+        loose = stored(laid.mapInPandas(_candidates(int((similarity - LOOSE) * HASHES)), LINKS), "similar")
     loose = components(loose).join(classes.select("node", "_of0", "_of1"), "node").select(F.col("root").alias("bucket"), "node", "_of0", "_of1")
     texts = df.select(*key, text)
     found = loose.join(texts, (F.col("_of0") == F.col(key[0])) & (F.col("_of1") == F.col(key[1])))
-    sets = stored(found.select("bucket", "node", shingle_set(words)(F.col(text)).alias("set")).dropDuplicates(["node"]), "similar")
+    with batches_of(spark, BATCH_ROWS):
+        sets = stored(found.select("bucket", "node", shingle_set(words)(F.col(text)).alias("set")).dropDuplicates(["node"]), "similar")
     sized = sets.select("bucket", "node", (F.octet_length("set") / 8.0).alias("_load"))
     laid = tiles(sized, ["bucket"], "node", SET_ROWS, least=2, block_load=SET_SHINGLES).join(sets.select("node", "set"), "node")
-    laid = laid.select(*TILE, "node", "set").repartition(*TILE).sortWithinPartitions(*TILE)
-    links = stored(laid.mapInPandas(_verified(similarity), LINKS), "similar")
+    laid = laid.select(*TILE, "_side", "node", "set").repartition(*TILE).sortWithinPartitions(*TILE)
+    with batches_of(spark, BATCH_ROWS // 4):
+        links = stored(laid.mapInPandas(_verified(similarity), LINKS), "similar")
     roots = stored(components(links), "components")
     known = classes.join(roots, "node", "left").select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), F.coalesce("root", "node").alias("_group"))
     own = [c for c in df.columns if c != text]
@@ -301,14 +329,15 @@ def similar_groups(df: DataFrame, text: str = "text", key: tuple[str, str] = ("_
 def keep_one(df: DataFrame, text: str = "text", id: str = "doc_id", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows without near duplicates: of each group of similar texts the one with the smallest id stays.
 
-    A null id comes last. Of rows alike in id and text one stays.
+    A null id comes last. Of rows alike in id and text one stays. Columns may have any names and stay as they are.
     """
     first, second = F.xxhash64(id, text), F.xxhash64(text, id, F.lit(1))
     keys = df.select(F.col(id).alias("_id"), first.alias("_k1"), second.alias("_k2"), F.col(text).alias("_text"))
     grouped = similar_groups(keys, "_text", ("_k1", "_k2"), words, similarity)
     best = grouped.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "_k1", "_k2")).alias("best"))
     chosen = best.select(F.col("best._k1").alias("_c1"), F.col("best._k2").alias("_c2"))
-    laid = df.withColumn("_k1", first).withColumn("_k2", second)
-    left = laid.join(chosen, (F.col("_k1") == F.col("_c1")) & (F.col("_k2") == F.col("_c2")), "left_semi")
-    once = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1"))
-    return left.withColumn("_nth", once).where(F.col("_nth") == 1).select(*df.columns)
+    k1, k2, c1, c2, nth = free_names(df, "_k1", "_k2", "_c1", "_c2", "_nth")
+    laid, chosen = df.withColumns({k1: first, k2: second}), chosen.toDF(c1, c2)
+    left = laid.join(chosen, (F.col(k1) == F.col(c1)) & (F.col(k2) == F.col(c2)), "left_semi")
+    once = F.row_number().over(Window.partitionBy(k1, k2).orderBy(k1))
+    return left.withColumn(nth, once).where(F.col(nth) == 1).select(*df.columns)
