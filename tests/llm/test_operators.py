@@ -42,6 +42,16 @@ def with_clashes(df):
     return df
 
 
+def test_surrogates_never_run_out():
+    for kind, value in (("ip", "192.168.3.4"), ("ssn", "123456789"), ("phone", "+15550100"), ("card", "4111111111111111"), ("secret", "AKIA" + "A" * 16)):
+        drawn = {pii.surrogate(kind, value, "k", a) for a in range(60)}
+        assert len(drawn) > 50 and max(map(len, drawn)) > len(value)
+    ranges = {"10.1.2.3": "10.", "127.0.0.1": "127.", "172.20.1.1": "172.", "192.168.0.9": "192.168.", "169.254.1.1": "169.254."}
+    assert all(pii.surrogate("ip", v, "k").startswith(head) for v, head in ranges.items())
+    assert 16 <= int(pii.surrogate("ip", "172.20.1.1", "k").split(".")[1]) <= 31
+    assert pii.written("555-0100", "phone", "123456789") == "123-456789"
+
+
 TAKEN = ["_k1", "_k2", "_c1", "_c2", "_nth", "_h1", "_h2", "_map", "_new", "_group", "node", "bucket"]
 
 

@@ -166,18 +166,37 @@ def _luhn(digits: str) -> int:
     return sum(sum(divmod(int(d) * 2, 10)) if k % 2 else int(d) for k, d in enumerate(reversed(digits))) % 10
 
 
+#: Draws that keep an entity's exact length; later ones add to it, so that no kind runs out of surrogates.
+SAME_LENGTH = 16
+
+
 def surrogate(kind: str, value: str, key: str = KEY, attempt: int = 0) -> str:
-    """The draw of an entity: same kind, length and layout, gender and script. Later attempts draw from a larger space of names."""
+    """The draw of an entity: same kind, length and layout, gender and script.
+
+    Later attempts draw from a larger space: names of more parts, longer
+    numbers, IPv6 for addresses, so every kind always has a free surrogate.
+    """
     draw = _Draw(key, kind, value, attempt)
+    more = max(0, attempt - SAME_LENGTH)
+    if more and kind == "ip":
+        kind = "ip6"
+    if more and kind in ("card", "phone", "ssn", "iban", "secret"):
+        return surrogate(kind, value, f"{key}/{attempt}", 0) + "".join(str(draw.below(10)) for _ in range(more))
     if kind == "email":
         local, _, domain = value.partition("@")
         other = _Draw(key, "domain", domain)  # one surrogate for a domain, whoever writes from it
         # short local parts have few forms, so those that lost a draw grow
         return f"{draw.like(local)}{''.join(chr(97 + draw.below(26)) for _ in range(attempt))}@{''.join(chr(97 + other.below(26)) for _ in range(8))}.example"
     if kind == "ip":
-        first = value.split(".")[0]
-        private = value.startswith(("10.", "192.168."))
-        return ".".join([first if private else str(11 + draw.below(112)), *([value.split(".")[1]] if private else [str(draw.below(256))]), str(draw.below(256)), str(1 + draw.below(254))])
+        a, b = value.split(".")[:2]
+        # an address of a reserved range keeps its range
+        if a in ("10", "127"):
+            b = str(draw.below(256))
+        elif a == "172" and 16 <= int(b) <= 31:
+            b = str(16 + draw.below(16))
+        elif (a, b) not in (("192", "168"), ("169", "254")):
+            a, b = str(11 + draw.below(112)), str(draw.below(256))
+        return ".".join([a, b, str(draw.below(256)), str(1 + draw.below(254))])
     if kind == "ip6":
         return "2001:db8:" + ":".join(f"{1 + draw.below(65535):x}" for _ in range(6))
     if kind == "card":
@@ -210,7 +229,7 @@ def written(found: str, kind: str, new: str) -> str:
     """A surrogate in the layout of what it replaces."""
     if kind in ("card", "phone", "ssn", "iban"):
         chars = iter(new.removeprefix("+"))
-        return "".join(next(chars, "") if c.isalnum() else c for c in found)
+        return "".join(next(chars, "") if c.isalnum() else c for c in found) + "".join(chars)
     if kind == "email" and found.upper() == found:
         return new.upper()
     return new
