@@ -254,6 +254,7 @@ def zero_nonfinite(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(is_nonfinite(x), F.lit(0.0)).otherwise(x))
 
 
+# The field names of the result.
 def region_stats(attention: Column, vision_start: Column, vision_end: Column, text_end: Column) -> Column:
     """Sums and shares of the other / vision / text / generated ranges of an attention vector."""
     n = F.size(attention)
@@ -289,6 +290,7 @@ def region_stats(attention: Column, vision_start: Column, vision_end: Column, te
     return F.struct(*fields)
 
 
+# The field names of the result.
 def marker_span(ids: Column, rule: str, start: Column, end: Column | None = None) -> Column:
     """Span of marked positions in an id sequence, with the derived counts.
 
