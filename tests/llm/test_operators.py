@@ -240,10 +240,13 @@ def test_flight_keeps_both_totals():
     assert moved.sum() == pytest.approx(p.sum()) and moved @ size == pytest.approx(p @ size)
 
 
-@pytest.mark.parametrize("dense", [0, 2000])
-def test_repeats(spark, dense, monkeypatch):
-    monkeypatch.setattr(repeats, "DENSE", dense)
-    df = with_clashes(docs(spark).where("doc_id is not null"))
+def test_repeats(spark, monkeypatch):
+    passage = "one passage that many documents share, with other words on either side of it"
+    more = [(1000 + i, f"{i} {'z' * i} {passage} {'y' * (i % 3)}{i}", f"s{i}") for i in range(300)]
+    # long runs of one byte, of two and of few letters: one anchor at many places, pieces cut by their number of windows
+    more += [(2000 + i, t, "s") for i, t in enumerate(["a" * 700, "b" + "a" * 90, "a" * 49, "ab" * 300, "ba" * 80 + "c", "a" * 60 + "ab" * 40, "\u00e9a" * 60])]
+    shared = docs(spark).where("doc_id is not null")
+    df = with_clashes(shared.unionByName(spark.createDataFrame(more, "doc_id bigint, text string, source string"), allowMissingColumns=True))
     rows = [(r.doc_id, (r.text or "").encode()) for r in df.collect()]
     first = {}
     for i, b in rows:
@@ -384,20 +387,20 @@ def test_pipeline(spark):
     assert kept == {1, 7, 8, 9, *range(10, 40)}
 
 
-@pytest.mark.parametrize("collide", [False, True])
-def test_least_owner_compares_bytes(monkeypatch, collide):
-    rng = np.random.default_rng(4)
-    data = rng.integers(0, 2, 400).astype(np.uint8)
-    at, group = np.arange(390), rng.integers(0, 3, 390)
-    first = rng.integers(0, 50, 390)
-    if collide:
-        monkeypatch.setattr(repeats, "hashes", lambda d, width: np.zeros(len(d) - width + 1, np.uint64))
-    got = repeats.least_owner(data, at, group, first, 8)
-    best = {}
-    for g, x, f in zip(group, at, first):
-        w = (g, data[x:x + 8].tobytes())
-        best[w] = min(f, best.get(w, f))
-    assert got.tolist() == [best[g, data[x:x + 8].tobytes()] for g, x in zip(group, at)]
+def test_windows_are_told_by_their_surroundings():
+    text = np.random.default_rng(4).integers(97, 99, 4000).astype(np.uint8).tobytes() + b"a" * 300 + b"ab" * 90
+    text += text[500:900]
+    key = repeats.anchors(text, 50)
+    at, beside = repeats.surroundings(np.frombuffer(text, np.uint8), np.arange(len(key)), key, 50)
+    told = list(zip(key.tolist(), at.tolist(), *beside.T.tolist()))
+    windows = [text[k:k + 50] for k in range(len(key))]
+    assert len(set(told)) == len(set(windows)) == len(set(zip(told, windows)))
+
+
+def test_runs_are_cut():
+    anchor = np.repeat(np.array([5, 6, 7], np.uint64), [70, 3, 32])
+    starts, ends = repeats._runs(anchor != 6, anchor)
+    assert list(zip(starts.tolist(), ends.tolist())) == [(0, 32), (32, 64), (64, 70), (73, 105)]
 
 
 def test_anchors_by_parts():
