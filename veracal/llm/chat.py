@@ -85,25 +85,19 @@ def formatted(messages: DataFrame, chosen: DataFrame, trained: str = "assistant"
     body = escape(F.coalesce("text", F.lit("")))
     head = F.concat(F.lit(TURN), F.url_encode(F.coalesce("role", F.lit(""))), F.lit("\n"))
     turns = chosen.join(messages.select("id", "role", "text"), "id").select(
-        "tree", "leaf", "rank",
-        F.struct(
-            "pos", head.alias("head"), body.alias("body"), F.coalesce(F.col("role") == trained, F.lit(False)).alias("loss")
-        ).alias("turn"),
+        "tree", "leaf", "rank", "pos", head.alias("head"), body.alias("body"), F.coalesce(F.col("role") == trained, F.lit(False)).alias("loss")
     )
-    whole = turns.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
-    lengths = F.transform("turns", lambda t: F.length(t["head"]) + F.length(t["body"]) + len(END))
-    starts = F.aggregate(
-        "lengths", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
-    )
-    spans = F.filter(
-        F.zip_with(
-            "turns", F.slice("starts", 1, F.size("turns")),
-            lambda t, s: F.when(t["loss"], F.struct((s + F.length(t["head"])).alias("start"), F.length(t["body"]).alias("length"))),
-        ),
-        lambda x: x.isNotNull(),
+    # where a turn ends: a running sum along its path, dealt as the paths are put together below
+    size = F.length("head") + F.length("body") + len(END)
+    end = F.sum(size).over(Window.partitionBy("tree", "leaf", "rank").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    turn = F.struct("pos", (end - F.length("body") - len(END)).cast("int").alias("start"), "head", "body", "loss")
+    whole = turns.select("tree", "leaf", "rank", turn.alias("turn")).groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    spans = F.transform(
+        F.filter("turns", lambda t: t["loss"]),
+        lambda t: F.struct(t["start"].alias("start"), F.length(t["body"]).alias("length")),
     )
     pieces = F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END)))
-    return whole.withColumn("lengths", lengths).withColumn("starts", starts).select(
+    return whole.select(
         "tree", "leaf", "rank", F.size("turns").cast("bigint").alias("n_turns"),
         F.array_join(pieces, "").alias("formatted"), spans.alias("loss_spans"),
     )
