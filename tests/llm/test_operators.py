@@ -195,6 +195,66 @@ def test_keep_one_equals_exact_jaccard(spark, block, monkeypatch):
     assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == want
 
 
+def test_bits_are_majorities():
+    h = np.random.default_rng(6).integers(0, 1 << 63, 600, dtype=np.uint64)
+    bits = simhash._bits(h, 700)
+    alone = np.array([simhash._bits(h[k:k + 1], 700) for k in range(len(h))])
+    assert len(bits) == 700 and (bits == (2 * alone.sum(0) > len(h))).all()
+    assert abs(np.corrcoef(alone[:, ::7].T)[np.triu_indices(100, 1)]).max() < 0.25
+
+
+@pytest.mark.parametrize("block", [8, 64])
+def test_balls_find_pairs_at_the_similarity(spark, block, monkeypatch):
+    monkeypatch.setattr(simhash, "CELLS", 100)
+    monkeypatch.setattr(simhash, "PRINT_ROWS", block)
+    assert simhash._layout(450) == ((8, 7) if block == 8 else (8, 4))
+    rows, want = [], set()
+    for k in range(150):
+        n = (4, 8, 12, 20, 40, 100)[k % 6]  # shingles of the shorter text, a part of the longer: 0.8 at least, and just below
+        words = [f"w{k}x{i}" for i in range(n * 5 // 4 + 5)]
+        want |= {3 * k, 3 * k + 2}
+        rows += [(3 * k, " ".join(words[:n + 4])), (3 * k + 1, " ".join(words[:n * 5 // 4 + 4])), (3 * k + 2, " ".join(words[2:4] + words))]
+    left = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+
+    def shingles(t):
+        return {tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)}
+
+    text, expect = dict(rows), set()
+    for k in range(150):
+        a, b, c = (shingles(text[3 * k + i]) for i in range(3))
+        assert len(a & b) / len(a | b) == 0.8
+        expect |= {3 * k} if len(b & c) / len(b | c) >= 0.8 else {3 * k, 3 * k + 2}
+    assert {r.doc_id for r in left} == expect and expect < want
+
+
+def test_pairs_of_a_tile():
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    n, width = 400, 3
+    base = rng.integers(-(1 << 63), (1 << 63) - 1, (4, 4))
+    prints = base[rng.integers(0, 4, n)] ^ (np.int64(1) << rng.integers(0, 63, (n, 4))) ^ (np.int64(1) << rng.integers(0, 63, (n, 4))) * (rng.random((n, 4)) < 0.4)
+    rows = pd.DataFrame(prints, columns=simhash.PRINTS).assign(
+        bucket=np.sort(rng.integers(0, 2, n)), _i=0, _j=1, _side=rng.integers(0, 2, n), node=np.arange(n),
+        low=rng.integers(0, 1 << width, n), few=rng.random(n) < 0.5,
+    ).sort_values("bucket")
+    work = simhash._candidates(width, [(2, 6), (3, 8)])
+    got = {(a, b) for out in work([rows[:150], rows[150:170], rows[170:]]) for a, b in zip(out["a"], out["b"])}
+    group = list(range(n))
+    at = rows.to_dict("records")
+    for x in range(n):
+        for y in range(x):
+            p, q = at[x], at[y]
+            differ = bin(p["low"] ^ q["low"]).count("1")
+            met = p["bucket"] == q["bucket"] and p["_side"] != q["_side"] and differ <= 1
+            far = [bin((p[f] ^ q[f]) & (1 << 64) - 1).count("1") for f in simhash.PRINTS]
+            if met and (far[0] <= 3 and sum(far) <= 8 if p["few"] and q["few"] else far[0] <= 2 and sum(far) <= 6):
+                a, b = group[p["node"]], group[q["node"]]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    assert {frozenset(p) for p in got} == {frozenset((k, g)) for k, g in enumerate(group) if k != g}
+    assert len(got) > 50
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(12, 8))

@@ -7,14 +7,16 @@ it in a table of that segment; each match is verified on the whole fingerprint.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
 from .common import batches_of, free_names, longs, stored
 from .components import components, forest, tiles
@@ -127,12 +129,14 @@ def simhash_groups(
     )
 
 
-# --- Groups by exact Jaccard similarity, which 64 bits cannot tell ---
+# --- Groups by exact Jaccard similarity; long fingerprints find the candidates ---
 
-BANDS, BAND_ROWS = 40, 6
-HASHES = BANDS * BAND_ROWS
-LOOSE = 0.15  # so far below the similarity a pair's estimate still makes it a candidate; over five standard errors
-BLOCK_ROWS = 512
+MISSED = 1e-5  # of pairs at the similarity, those that no segment's ball may find
+PRINT_WORDS = 4  # 64-bit words of a fingerprint on which a match is verified
+LOOSE = 5.2  # standard errors by which verified fingerprints may differ more than expected at the similarity
+SHARED = 256  # fingerprints that share a segment's value, on average
+PRINT_ROWS = 1 << 16  # a block of fingerprints, 32 bytes each
+CELLS = 1 << 20  # pairs compared at once
 SET_ROWS, SET_SHINGLES = 256, 1 << 21  # a block of shingle sets
 TILE = ["bucket", "_i", "_j"]
 BATCH_ROWS = 2048  # rows that reach Python at once
@@ -149,37 +153,87 @@ def shingle_set(words: int = 5):
     return of
 
 
+@lru_cache
+def _differing(similarity: float) -> tuple[int, int, float, float]:
+    """How two different sets of at least this Jaccard similarity differ in a fingerprint bit, at worst.
+
+    Fewest elements of such a set, most of a set that one of the fewest can be paired with, and the
+    chance for pairs with a set of the fewest and for all others: counted out up to 40 elements, and with a margin
+    on the angle's share of a half turn above.
+    """
+    fewest = int(np.ceil(similarity / (1 - similarity) - 1e-9))
+    chance = [[comb(n, k) / 2**n for k in range(n + 1)] for n in range(41)]
+
+    def over(total: int, more: int) -> float:
+        return sum(c for k, c in enumerate(chance[more]) if total + 2 * k - more > 0)
+
+    least, other = 0.0, 1.07 * np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    for union in range(2, 41):
+        for both in range(int(np.ceil(similarity * union - 1e-9)), union):
+            for a in range(union - both + 1):
+                b, differ = union - both - a, 0.0
+                for k, c in enumerate(chance[both]):
+                    x, y = over(2 * k - both, a), over(2 * k - both, b)
+                    differ += c * (x * (1 - y) + y * (1 - x))
+                if min(a, b) + both == fewest:
+                    least = max(least, differ)
+                else:
+                    other = max(other, differ)
+    return fewest, int(fewest / similarity + 1e-9), max(least, other), other
+
+
+def _cuts(width: int, top: int, differ: float) -> int:
+    """Segments of ``width`` bits of which one matches, but for ``MISSED``: equal in ``top`` bits, in a ball of radius one in the others."""
+    low = width - top
+    found = (1 - differ) ** top * ((1 - differ) ** low + low * differ * (1 - differ) ** max(low - 1, 0))
+    return int(np.ceil(np.log(MISSED) / np.log1p(-found)))
+
+
+def _bits(h: np.ndarray, count: int) -> np.ndarray:
+    """The first ``count`` bits of the SimHash of a set of hashes; bits beyond 64 are of the mixed hashes."""
+    words = -(-count // 64)
+    add = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * words, np.int64)
+    for at in range(0, len(h), 255):  # what a byte can count
+        z = h[at:at + 255, None] + add
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return (2 * ones > len(h))[:count]
+
+
+PRINTS = [f"f{k}" for k in range(PRINT_WORDS)]
 SKETCH = StructType([
-    StructField("c1", LongType()), StructField("c2", LongType()), StructField("buckets", ArrayType(LongType())), StructField("signs", BinaryType()),
+    StructField("c1", LongType()), StructField("c2", LongType()), StructField("few", BooleanType()),
+    StructField("segments", ArrayType(LongType())), *[StructField(f, LongType()) for f in PRINTS],
 ])
 
 
-def sketch(words: int = 5):
-    """Column function: of a text's shingle set, a 128-bit hash, BANDS hashes of BAND_ROWS minima each, and a byte of every minimum.
-
-    Each minimum is over the shingle hashes themselves, however few or many. No words: no buckets.
+def sketch(width: int, top: int, words: int = 5, similarity: float = 0.8):
+    """Column function: of a text's shingle set, a 128-bit hash, whether it is among the smallest sets, the segments of its
+    fingerprint, ``width`` bits each, and the fingerprint's first words. No segments: no other set can be similar.
     """
-    rng = np.random.default_rng(SEED)
-    factor = rng.integers(0, 1 << 63, (HASHES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    flip = rng.integers(0, 1 << 63, (HASHES, 1), dtype=np.uint64) * np.uint64(2)
-    mix = np.uint64(0x9E3779B97F4A7C15)
+    fewest, paired, least, other = _differing(similarity)
+    cuts = {True: _cuts(width, top, least), False: _cuts(width, top, other)}
+    place = 1 << np.arange(width, dtype=np.int64)
 
     @pandas_udf(SKETCH)
     def of(text: pd.Series) -> pd.DataFrame:
-        c, buckets, signs = np.zeros((len(text), 2), np.int64), [], []
+        c, f, few, segments = np.zeros((len(text), 2), np.int64), np.zeros((len(text), PRINT_WORDS), np.int64), [], []
         for k, t in enumerate(text):
             h = np.unique(shingle_hashes(t, words))
             c[k] = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes(), SEED), np.int64)
-            least = np.full(HASHES, np.iinfo(np.uint64).max)
-            for at in range(0, len(h), 1024):
-                np.minimum(least, ((h[at:at + 1024] ^ flip) * factor).min(1), out=least)
-            bucket = np.arange(BANDS, dtype=np.uint64)
-            for minima in least.reshape(BANDS, BAND_ROWS).T:
-                bucket = (bucket ^ minima) * mix
-                bucket ^= bucket >> np.uint64(32)
-            buckets.append(bucket.view(np.int64) if len(h) else None)
-            signs.append((least >> np.uint64(16)).astype(np.uint8).tobytes())
-        return pd.DataFrame({"c1": c[:, 0], "c2": c[:, 1], "buckets": pd.Series(buckets, dtype=object), "signs": pd.Series(signs, dtype=object)})
+            few.append(len(h) <= paired)
+            if len(h) < fewest:
+                segments.append(None)
+                continue
+            n = cuts[few[-1]]
+            bits = _bits(h, max(64 * PRINT_WORDS, n * width))
+            f[k] = np.packbits(bits[:64 * PRINT_WORDS], bitorder="little").view("<i8")
+            segments.append(bits[:n * width].reshape(n, width) @ place)
+        out = {"c1": c[:, 0], "c2": c[:, 1], "few": pd.Series(few, dtype=bool), "segments": pd.Series(segments, dtype=object)}
+        return pd.DataFrame(out | {name: f[:, k] for k, name in enumerate(PRINTS)})
 
     return of
 
@@ -204,55 +258,86 @@ class _Links:
 
 
 def _by_tile(links):
-    """``links`` of the rows of each tile, for rows sorted by tile; about ``BATCH_ROWS`` rows at once."""
+    """``links`` of the rows of each tile, for rows sorted by tile; about ``BATCH_ROWS`` rows at once, or one tile."""
 
     def work(batches):
-        held, rows_held = [], 0
+        held, rows_held, one = [], 0, None
         for batch in batches:
             if not len(batch):
                 continue
             held.append(batch)
             rows_held += len(batch)
-            last = batch[TILE].iloc[-1]
-            if rows_held < BATCH_ROWS:
+            last = tuple(batch[TILE].iloc[-1])
+            if rows_held < BATCH_ROWS or last == one:
                 continue
             rows = pd.concat(held, ignore_index=True)
             open_ = (rows[TILE] == last).all(axis=1).to_numpy()
             if not open_.all():
                 yield links(rows[~open_])
                 rows = rows[open_].copy()
-            held, rows_held = [rows], len(rows)
+            held, rows_held, one = [rows], len(rows), last
         if held:
             yield links(pd.concat(held, ignore_index=True))
 
     return work
 
 
-def _candidates(least: int):
-    """The pairs of a tile with at least ``least`` equal bytes."""
+def _candidates(width: int, most: list[tuple[int, int]]):
+    """The pairs of a tile whose remaining ``width`` bits of a segment differ in at most one, verified on the fingerprint.
+
+    ``most`` tells in how many bits its first word and all of it may differ; last, for two of the smallest sets.
+    """
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
-        signs = np.frombuffer(b"".join(rows["signs"]), np.uint8).reshape(len(rows), -1)
-        node, side = rows["node"].to_numpy(), rows["_side"].to_numpy()
-        own = (rows["_i"] == rows["_j"]).to_numpy()
-        tile = rows.groupby(TILE, sort=False).ngroup().to_numpy()
         found = _Links()
-        at = np.arange(len(rows) - 1)
-        step = 1
-        while len(at):
-            at = at[at + step < len(rows)]
-            at = at[tile[at] == tile[at + step]]
-            some = at[own[at] | (side[at] != side[at + step])]
-            for k in range(0, len(some), 8192):
-                x = some[k:k + 8192]
-                hit = x[(signs[x] == signs[x + step]).sum(1) >= least]
-                found.add(node[hit], node[hit + step])
-            step += 1
+        change = (rows[TILE] != rows[TILE].shift()).any(axis=1).to_numpy()
+        rows = rows.iloc[np.lexsort([rows["low"], np.cumsum(change)])]
+        tile, (i, j, low, side, node, few) = np.cumsum(change), (rows[c].to_numpy() for c in ("_i", "_j", "low", "_side", "node", "few"))
+        prints = rows[PRINTS].to_numpy().view(np.uint64)
+        first = np.ascontiguousarray(prints[:, 0])
+        # a run of one value in one tile meets itself and the runs with one more bit
+        runs = np.flatnonzero(np.append(True, (np.diff(tile) != 0) | (np.diff(low) != 0)))
+        ends = np.append(runs[1:], len(rows))
+        name = (tile[runs] << width) | low[runs]
+        meets = [(np.arange(len(runs)), np.arange(len(runs)))]
+        for bit in range(width):
+            asks = np.flatnonzero(low[runs] & (1 << bit) == 0)
+            want = name[asks] | (1 << bit)
+            at = np.minimum(np.searchsorted(name, want), len(runs) - 1)
+            meets.append((asks[name[at] == want], at[name[at] == want]))
+        some_few = np.logical_or.reduceat(few, runs)
+        for x, y in zip(*(np.concatenate(k).tolist() for k in zip(*meets))):
+            if x == y and ends[x] - runs[x] == 1:
+                continue
+            bound = most[int(some_few[x] and some_few[y])][0]
+            step = max(1, CELLS // int(ends[y] - runs[y]))
+            for a in range(int(runs[x]), int(ends[x]), step):
+                to, b = min(a + step, int(ends[x])), a if x == y else int(runs[y])
+                p, q = np.nonzero(np.bitwise_count(first[a:to, None] ^ first[None, b:ends[y]]) <= bound)
+                p, q = p + a, q + b
+                # pairs inside a block are those of the block's own tile
+                new = (p < q) & ((i[p] == j[p]) | (side[p] != side[q]))
+                p, q = p[new], q[new]
+                for k in range(0, len(p), PAIRS):
+                    c, d = p[k:k + PAIRS], q[k:k + PAIRS]
+                    apart = np.bitwise_count(prints[c] ^ prints[d])
+                    both = (few[c] & few[d]).astype(int)
+                    hit = (apart[:, 0] <= np.array(most)[both, 0]) & (apart.sum(1, dtype=np.int16) <= np.array(most)[both, 1])
+                    found.add(node[c[hit]], node[d[hit]])
         return found.thin()
 
     return _by_tile(links)
 
 
+def _layout(count: int) -> tuple[int, int]:
+    """Bits of a segment, so that about ``SHARED`` of ``count`` fingerprints have a value, and how many of them tell tiles apart."""
+    width = min(24, max(8, round(np.log2(max(count, 1) / SHARED))))
+    top = 0
+    while top < width and count / 2**top > 0.8 * PRINT_ROWS:
+        top += 1
+    return width, top
+
+
 def _verified(similarity: float):
     """The pairs of a tile whose shingle sets have at least this Jaccard similarity, exactly."""
 
@@ -293,23 +378,31 @@ LINKS = StructType([StructField(c, LongType()) for c in ("a", "b")])
 def similar_groups(df: DataFrame, text: str = "text", key: tuple[str, str] = ("_k1", "_k2"), words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Add ``_group`` to the rows: texts linked by shingle sets of Jaccard similarity ``similarity`` or more share one.
 
-    Rows alike in ``key`` have the same text. Texts that agree in all minima of a
-    band are compared by all minima; those that may be similar form loose groups,
-    within which every pair is verified on the shingle sets themselves. No pair
-    below the similarity is linked. A pair at J shares no band with probability
-    (1 - J ** BAND_ROWS) ** BANDS, which is 5e-6 at 0.8 and 1e-7 at 0.83.
+    Rows alike in ``key`` have the same text. Candidates are found by multi-index hashing: fingerprints of several hundred
+    bits are cut into segments, a Hamming ball of radius one is looked up within each one's range of values, and a match is
+    verified on the fingerprint. Matches form loose groups, within which every pair is verified on the shingle sets themselves. No pair
+    below the similarity is linked. A pair at the similarity is missed by all balls with probability ``MISSED`` at most.
     """
     spark = df.sparkSession
+    width, top = _layout(df.count())
+    low = width - top
     with batches_of(spark, BATCH_ROWS):
-        rows = stored(df.withColumn("_s", sketch(words)(F.col(text))).select(*[c for c in df.columns if c != text], "_s.*"), "similar")
-    one = rows.select(*[F.col(k).alias(f"_of{n}") for n, k in enumerate(key)], "c1", "c2", "buckets", "signs").dropDuplicates(["c1", "c2"])
+        rows = stored(df.withColumn("_s", sketch(width, top, words, similarity)(F.col(text))).select(*[c for c in df.columns if c != text], "_s.*"), "similar")
+    of = [F.col(k).alias(f"_of{n}") for n, k in enumerate(key)]
+    one = rows.select(*of, "c1", "c2", "few", "segments", *PRINTS).dropDuplicates(["c1", "c2"])
     classes = stored(one.withColumn("node", F.monotonically_increasing_id()), "similar")
-    spread = classes.select("node", F.explode("buckets").alias("bucket"))
-    # where a band's value is unique, nothing is to be compared
-    met = tiles(spread, ["bucket"], "node", BLOCK_ROWS, least=2).join(classes.select("node", "signs"), "node")
-    laid = met.select(*TILE, "_side", "node", "signs").repartition(*TILE).sortWithinPartitions(*TILE)
-    with batches_of(spark, BATCH_ROWS):
-        loose = stored(laid.mapInPandas(_candidates(int((similarity - LOOSE) * HASHES)), LINKS), "similar")
+    cut = classes.select("node", "few", *PRINTS, F.posexplode("segments").alias("_at", "_value"))
+    spread = cut.select(
+        (F.shiftleft(F.col("_at").cast("bigint"), 32) + F.shiftright("_value", low)).alias("bucket"),
+        F.col("_value").bitwiseAND((1 << low) - 1).alias("low"), "node", "few", *PRINTS,
+    )
+    laid = tiles(spread, ["bucket"], "node", PRINT_ROWS, least=2).repartition(*TILE).sortWithinPartitions(*TILE)
+    _, _, least, other = _differing(similarity)
+    most = [
+        tuple(int(np.ceil(n * p + LOOSE * np.sqrt(n * p * (1 - p)))) for n in (64, 64 * PRINT_WORDS)) for p in (other, least)
+    ]
+    with batches_of(spark, BATCH_ROWS * 8):
+        loose = stored(laid.mapInPandas(_candidates(low, most), LINKS), "similar")
     loose = components(loose).join(classes.select("node", "_of0", "_of1"), "node").select(F.col("root").alias("bucket"), "node", "_of0", "_of1")
     texts = df.select(*key, text)
     found = loose.join(texts, (F.col("_of0") == F.col(key[0])) & (F.col("_of1") == F.col(key[1])))
