@@ -153,3 +153,35 @@ def test_stream_state_is_its_own(spark, tmp_path):
     assert len(batches) == 2 and sorted(later) == [("w", 2, 0, 0.8), ("z", 1, 0, 0.6)]
     with pytest.raises(Exception):
         current_metrics(spark, out, ["y"]).collect()
+
+
+def test_stream_state_is_on_disk_whatever_the_session_says(spark, tmp_path):
+    name, memory = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    P = spark.createDataFrame([(k % 40, "m", float(k % 10) / 10, k % 2) for k in range(60)], "a int, b string, c double, y int")
+    P.write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get(name)
+    spark.conf.set(name, memory)
+    try:
+        stream = score_stream(spark, str(tmp_path / "in"), P.schema, str(tmp_path / "out"), str(tmp_path / "ck"), ["a", "b"], ["b"])
+        stream.awaitTermination()
+        assert spark.conf.get(name) == memory
+    finally:
+        spark.conf.set(name, before)
+    assert any(key.startswith("rocksdb") for key in stream.recentProgress[0].stateOperators[0].customMetrics)
+    assert current_metrics(spark, str(tmp_path / "out"), ["b"]).first()["n_samples"] == 40
+
+
+def test_days_of_the_stream_are_written_by_all_cores(spark, sf, monkeypatch):
+    from veracal.catalog import sources
+
+    seen = {}
+
+    def watched(spark, source, schema, *args, **kwargs):
+        days = spark.read.parquet(source).selectExpr("sample_id % 3 as day", "input_file_name() as file").groupBy("day").agg(F.countDistinct("file").alias("n"))
+        seen.update({r.day: r.n for r in days.collect()}, batch=kwargs["files_per_batch"])
+        return score_stream(spark, source, schema, *args, **kwargs)
+
+    monkeypatch.setattr(sources, "score_stream", watched)
+    assert sources.st01(spark, sf).count() == 25
+    cores = spark.sparkContext.defaultParallelism
+    assert seen[1] == seen[2] == cores and seen[0] == 2 * cores and seen["batch"] == 2 * cores

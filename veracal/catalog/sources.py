@@ -183,14 +183,14 @@ def s13(spark, d):
 def st01(spark, d):
     P = fx.predictions(spark, d)
     base = scratch_path(spark, "stream")
-    # days arrive as files, and the first day arrives twice
-    day = (F.col("sample_id") % 3).cast("int")
-    tagged = P.withColumn("part", day)
-    tagged.repartition(3, "part").drop("part").write.parquet(f"{base}/in")
-    tagged.where("part = 0").drop("part").write.mode("append").parquet(f"{base}/in")
+    # days arrive as files, each written by all cores, and the first day arrives twice
+    for day in (0, 1, 2, 0):
+        arrived = P.where(F.col("sample_id") % 3 == day).repartition(spark.sparkContext.defaultParallelism, "sample_id")
+        arrived.write.mode("append").parquet(f"{base}/in")
+    two_days = max(1, len(spark.read.schema(P.schema).parquet(f"{base}/in").inputFiles()) // 2)
     stream = score_stream(
         spark, f"{base}/in", P.schema, f"{base}/out", f"{base}/checkpoint", ["sample_id", "method", "vlm", "seed"],
-        ["method", "vlm"], files_per_batch=2,
+        ["method", "vlm"], files_per_batch=two_days,
     )
     stream.awaitTermination()
     return rounded(current_metrics(spark, f"{base}/out", ["method", "vlm"]).select("method", "vlm", *COUNTS, *VALUES))
