@@ -72,3 +72,41 @@ def test_steps_and_features_agree(spark):
     for k, r in whole.items():
         for name in by_step.columns:
             assert r[name] == pytest.approx(steps[k][name], abs=1e-9), name
+
+
+def test_groups_count_all_that_a_task_holds(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import LongType, StructField
+
+    from veracal.operators import tiles
+
+    class Sized(tiles.Fold):
+        @staticmethod
+        def cells(n, dim):
+            return dim, n * dim
+
+        def tile(self, turn, at, w):
+            pass
+
+        def result(self):
+            (h, _), = self.vectors.values()
+            return [pa.array(np.full(len(h), len(h)))]
+
+    monkeypatch.setattr(tiles, "GROUP_BYTES", 1 << 16)
+    df = spark.range(4000).select("id", F.array(*[F.rand(k) for k in range(8)]).alias("h"))
+    W = spark.range(3).select(F.col("id").alias("row"), F.array(*[F.lit(1.0)] * 8).alias("w"))
+    got = tiles.tiled(df, W, ["id"], ["h"], Sized, [StructField("size", LongType())]).collect()
+    # a vector is there four times: in the fold, as Arrow rows twice, as rows that leave
+    assert len(got) == 4000 and 200 < max(r["size"] for r in got) < 384
+
+
+def test_whole_vectors_are_not_copied():
+    import pyarrow as pa
+
+    from veracal.operators.tiles import _matrix
+
+    values, ok = _matrix(pa.array([[9.0, 9.0], [1.0, 2.0], [3.0, 4.0]]).slice(1), 2)
+    assert values.tolist() == [[1.0, 2.0], [3.0, 4.0]] and ok.all() and not values.flags.owndata and not values.flags.writeable
+    values, ok = _matrix(pa.array([[1.0, None], [3.0, 4.0], None]), 2)
+    assert values.tolist() == [[0.0, 0.0], [3.0, 4.0], [0.0, 0.0]] and ok.tolist() == [False, True, False]

@@ -17,9 +17,11 @@ from pyspark.sql.types import StructField, StructType
 
 from ..session import stored
 
-# Bytes of one block, and of what a fold holds for one group of vectors.
+# Bytes of one block, and of what a task holds for one group of vectors.
 TILE_BYTES = 1 << 20
 GROUP_BYTES = 128 << 20
+# Times that a task holds a vector besides what its fold counts: as Arrow rows, those put together, and as rows that leave.
+COPIES = 3
 # Cells that one group computes in a pass, so that a wide matrix is spread over more tasks.
 GROUP_CELLS = 1 << 36
 # Cells of a product that are held at once.
@@ -97,6 +99,8 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     column = column.cast(pa.list_(pa.float64()))
     sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     ok = sizes == dim
+    if ok.all() and not column.flatten().null_count:
+        return column.flatten().to_numpy().reshape(-1, dim), ok
     out = np.zeros((len(column), dim))
     if ok.any():
         cells = column.filter(pa.array(ok)).flatten()
@@ -124,7 +128,8 @@ def tiled(df: DataFrame, W: DataFrame, key: list[str], vecs: list[str], make, ou
     """
     blocks, n, dim = row_blocks(W, tile_rows=tile_rows)
     held, computed = make.cells(n, dim)
-    size = max(1, min(GROUP_BYTES // (8 * max(held, 1)), GROUP_CELLS // max(computed, 1)))
+    held += COPIES * dim * len(vecs)
+    size = max(1, min(GROUP_BYTES // (8 * held), GROUP_CELLS // max(computed, 1)))
     groups = max(1, -(-df.count() // size))
     passes, fields = make.passes, df.schema.fields
     schema = StructType([*[f for f in fields if f.name not in {o.name for o in out}], *out])
@@ -153,12 +158,14 @@ def tiled(df: DataFrame, W: DataFrame, key: list[str], vecs: list[str], make, ou
     def work(batches):
         for _, run in groupby(_runs(batches), key=lambda r: r[0]):
             waiting, fold, done = [], None, 0
+            rows = table = None
             for _, turn, piece in run:
                 if turn == 0:
                     waiting.append(pa.RecordBatch.from_struct_array(piece.column(3)))
                 elif waiting:
                     if fold is None:
                         rows = pa.Table.from_batches(waiting).combine_chunks()
+                        waiting = [None]
                         fold = make(n, {v: _matrix(rows[v].combine_chunks(), dim) for v in vecs}, rows)
                     if done and turn > done:
                         fold.between(done)
@@ -168,6 +175,7 @@ def tiled(df: DataFrame, W: DataFrame, key: list[str], vecs: list[str], make, ou
             if fold is not None:
                 fold.between(done)
                 table = pa.table([*[rows[c] for c in kept], *fold.result()], names=schema.names)
+                fold = None
                 yield from table.to_batches(max_chunksize=max(1, TILE_BYTES // (8 * max(dim, 1))))
 
     return laid.mapInArrow(work, schema)
