@@ -155,6 +155,32 @@ def test_near_links_of_random_fingerprints(spark):
     assert got == {(a, b) for a in prints for b in prints if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 2}
 
 
+def plan_of(df):
+    """Rows, and the plan that ran in the end."""
+    rows = df.collect()
+    return rows, df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("segments, radius", [(2, 2), (3, 3)])
+def test_near_links_broadcast_no_exploded_rows(spark, tmp_path, segments, radius):
+    # read from a file, so that Spark has a size for the prints, which it takes for that of the exploded rows
+    base = np.random.default_rng(4).integers(-(1 << 63), 1 << 63, 300)
+    prints = {int(b) ^ flip for b in base for flip in (0, 3, 7)}
+    spark.createDataFrame([(p,) for p in prints], "fp bigint").write.parquet(str(tmp_path / "prints"))
+    got, plan = plan_of(simhash.near_links(spark.read.parquet(str(tmp_path / "prints")), radius, segments))
+    apart = (3, 4, 7)[:radius]
+    assert sorted((r.a, r.b) for r in got) == sorted((a, a ^ x) for a in prints for x in apart if a ^ x in prints and a < a ^ x)
+    assert "Generate" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_simhash_groups_broadcast_no_documents(spark):
+    # few fingerprints: the file of the documents is far smaller than their rows
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three "), F.col("id") % 7).alias("text"))
+    got, plan = plan_of(simhash.simhash_groups(df))
+    assert len(got) == 3000 and all(r.component_id <= r.doc_id for r in got)
+    assert "Join" in plan and "SortMergeJoin" in next(line for line in plan.splitlines() if "Join" in line)
+
+
 def test_keep_one(spark):
     df = with_clashes(docs(spark))
     left = simhash.keep_one(df)

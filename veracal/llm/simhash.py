@@ -104,7 +104,8 @@ def near_links(prints: DataFrame, radius: int = 2, segments: int = 2) -> DataFra
         near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius) & (F.col("a") < F.col("b"))
         left, right = finer(probe, "a"), finer(entry, "b").select(*[F.col(c).alias(f"_{c}") for c in ("value", "part", "is")], "b")
         same = (left["value"] == right["_value"]) & (left["part"] == right["_part"]) & (left["is"] == right["_is"])
-        pairs = left.join(right, same & near).select("a", "b")
+        # merged, never broadcast: Spark sizes both sides by the file of fingerprints, without the rows that explode adds
+        pairs = left.join(right.hint("merge"), same & near).select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
     return found.distinct()
 
@@ -124,7 +125,8 @@ def simhash_groups(
     placed = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     known = placed.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return docs.join(known, docs["fp"] == known["_fp"]).select(
+    # merged: a row a document, which Spark sizes by its compressed file
+    return docs.join(known.hint("merge"), docs["fp"] == known["_fp"]).select(
         F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
